@@ -145,6 +145,7 @@ class IdCoder(_Coder):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.size_of_vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         lower = self.tokenizer.normalizer is not None
         # The byte-level alphabet: printable bytes stand for themselves, the rest follow from 256.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -176,6 +177,21 @@ class IdCoder(_Coder):
         per_text = np.bincount(owner, weights=n, minlength=len(offsets) - 1).astype(np.int64)
         return ids, np.concatenate(([0], np.cumsum(per_text)))
 
+    def count(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Tokens of each text of a buffer."""
+        codes, inverse, owner = self.batch(data, offsets)
+        lengths = np.fromiter(map(len, codes), dtype=np.int64, count=len(codes)) // 4
+        return np.bincount(owner, weights=lengths[inverse], minlength=len(offsets) - 1).astype(np.int64)
+
+
+def encode_ended(c: IdCoder, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """As ``IdCoder.encode``, with the end id after each text."""
+    ids, bounds = c.encode(data, offsets)
+    n = np.arange(len(bounds))
+    out = np.full(len(ids) + len(bounds) - 1, end_id, dtype="<u4")
+    out[np.arange(len(ids)) + np.repeat(n[:-1], np.diff(bounds))] = ids
+    return out, bounds + n
+
 
 class PieceCounter(_Coder):
     """Token counts of a ``sentencepiece`` model without pieces that hold an inner space mark.
