@@ -43,7 +43,15 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte slices [start, end) of a buffer, from prefix sums."""
+    """64-bit hashes of the byte slices [start, end) of a buffer, in order and apart, from prefix sums."""
+    if len(data) > 2 * BATCH_BYTES and len(starts) > 1:  # bounded memory for a very long text
+        out, i = np.zeros(len(starts), dtype=np.uint64), 0
+        while i < len(starts):
+            j = max(i + 1, int(np.searchsorted(starts, starts[i] + BATCH_BYTES)))
+            a = starts[i]
+            out[i:j] = slice_hashes(data[a : ends[j - 1]], starts[i:j] - a, ends[i:j] - a)
+            i = j
+        return out
     power, inverse = _power_tables(len(data) + 1)
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
