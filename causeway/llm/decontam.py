@@ -36,7 +36,7 @@ LEAST = 5
 BLOCK_BYTES = 32 << 20
 CHUNK_BYTES = 2 << 20
 #: Distinct words that a Python worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 _WORD, _NUMBER, _GLUED, _UNIT, _NOTHING = range(5)
 _NAME = 5
@@ -50,26 +50,24 @@ _PLACE = {k: np.uint64(0xA5A5A5A500000000 + k) for k in (_NUMBER, _GLUED, _UNIT,
 
 def _canonical(word: str) -> tuple[bytes, int, bool, bool]:
     """Canonical bytes, kind, whether written as a name, and whether a sentence ends here."""
-    ends = word.rstrip("\"'”’)]}»")[-1:] in tuple(".!?:…")
-    core = _EDGE.sub("", word)
-    if not core:
-        return b"", _NOTHING, False, ends
+    if word.isalpha():
+        core, ends = word, False
+    else:
+        ends = word.rstrip("\"'”’)]}»")[-1:] in tuple(".!?:…")
+        core = word[:-1] if word[:-1].isalpha() else _EDGE.sub("", word)
+        if not core:
+            return b"", _NOTHING, False, ends
     low = core.lower()
     title = len(core) > 1 and core[0].isupper() and core[1:].islower()
-    if _NUM.fullmatch(low) or low in _SPELLED:
+    if low in _SPELLED:
         kind = _NUMBER
-    elif _GLUE.fullmatch(low):
-        kind = _GLUED
+    elif low[0].isdigit():
+        kind = _NUMBER if _NUM.fullmatch(low) else _GLUED if _GLUE.fullmatch(low) else _WORD
     else:
         kind = _UNIT if low in _UNITS else _WORD
     return low.encode(), kind, title, ends
 
 
-def _hash(data: bytes) -> int:
-    raw = np.frombuffer(data, np.uint8)
-    return int(slice_hashes(raw, np.array([0]), np.array([len(raw)]))[0])
-
-
 _known: dict[int, tuple[int, int, bool, bool]] = {}
 
 
@@ -89,13 +87,16 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     keys, at, inverse = np.unique(slice_hashes(data, starts, ends), return_index=True, return_inverse=True)
     if len(_known) > CACHE_WORDS:
         _known.clear()
-    rows = []
-    for h, a, b in zip(keys.tolist(), starts[at].tolist(), ends[at].tolist(), strict=True):
-        row = _known.get(h)
-        if row is None:
-            core, kind, title, stop = _canonical(data[a:b].tobytes().decode(errors="replace"))
-            row = _known[h] = (_hash(core) if core else 0, kind, title, stop)
-        rows.append(row)
+    keys = keys.tolist()
+    new = [k for k, h in enumerate(keys) if h not in _known]
+    if new:
+        whole = data.tobytes()
+        made = [_canonical(whole[a:b].decode(errors="replace")) for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
+        cores = np.cumsum([0] + [len(m[0]) for m in made])
+        hashes = slice_hashes(np.frombuffer(b"".join(m[0] for m in made), np.uint8), cores[:-1], cores[1:])
+        for k, h, m in zip(new, hashes.tolist(), made, strict=True):
+            _known[keys[k]] = (h, *m[1:])
+    rows = [_known[h] for h in keys]
     value = np.array([r[0] for r in rows], dtype=np.uint64)[inverse]
     kind = np.array([r[1] for r in rows], dtype=np.int8)[inverse]
     title = np.array([r[2] for r in rows], dtype=bool)[inverse]
