@@ -4,9 +4,10 @@ Documents with equal shingle sets are one class; the join works on one document
 
 1. Candidates.  In any global order of shingles, two sets that link share one of the first
    ``n - ceil(0.8 n) + 1`` shingles of each.  The order puts shingles of crowded hash
-   buckets last (bucket counts over all documents, a table of fixed size), then goes by
-   hash, so passages that many documents share seldom make candidates.  Postings of these
-   shingles are shuffled by shingle; those that only one class has end there.
+   buckets last (bucket counts over all documents, a table of fixed size), and the longest
+   first, so neither passages that many documents share nor common words in a row make
+   many candidates.  Postings of these shingles are shuffled by shingle; those without
+   another class of fitting size end there.
 2. Tiles.  Postings that are left meet in tiles of one shingle and one band of set sizes
    (a band reaches to 1.25 times its lowest size, and a set visits the band below as a
    guest).  Crowded tiles are divided into cells of bounded size.  Each set brings a bitmap
@@ -14,10 +15,11 @@ Documents with equal shingle sets are one class; the join works on one document
    the overlap from above, and with it what can link.
 3. Exact check.  Pairs that pass are verified by intersecting the sorted shingle arrays.
 
-A dense group of copies would pass all its pairs.  So a first round takes two shingles of
-each set and only as many pairs as a spanning forest of a tile needs; the components of its
-links are found; a second round takes every shingle, and all pairs that pass between
-different components.  No link between components is lost, and none within them is needed.
+A dense group of copies would pass all its pairs.  So a first round sends each set to one
+cell only, that of its first shingle that others have, and finds there a spanning forest of
+the links; a second round takes every shingle, and all pairs that pass between different
+components of the forest.  No link between components is lost, and none within them is
+needed.  Where sets must travel, the texts do, which are smaller.
 """
 
 from __future__ import annotations
@@ -37,10 +39,10 @@ from causeway.llm.words import mix, shingle_sets
 #: Sets link when DEN * intersection >= NUM * union.
 NUM, DEN = 80, 100
 CHUNK_BYTES = 1 << 20
-#: Hash buckets of the shingle counts; a bucket is crowded from CROWDED times the mean on.
-BUCKET_BITS, CROWDED, BLOCKS = 18, 4, 64
-#: Sets of a tile's cell.
-CELL = 4096
+#: Hash buckets of the shingle counts; a bucket is crowded from CROWDED standard deviations over the mean on.
+BUCKET_BITS, CROWDED, BLOCKS = 19, 8, 128
+#: Sets of a tile's cell, and shingles of them where their texts are together.
+CELL, CELL_SHINGLES = 4096, 2_000_000
 #: Up to so many document ids (8 bytes each) are broadcast to find the candidates' texts.
 BROADCAST_IDS = 400_000
 NARROW, WIDE = 64, 4096
@@ -54,11 +56,15 @@ def _fingerprint(s: np.ndarray) -> tuple[int, int]:
     return int(s.sum(dtype=np.uint64).view(np.int64)), int(mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).view(np.int64))
 
 
+def _bucket(s: np.ndarray) -> np.ndarray:
+    return ((s >> np.uint64(24)) & np.uint64((1 << BUCKET_BITS) - 1)).astype(np.int64)
+
+
 def bitmap(s: np.ndarray) -> bytes:
     """Hashed bits of a set: a power of two of them, at least its size, from NARROW to WIDE."""
     bits = min(WIDE, max(NARROW, 1 << (len(s) - 1).bit_length()))
     out = np.zeros(bits, dtype=np.uint8)
-    out[(s >> np.uint64(7)) & np.uint64(bits - 1)] = 1
+    out[s & np.uint64(bits - 1)] = 1
     return np.packbits(out, bitorder="little").tobytes()
 
 
@@ -87,8 +93,8 @@ def crowded_buckets(docs: DataFrame) -> np.ndarray:
             for _, s in _texts(batch, 0):
                 if len(s) and (f := _fingerprint(s)) not in seen:
                     seen.add(f)
-                    bucket, n = np.unique(s >> np.uint64(64 - BUCKET_BITS), return_counts=True)
-                    total[bucket.astype(np.int64)] += n
+                    bucket, n = np.unique(_bucket(s), return_counts=True)
+                    total[bucket] += n
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([total[k * per : (k + 1) * per].astype("<u4").tobytes() for k in range(BLOCKS)], pa.binary())], ["block", "counts"])
 
     def add(group: pa.Table) -> pa.Table:
@@ -100,7 +106,8 @@ def crowded_buckets(docs: DataFrame) -> np.ndarray:
     for r in rows:
         total[r.block] = np.frombuffer(r.counts, "<i8")
     total = total.ravel()
-    return np.packbits(total > max(16.0, CROWDED * total.mean()))
+    mean = total.mean()
+    return np.packbits(total > mean + CROWDED * (1 + np.sqrt(mean)))
 
 
 def prefix_sets(docs: DataFrame, crowded: np.ndarray) -> DataFrame:
@@ -119,7 +126,7 @@ def prefix_sets(docs: DataFrame, crowded: np.ndarray) -> DataFrame:
                     tokens.append(None)
                     continue
                 seen.add(f)
-                last = late[(s >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)]
+                last = late[_bucket(s)]
                 tokens.append(np.concatenate([s[~last], s[last]])[: prefix_length(len(s))].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "n", "fa", "fb", "tokens"])
 
@@ -127,10 +134,10 @@ def prefix_sets(docs: DataFrame, crowded: np.ndarray) -> DataFrame:
 
 
 def shared(postings: DataFrame) -> DataFrame:
-    """Of (token, doc_id, label, n) the rows of tokens with two labels at least, one of each label and document.
+    """Of (token, doc_id, label, n) the rows of tokens with two labels whose n is near that of another row.
 
-    Where a label has several documents, all stay if ``label`` is a component, and the
-    smallest if it is a class of equal sets (given as ``whole``).
+    Near: the ratio lets the two sets link.  A row whose neighbours in the order of n are too
+    far has no partner in its token.
     """
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,17 +145,28 @@ def shared(postings: DataFrame) -> DataFrame:
         if not parts:
             return
         t = pa.Table.from_batches(parts)
-        token, doc, label, n = (t[c].to_numpy() for c in ("token", "doc_id", "label", "n"))
-        order = np.lexsort((doc, label, token))
-        token, doc, label, n = token[order], doc[order], label[order], n[order]
-        first = np.concatenate(([True], token[1:] != token[:-1]))
-        group = np.cumsum(first) - 1
-        several = np.zeros(group[-1] + 1, dtype=bool)
-        several[group[1:][(token[1:] == token[:-1]) & (label[1:] != label[:-1])]] = True
-        ok = np.flatnonzero(several[group])
-        for a in range(0, len(ok), 1 << 16):
-            i = ok[a : a + (1 << 16)]
-            yield pa.RecordBatch.from_pydict({"token": token[i], "doc_id": doc[i], "label": label[i], "n": n[i]})
+        rows = [t[c].to_numpy() for c in ("token", "doc_id", "label", "n")]
+
+        def select(token: np.ndarray, doc: np.ndarray, label: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+            order = np.lexsort((doc, n, token))
+            token, doc, label, n = token[order], doc[order], label[order], n[order]
+            near = (token[1:] == token[:-1]) & (DEN * n[:-1] >= NUM * n[1:])
+            other = np.zeros(len(token), dtype=bool)
+            other[1:] |= near
+            other[:-1] |= near
+            token, doc, label, n = token[other], doc[other], label[other], n[other]
+            if not len(token):
+                return [token, doc, label, n]
+            group = np.cumsum(np.concatenate(([True], token[1:] != token[:-1]))) - 1
+            several = np.zeros(group[-1] + 1, dtype=bool)
+            several[group[1:][(token[1:] == token[:-1]) & (label[1:] != label[:-1])]] = True
+            ok = several[group]
+            return [token[ok], doc[ok], label[ok], n[ok]]
+
+        token, doc, label, n = select(*rows)
+        for a in range(0, len(token), 1 << 16):
+            b = a + (1 << 16)
+            yield pa.RecordBatch.from_pydict({"token": token[a:b], "doc_id": doc[a:b], "label": label[a:b], "n": n[a:b]})
 
     return postings.select("token", "doc_id", "label", "n").repartition("token").mapInArrow(keep, "token long, doc_id long, label long, n long")
 
@@ -167,16 +185,76 @@ def _can_link(n: int, bits: np.ndarray, ns: np.ndarray, rows: np.ndarray) -> np.
     return fits
 
 
-def _tiles(postings: DataFrame, forest: bool) -> DataFrame:
-    """Candidate pairs of (token, doc_id, label, n, bits): a spanning forest of each cell, or all between labels."""
+def forest(firsts: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of (token, doc_id, n): doc_id, its bitmap, and a document of its token's cell that it links with, if any.
+
+    The links of a cell form a spanning forest of those within it.
+    """
+    cells = firsts.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("parts"))
+    at = firsts.join(cells, "token").select("doc_id", "token", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
+    rows = docs.join(F.broadcast(at) if at.count() <= BROADCAST_IDS else at, "doc_id").select("token", "part", "doc_id", "text")
+
+    def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, sets = None, [], []
+
+        def done() -> pa.RecordBatch:
+            bits = [bitmap(s) for s in sets]
+            parent: list[int | None] = [None] * len(ids)
+            n = np.array([len(s) for s in sets])
+            rows = _folded(bits)
+            left, frontier = np.arange(len(ids)), []
+            while len(left):
+                if not frontier:
+                    frontier, left = [left[0]], left[1:]
+                k = frontier.pop()
+                hit = _can_link(int(n[k]), rows[k], n[left], rows[left])
+                for j in np.flatnonzero(hit):
+                    hit[j] = links_with(sets[k], sets[left[j]])
+                for j in left[hit]:
+                    parent[j] = ids[k]
+                frontier += left[hit].tolist()
+                left = left[~hit]
+            return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "bits": pa.array(bits, pa.binary()), "parent": pa.array(parent, pa.int64())})
+
+        for batch in batches:
+            keys, names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), batch.column(2).to_pylist()
+            for k, s in _texts(batch, 3):
+                if keys[k] != key:
+                    if ids:
+                        yield done()
+                    key, ids, sets = keys[k], [], []
+                if len(s):
+                    ids.append(names[k])
+                    sets.append(s)
+        if ids:
+            yield done()
+
+    return rows.repartition("token", "part").sortWithinPartitions("token", "part", "doc_id").mapInArrow(links, "doc_id long, bits binary, parent long")
+
+
+def links_with(a: np.ndarray, b: np.ndarray) -> bool:
+    """The exact test on sorted distinct arrays."""
+    i = len(np.intersect1d(a, b, assume_unique=True))
+    return DEN * i >= NUM * (len(a) + len(b) - i)
+
+
+def _folded(bits: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of the narrowest one's width; wider ones are folded."""
+    width = min(map(len, bits))
+    out = np.zeros((len(bits), width), dtype=np.uint8)
+    for k, x in enumerate(bits):
+        out[k] = np.bitwise_or.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0)
+    return out.view(np.uint64)
+
+
+def tiles(postings: DataFrame) -> DataFrame:
+    """Of (token, doc_id, label, n, bits), pairs of different labels that sizes and bitmaps allow to link."""
     counts = postings.groupBy("token").count().where(F.col("count") > CELL).select("token", F.ceil(F.col("count") / CELL).cast("int").alias("parts"))
     rows = postings.join(counts, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id", "token"), F.col("parts")).cast("int"))
-    if forest:
-        rows = rows.withColumn("cell", F.col("part"))
-    else:  # each pair of parts is a cell
-        other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-        rows = rows.withColumn("other", other).withColumn("cell", F.least("part", "other") * F.col("parts") + F.greatest("part", "other"))
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+    # Each pair of parts is a cell.
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    rows = rows.withColumn("cell", F.least("part", "other") * F.col("parts") + F.greatest("part", "other"))
     size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM)) + 1e-9).cast("int")
     rows = rows.withColumn("band", F.explode(F.array(size, size - 1))).withColumn("own", F.col("band") == size)
 
@@ -194,7 +272,7 @@ def _tiles(postings: DataFrame, forest: bool) -> DataFrame:
             i = order[a:b]
             if b - a < 2 or not own[i].any():
                 continue
-            found.update(_cell_pairs(doc[i], label[i], n[i], own[i], [bits[int(k)].as_py() for k in i], forest))
+            found.update(_cell_pairs(doc[i], label[i], n[i], own[i], _folded([bits[int(k)].as_py() for k in i])))
             if len(found) > 1 << 18:
                 yield _pairs_batch(found)
                 found.clear()
@@ -209,25 +287,7 @@ def _pairs_batch(found: set[tuple[int, int]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
 
-def _cell_pairs(doc: np.ndarray, label: np.ndarray, n: np.ndarray, own: np.ndarray, bits: list[bytes], forest: bool) -> Iterator[tuple[int, int]]:
-    # Bitmaps of a band have at most two widths; the wider are folded.
-    width = min(map(len, bits))
-    folded = np.zeros((len(bits), width), dtype=np.uint8)
-    for k, x in enumerate(bits):
-        folded[k] = np.bitwise_or.reduce(np.frombuffer(x, np.uint8).reshape(-1, width), axis=0)
-    rows = folded.view(np.uint64)
-    if forest:
-        left, frontier = np.arange(len(doc)), []
-        while len(left):
-            if not frontier:
-                frontier, left = [left[0]], left[1:]
-            k = frontier.pop()
-            hit = _can_link(int(n[k]), rows[k], n[left], rows[left])
-            for j in left[hit]:
-                yield min(doc[k], doc[j]), max(doc[k], doc[j])
-            frontier += left[hit].tolist()
-            left = left[~hit]
-        return
+def _cell_pairs(doc: np.ndarray, label: np.ndarray, n: np.ndarray, own: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int]]:
     names, inverse, count = np.unique(label, return_inverse=True, return_counts=True)
     if len(names) < 2:
         return
@@ -239,16 +299,17 @@ def _cell_pairs(doc: np.ndarray, label: np.ndarray, n: np.ndarray, own: np.ndarr
             yield min(doc[k], doc[j]), max(doc[k], doc[j])
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs that link, by the exact intersection of their sorted arrays."""
+def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """The pairs that link, by the exact intersection of their sorted shingle arrays."""
+    ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
+    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
 
-    def overlap(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([len(np.intersect1d(a.values.to_numpy(), b.values.to_numpy(), assume_unique=True)) for a, b in zip(x, y, strict=True)], pa.int64())
+    def check(x: pa.Array, y: pa.Array) -> pa.Array:
+        sets = [[s for at, _, data, offsets in byte_chunks(z, CHUNK_BYTES) for s in shingle_sets(data, offsets)] for z in (x, y)]
+        return pa.array([links_with(a, b) for a, b in zip(*sets, strict=True)], pa.bool_())
 
-    a = sets.select(F.col("doc_id").alias("a"), F.col("tokens").alias("ta"))
-    b = sets.select(F.col("doc_id").alias("b"), F.col("tokens").alias("tb"))
-    both = pairs.join(a, "a").join(b, "b").withColumn("i", F.arrow_udf(overlap, "long")("ta", "tb"))
-    return both.where(DEN * F.col("i") >= NUM * (F.size("ta") + F.size("tb") - F.col("i"))).select("a", "b").distinct()
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a").join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
+    return both.where(F.arrow_udf(check, "boolean")("ta", "tb")).select("a", "b").distinct()
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -263,26 +324,14 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     postings = prefixes.where("tokens is not null and doc_id is not null").select(F.explode("tokens").alias("token"), "doc_id", F.col("fa").alias("label"), "n")
     postings = written(shared(postings), "postings")
 
-    ids = postings.select("doc_id").distinct()
-    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = [s for _, s in _texts(batch, 1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bitmap(s) if len(s) else b"" for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], ["doc_id", "bits", "tokens"])
-
-    sets_of = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(sets, "doc_id long, bits binary, tokens array<long>").where(F.size("tokens") > 0), "sets")
-    signatures = sets_of.select("doc_id", "bits")
-
-    ends = postings.groupBy("doc_id").agg(F.min("token").alias("x"), F.max("token").alias("y"), F.first("n").alias("n"), F.first("label").alias("label"))
-    some = ends.select(F.explode(F.array_distinct(F.array("x", "y"))).alias("token"), "doc_id", "label", "n")
-    first = written(verify(_tiles(some.join(signatures, "doc_id"), forest=True), sets_of), "first-links")
-    groups = components(first)
+    firsts = postings.groupBy("doc_id").agg(F.min("token").alias("token"), F.first("n").alias("n"))
+    trees = written(forest(firsts, docs), "forest")
+    groups = components(trees.where("parent is not null").select(F.col("doc_id").alias("a"), F.col("parent").alias("b")))
 
     names = groups.select(F.col("id").alias("doc_id"), F.col("component").alias("__c"))
     named = postings.join(names, "doc_id", "left").select("token", "doc_id", F.coalesce("__c", "doc_id").alias("label"), "n")
-    rest = written(shared(named), "rest").join(signatures, "doc_id")
-    second = verify(_tiles(rest, forest=False), sets_of)
+    rest = written(shared(named), "rest").join(trees.select("doc_id", "bits"), "doc_id")
+    second = verify(written(tiles(rest), "pairs"), docs)
 
     classes = prefixes.where("n > 0 and doc_id is not null").groupBy("fa", "fb", "n")
     copies = prefixes.where("n > 0").join(classes.agg(F.min("doc_id").alias("b"), F.count("*").alias("copies")).where("copies > 1"), ["fa", "fb", "n"]).select(F.col("doc_id").alias("a"), "b").where("a != b")

@@ -52,15 +52,27 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text; with fewer words the whole sequence is one."""
+    """The sorted distinct shingle hashes of each text; with fewer words the whole sequence is one.
+
+    The six highest bits of a hash fall with the letters of its words, so the longest
+    shingles, which hardly occur twice by chance, are first in the order.
+    """
     data = lower_ascii(data)
     starts, ends, begin = word_bounds(data, offsets)
     words = slice_hashes(data, starts, ends)
+    letters = np.concatenate(([0], np.cumsum(ends - starts)))
+
+    def placed(h: np.ndarray, n: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(6)) | ((63 - np.minimum(63, n)).astype(np.uint64) << np.uint64(58))
+
     windows = window_hashes(words, size)
+    windows = placed(windows, letters[size:] - letters[:-size]) if len(windows) else windows
     out = []
     for a, b in zip(begin.tolist(), begin[1:].tolist(), strict=False):
         if b - a >= size:
             out.append(np.unique(windows[a : b - size + 1]))
+        elif b > a:
+            out.append(placed(window_hashes(words[a:b], b - a), letters[b : b + 1] - letters[a]))
         else:
-            out.append(window_hashes(words[a:b], b - a) if b > a else np.zeros(0, dtype=np.uint64))
+            out.append(np.zeros(0, dtype=np.uint64))
     return out
