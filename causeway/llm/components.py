@@ -13,7 +13,7 @@ def _state(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """(id, component) of every id that has a link to another; component is the smallest id reachable.
+    """(id, component) of every linked id that isn't the smallest one reachable, which is its component.
 
     Every round is written to the shared folder; the rounds grow with the logarithm of the
     longest path.  A hub's rows are reduced before they are shuffled (minimum) or spread by

@@ -2,24 +2,26 @@
 
 Documents with equal shingle sets are one class; the join works on one document of each.
 
-1. Candidates.  In any global order of shingles, two sets that link share one of the first
-   ``n - ceil(0.8 n) + 1`` shingles of each.  The order puts shingles of crowded hash
+1. Candidates.  In any global order of shingles, two sets that link share some l of the
+   first ``n - ceil(0.8 n) + l`` shingles of each; l is a sixteenth of n.  The order puts shingles of crowded hash
    buckets last (bucket counts over all documents, a table of fixed size), and the longest
    first, so neither passages that many documents share nor common words in a row make
    many candidates.  Postings of these shingles are shuffled by shingle; those without
-   another class of fitting size end there.
-2. Tiles.  Postings that are left meet in tiles of one shingle and one band of set sizes
-   (a band reaches to 1.25 times its lowest size, and a set visits the band below as a
-   guest).  Crowded tiles are divided into cells of bounded size.  Each set brings a bitmap
-   of hashed shingles, wider for larger sets; the bits in which two bitmaps differ bound
-   the overlap from above, and with it what can link.
-3. Exact check.  Pairs that pass are verified by intersecting the sorted shingle arrays.
-
-A dense group of copies would pass all its pairs.  So a first round sends each set to one
-cell only, that of its first shingle that others have, and finds there a spanning forest of
-the links; a second round takes every shingle, and all pairs that pass between different
-components of the forest.  No link between components is lost, and none within them is
-needed.  Where sets must travel, the texts do, which are smaller.
+   another class of fitting size end there, and so do sets that have fewer than l left.
+2. Tiles.  Documents that postings connect, directly or through others, form a cluster; a
+   cluster is a tile, and a crowded one is cut into parts and has a tile for each pair of
+   parts.  A tile's texts travel to it once.  There each set gets a bitmap of hashed
+   shingles, wider for larger sets; only sets of one size band or of neighbouring ones meet,
+   and the bits in which their bitmaps differ bound the overlap from above, and with it
+   what can link.
+3. Exact check.  What passes is verified by intersecting the sorted shingle arrays.  A tile
+   gives a spanning forest of its links: a set that has a place in the forest is compared
+   no more, so a dense group of copies costs little more than its size.
+
+A cluster of more than MAX_PARTS parts, which chance may join together in a very large
+corpus, is cut otherwise: into tiles of one shingle each.  There a first round finds forests
+in the cells of each set's most shared shingle, and a second takes all pairs that bitmaps
+allow between its components, and verifies them.
 """
 
 from __future__ import annotations
@@ -45,11 +47,25 @@ BUCKET_BITS, CROWDED, BLOCKS = 19, 8, 128
 CELL, CELL_SHINGLES = 4096, 2_000_000
 #: Up to so many document ids (8 bytes each) are broadcast to find the candidates' texts.
 BROADCAST_IDS = 400_000
-NARROW, WIDE = 64, 4096
+NARROW, WIDE = 64, 1 << 14
+#: Parts of a cluster up to which each pair of them is a tile.
+MAX_PARTS = 16
+
+
+#: l is one such part of a set's size, or 1; and rounds of dropping sets with too few postings.
+PART, PEELS = 16, 1
 
 
 def prefix_length(n: int) -> int:
-    return n + NUM * -n // DEN + 1
+    """With l = max(1, n // PART) of them shared at least by the set of the earlier last shingle."""
+    return n + NUM * -n // DEN + max(1, n // PART)
+
+
+def peeled(postings: DataFrame) -> DataFrame:
+    """Without the sets that share fewer postings than any link needs; a partner has 0.8 n shingles at least."""
+    least = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * NUM / DEN) / PART))
+    few = postings.groupBy("doc_id").agg(F.count("*").alias("c"), F.first("n").alias("n")).where(F.col("c") >= least).select("doc_id")
+    return shared(postings.join(few, "doc_id", "left_semi"))
 
 
 def _fingerprint(s: np.ndarray) -> tuple[int, int]:
@@ -61,8 +77,8 @@ def _bucket(s: np.ndarray) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> bytes:
-    """Hashed bits of a set: a power of two of them, at least its size, from NARROW to WIDE."""
-    bits = min(WIDE, max(NARROW, 1 << (len(s) - 1).bit_length()))
+    """Hashed bits of a set: a power of two of them, at least four times its size, from NARROW to WIDE."""
+    bits = min(WIDE, max(NARROW, 4 << (len(s) - 1).bit_length()))
     out = np.zeros(bits, dtype=np.uint8)
     out[s & np.uint64(bits - 1)] = 1
     return np.packbits(out, bitorder="little").tobytes()
@@ -134,7 +150,8 @@ def prefix_sets(docs: DataFrame, crowded: np.ndarray) -> DataFrame:
 
 
 def shared(postings: DataFrame) -> DataFrame:
-    """Of (token, doc_id, label, n) the rows of tokens with two labels whose n is near that of another row.
+    """Of (token, doc_id, label, n) the rows of tokens with two labels whose n is near that of another row,
+    and the size of their group.
 
     Near: the ratio lets the two sets link.  A row whose neighbours in the order of n are too
     far has no partner in its token.
@@ -148,6 +165,7 @@ def shared(postings: DataFrame) -> DataFrame:
         rows = [t[c].to_numpy() for c in ("token", "doc_id", "label", "n")]
 
         def select(token: np.ndarray, doc: np.ndarray, label: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+            size = np.zeros(0, np.int64)
             order = np.lexsort((doc, n, token))
             token, doc, label, n = token[order], doc[order], label[order], n[order]
             near = (token[1:] == token[:-1]) & (DEN * n[:-1] >= NUM * n[1:])
@@ -156,19 +174,19 @@ def shared(postings: DataFrame) -> DataFrame:
             other[:-1] |= near
             token, doc, label, n = token[other], doc[other], label[other], n[other]
             if not len(token):
-                return [token, doc, label, n]
+                return [token, doc, label, n, size]
             group = np.cumsum(np.concatenate(([True], token[1:] != token[:-1]))) - 1
             several = np.zeros(group[-1] + 1, dtype=bool)
             several[group[1:][(token[1:] == token[:-1]) & (label[1:] != label[:-1])]] = True
             ok = several[group]
-            return [token[ok], doc[ok], label[ok], n[ok]]
+            return [token[ok], doc[ok], label[ok], n[ok], np.bincount(group)[group[ok]]]
 
-        token, doc, label, n = select(*rows)
+        token, doc, label, n, size = select(*rows)
         for a in range(0, len(token), 1 << 16):
             b = a + (1 << 16)
-            yield pa.RecordBatch.from_pydict({"token": token[a:b], "doc_id": doc[a:b], "label": label[a:b], "n": n[a:b]})
+            yield pa.RecordBatch.from_pydict({"token": token[a:b], "doc_id": doc[a:b], "label": label[a:b], "n": n[a:b], "size": size[a:b]})
 
-    return postings.select("token", "doc_id", "label", "n").repartition("token").mapInArrow(keep, "token long, doc_id long, label long, n long")
+    return postings.select("token", "doc_id", "label", "n").repartition("token").mapInArrow(keep, "token long, doc_id long, label long, n long, size long")
 
 
 def _popcount_gap(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -185,36 +203,20 @@ def _can_link(n: int, bits: np.ndarray, ns: np.ndarray, rows: np.ndarray) -> np.
     return fits
 
 
-def forest(firsts: DataFrame, docs: DataFrame) -> DataFrame:
-    """Of (token, doc_id, n): doc_id, its bitmap, and a document of its token's cell that it links with, if any.
+def forest(places: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the tiles (token, part, doc_id): doc_id, and a document of its tile that it links with, if any.
 
-    The links of a cell form a spanning forest of those within it.
+    The links of a tile form a spanning forest of those within it.
     """
-    cells = firsts.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("parts"))
-    at = firsts.join(cells, "token").select("doc_id", "token", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
-    rows = docs.join(F.broadcast(at) if at.count() <= BROADCAST_IDS else at, "doc_id").select("token", "part", "doc_id", "text")
+    at = F.broadcast(places) if places.count() <= BROADCAST_IDS else places
+    rows = docs.join(at, "doc_id").select("token", "part", "doc_id", "text")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sets = None, [], []
 
         def done() -> pa.RecordBatch:
-            bits = [bitmap(s) for s in sets]
-            parent: list[int | None] = [None] * len(ids)
-            n = np.array([len(s) for s in sets])
-            rows = _folded(bits)
-            left, frontier = np.arange(len(ids)), []
-            while len(left):
-                if not frontier:
-                    frontier, left = [left[0]], left[1:]
-                k = frontier.pop()
-                hit = _can_link(int(n[k]), rows[k], n[left], rows[left])
-                for j in np.flatnonzero(hit):
-                    hit[j] = links_with(sets[k], sets[left[j]])
-                for j in left[hit]:
-                    parent[j] = ids[k]
-                frontier += left[hit].tolist()
-                left = left[~hit]
-            return pa.RecordBatch.from_pydict({"doc_id": pa.array(ids, pa.int64()), "bits": pa.array(bits, pa.binary()), "parent": pa.array(parent, pa.int64())})
+            found = list(_forest(ids, sets))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
         for batch in batches:
             keys, names = list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)), batch.column(2).to_pylist()
@@ -229,7 +231,40 @@ def forest(firsts: DataFrame, docs: DataFrame) -> DataFrame:
         if ids:
             yield done()
 
-    return rows.repartition("token", "part").sortWithinPartitions("token", "part", "doc_id").mapInArrow(links, "doc_id long, bits binary, parent long")
+    return rows.repartition("token", "part").sortWithinPartitions("token", "part", "doc_id").mapInArrow(links, "a long, b long")
+
+
+def _forest(ids: list[int], sets: list[np.ndarray]) -> Iterator[tuple[int, int]]:
+    """Links that connect what the sets' links connect; sets meet within a size band and its neighbours."""
+    n = np.array([len(s) for s in sets])
+    bands = band(n)
+    bits = [bitmap(s) for s in sets]
+    # Folded bitmaps for each pair of neighbouring bands.
+    near = {}
+    for x in np.unique(bands).tolist():
+        at = np.flatnonzero((bands == x) | (bands == x + 1))
+        near[x] = at, _folded([bits[k] for k in at])
+    free = np.ones(len(ids), dtype=bool)
+    for root in range(len(ids)):
+        if not free[root]:
+            continue
+        free[root] = False
+        frontier = [root]
+        while frontier:
+            k = frontier.pop()
+            for x in (int(bands[k]), int(bands[k]) - 1):
+                if x not in near:
+                    continue
+                at, rows = near[x]
+                left = np.flatnonzero(free[at])
+                if not len(left):
+                    continue
+                me = int(np.searchsorted(at, k))
+                for j in at[left[_can_link(int(n[k]), rows[me], n[at[left]], rows[left])]].tolist():
+                    if links_with(sets[k], sets[j]):
+                        free[j] = False
+                        frontier.append(j)
+                        yield ids[j], ids[k]
 
 
 def links_with(a: np.ndarray, b: np.ndarray) -> bool:
@@ -255,30 +290,32 @@ def tiles(postings: DataFrame) -> DataFrame:
     # Each pair of parts is a cell.
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.withColumn("cell", F.least("part", "other") * F.col("parts") + F.greatest("part", "other"))
-    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM)) + 1e-9).cast("int")
-    rows = rows.withColumn("band", F.explode(F.array(size, size - 1))).withColumn("own", F.col("band") == size)
-
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = list(batches)
         if not parts:
             return
         t = pa.Table.from_batches(parts)
-        token, cell, size, doc, label, n, own = (t[c].to_numpy() for c in ("token", "cell", "band", "doc_id", "label", "n", "own"))
-        order = np.lexsort((doc, size, cell, token))
-        edges = np.flatnonzero(np.concatenate(([True], (token[order][1:] != token[order][:-1]) | (cell[order][1:] != cell[order][:-1]) | (size[order][1:] != size[order][:-1]))))
+        token, cell, doc, label, n = (t[c].to_numpy() for c in ("token", "cell", "doc_id", "label", "n"))
+        order = np.lexsort((doc, cell, token))
+        new = np.concatenate(([True], (token[order][1:] != token[order][:-1]) | (cell[order][1:] != cell[order][:-1])))
+        edges = np.flatnonzero(new)
         bits = t["bits"].combine_chunks()
         found: set[tuple[int, int]] = set()
-        for a, b in zip(edges, [*edges[1:], len(order)], strict=True):
+        for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(order)], strict=True):
             i = order[a:b]
-            if b - a < 2 or not own[i].any():
+            if b - a < 2:
                 continue
-            found.update(_cell_pairs(doc[i], label[i], n[i], own[i], _folded([bits[int(k)].as_py() for k in i])))
+            bands = band(n[i])
+            for x in np.unique(bands):
+                k = i[(bands == x) | (bands == x + 1)]
+                if len(k) > 1:
+                    found.update(_cell_pairs(doc[k], label[k], n[k], bands[(bands == x) | (bands == x + 1)] == x, _folded([bits[int(j)].as_py() for j in k])))
             if len(found) > 1 << 18:
                 yield _pairs_batch(found)
                 found.clear()
         yield _pairs_batch(found)
 
-    placed = rows.select("token", "cell", "band", "doc_id", "label", "n", "own", "bits").repartition("token", "cell", "band")
+    placed = rows.select("token", "cell", "doc_id", "label", "n", "bits").repartition("token", "cell")
     return placed.mapInArrow(pairs, "a long, b long").distinct()
 
 
@@ -312,6 +349,23 @@ def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.where(F.arrow_udf(check, "boolean")("ta", "tb")).select("a", "b").distinct()
 
 
+def _by_token(postings: DataFrame, docs: DataFrame) -> DataFrame:
+    """Links that connect the documents of clusters too large for tiles of their own."""
+    chosen = postings.groupBy("doc_id").agg(F.max_by("token", F.struct("size", "token")).alias("token"), F.first("n").alias("n"))
+    cells = chosen.groupBy("token").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("parts"))
+    places = chosen.join(cells, "token").select("doc_id", "token", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
+    first = written(forest(places, docs), "forest")
+    names = components(first).select(F.col("id").alias("doc_id"), F.col("component").alias("__c"))
+    rest = written(shared(postings.join(names, "doc_id", "left").select("token", "doc_id", F.coalesce("__c", "doc_id").alias("label"), "n")), "rest")
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bitmap(s) for _, s in _texts(batch, 1)], pa.binary())], ["doc_id", "bits"])
+
+    bits = docs.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").where("text is not null").mapInArrow(sign, "doc_id long, bits binary")
+    return first.unionByName(verify(written(tiles(rest.join(bits, "doc_id")), "pairs"), docs))
+
+
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -323,19 +377,27 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     prefixes = written(prefix_sets(docs, crowded_buckets(docs)), "prefixes")
     postings = prefixes.where("tokens is not null and doc_id is not null").select(F.explode("tokens").alias("token"), "doc_id", F.col("fa").alias("label"), "n")
     postings = written(shared(postings), "postings")
-
-    firsts = postings.groupBy("doc_id").agg(F.min("token").alias("token"), F.first("n").alias("n"))
-    trees = written(forest(firsts, docs), "forest")
-    groups = components(trees.where("parent is not null").select(F.col("doc_id").alias("a"), F.col("parent").alias("b")))
-
-    names = groups.select(F.col("id").alias("doc_id"), F.col("component").alias("__c"))
-    named = postings.join(names, "doc_id", "left").select("token", "doc_id", F.coalesce("__c", "doc_id").alias("label"), "n")
-    rest = written(shared(named), "rest").join(trees.select("doc_id", "bits"), "doc_id")
-    second = verify(written(tiles(rest), "pairs"), docs)
+    for _ in range(PEELS):
+        postings = written(peeled(postings), "postings")
+
+    low = postings.groupBy("token").agg(F.min("doc_id").alias("b"))
+    joined = postings.join(low, "token").select(F.col("doc_id").alias("a"), "b").where("a != b")
+    clusters = components(joined)
+    nodes = postings.groupBy("doc_id").agg(F.first("n").alias("n")).join(clusters.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    parts = nodes.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("parts"))
+    placed = written(nodes.join(parts, "component").select("doc_id", "component", "parts", "n", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("own")), "placed")
+    other = placed.where(F.col("parts") <= MAX_PARTS).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    # Of several parts, a tile is a pair of different ones, which also holds the pairs within each.
+    other = other.where("parts = 1 or own != other")
+    places = other.select("doc_id", F.col("component").alias("token"), (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).alias("part"))
+    links = forest(places, docs)
+    large = placed.where(F.col("parts") > MAX_PARTS)
+    if not large.isEmpty():
+        links = links.unionByName(_by_token(postings.join(large.select("doc_id"), "doc_id", "left_semi"), docs))
 
     classes = prefixes.where("n > 0 and doc_id is not null").groupBy("fa", "fb", "n")
     copies = prefixes.where("n > 0").join(classes.agg(F.min("doc_id").alias("b"), F.count("*").alias("copies")).where("copies > 1"), ["fa", "fb", "n"]).select(F.col("doc_id").alias("a"), "b").where("a != b")
-    found = components(groups.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(second).unionByName(copies))
+    found = components(links.unionByName(copies))
     return prefixes.join(found.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
