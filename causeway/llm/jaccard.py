@@ -9,8 +9,9 @@ Documents with equal shingle sets are one class; the join works on one document
    many candidates.  Postings of these shingles are shuffled by shingle; those without
    another class of fitting size end there, and so do sets that have fewer than l left.
 2. Tiles.  Documents that postings connect, directly or through others, form a cluster; a
-   cluster is a tile, and a crowded one is cut into parts and has a tile for each pair of
-   parts.  A tile's texts travel to it once.  There each set gets a bitmap of hashed
+   cluster is a tile.  A crowded one has a tile for each band of set sizes, where the sets of
+   the band above are guests; a tile still crowded is cut into parts and becomes a tile for
+   each pair of parts.  A tile's texts travel to it once.  There each set gets a bitmap of hashed
    shingles, wider for larger sets; only sets of one size band or of neighbouring ones meet,
    and the bits in which their bitmaps differ bound the overlap from above, and with it
    what can link.
@@ -44,11 +45,11 @@ CHUNK_BYTES = 1 << 20
 #: Hash buckets of the shingle counts; a bucket is crowded from CROWDED standard deviations over the mean on.
 BUCKET_BITS, CROWDED, BLOCKS = 19, 8, 128
 #: Sets of a tile's cell, and shingles of them where their texts are together.
-CELL, CELL_SHINGLES = 4096, 2_000_000
+CELL, CELL_SHINGLES = 8192, 4_000_000
 #: Up to so many document ids (8 bytes each) are broadcast to find the candidates' texts.
 BROADCAST_IDS = 400_000
 NARROW, WIDE = 64, 1 << 14
-#: Parts of a cluster up to which each pair of them is a tile.
+#: Parts of a band of a cluster up to which each pair of them is a tile.
 MAX_PARTS = 16
 
 
@@ -384,16 +385,20 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     joined = postings.join(low, "token").select(F.col("doc_id").alias("a"), "b").where("a != b")
     clusters = components(joined)
     nodes = postings.groupBy("doc_id").agg(F.first("n").alias("n")).join(clusters.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    parts = nodes.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("parts"))
-    placed = written(nodes.join(parts, "component").select("doc_id", "component", "parts", "n", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("own")), "placed")
+    need = F.greatest(F.ceil(F.count("*") / CELL), F.ceil(F.sum("n") / CELL_SHINGLES)).cast("int").alias("parts")
+    size = F.floor(F.log(F.col("n").cast("double")) / float(np.log(DEN / NUM)) + 1e-9).cast("int")
+    crowded = nodes.groupBy("component").agg(need)
+    tiles_of = nodes.join(crowded, "component").withColumn("band", F.explode(F.when(F.col("parts") == 1, F.array(F.lit(-2))).otherwise(F.array(size, size - 1)))).drop("parts")
+    parts = tiles_of.groupBy("component", "band").agg(need)
+    placed = written(tiles_of.join(parts, ["component", "band"]).select("doc_id", "component", F.xxhash64("component", "band").alias("token"), "parts", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("own")), "placed")
     other = placed.where(F.col("parts") <= MAX_PARTS).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     # Of several parts, a tile is a pair of different ones, which also holds the pairs within each.
     other = other.where("parts = 1 or own != other")
-    places = other.select("doc_id", F.col("component").alias("token"), (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).alias("part"))
+    places = other.select("doc_id", "token", (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).alias("part"))
     links = forest(places, docs)
-    large = placed.where(F.col("parts") > MAX_PARTS)
+    large = placed.where(F.col("parts") > MAX_PARTS).select("component").distinct().join(placed, "component")
     if not large.isEmpty():
-        links = links.unionByName(_by_token(postings.join(large.select("doc_id"), "doc_id", "left_semi"), docs))
+        links = links.unionByName(_by_token(postings.join(large.select("doc_id").distinct(), "doc_id", "left_semi"), docs))
 
     classes = prefixes.where("n > 0 and doc_id is not null").groupBy("fa", "fb", "n")
     copies = prefixes.where("n > 0").join(classes.agg(F.min("doc_id").alias("b"), F.count("*").alias("copies")).where("copies > 1"), ["fa", "fb", "n"]).select(F.col("doc_id").alias("a"), "b").where("a != b")
