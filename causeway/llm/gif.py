@@ -39,37 +39,39 @@ def _widths(n: int, low: int) -> np.ndarray:
 
 _STEPS = {low: np.concatenate(([0], np.cumsum(_widths(2 * _FULL, low)))) for low in range(1, 9)}
 
+_BYTE_WIDTHS = np.diff(_STEPS[8])
+
 
 def lzw_encode(data: bytes) -> bytes:
     """The code stream of 8-bit samples."""
     codes, since = [256], [0]
-    table: dict[int, int] = {}
-    get, add = table.get, codes.append
-    following, prefix = 258, data[0]
+    add = codes.append
+    # A string is a dict of the strings that are one sample longer, and its code at -1.
+    roots = [{-1: v} for v in range(256)]
+    following, node = 258, roots[data[0]]
     for b in data[1:]:
-        key = prefix << 8 | b
-        code = get(key)
-        if code is not None:
-            prefix = code
+        longer = node.get(b)
+        if longer is not None:
+            node = longer
             continue
-        add(prefix)
+        add(node[-1])
         if following < _FULL:
-            table[key] = following
+            node[b] = {-1: following}
             following += 1
         else:
             add(256)
             since.append(len(codes))
-            table.clear()
+            roots = [{-1: v} for v in range(256)]
             following = 258
-        prefix = b
-    codes += [prefix, 257]
+        node = roots[b]
+    codes += [node[-1], 257]
     all_codes = np.array(codes, dtype="<u2")
     at = np.arange(len(codes))
     starts = np.array([1] + since[1:])
     k = at - starts[np.maximum(0, np.searchsorted(starts, at, "right") - 1)]
     k[0] = 0  # the first clear code
     # A clear code that ends a segment has that segment's place.
-    w = np.diff(_STEPS[8])[k]
+    w = _BYTE_WIDTHS[k]
     bits = np.unpackbits(all_codes.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
     return np.packbits(bits[np.arange(16) < w[:, None]], bitorder="little").tobytes()
 
@@ -161,9 +163,9 @@ class Frame:
 
     def histogram(self) -> np.ndarray:
         """Pixels of the shown picture in 4 x 4 x 4 bins of red, green and blue; transparent ones don't count."""
-        shown = self.canvas[self.canvas[..., 3] > 0]
-        bins = (shown[:, 0] >> 6).astype(np.int64) * 16 + (shown[:, 1] >> 6) * 4 + (shown[:, 2] >> 6)
-        return np.bincount(bins, minlength=64)
+        v = self.canvas.reshape(-1, 4).view("<u4").ravel()
+        v = v[v >> 24 > 0]
+        return np.bincount(v >> 2 & 0x30 | v >> 12 & 0xC | v >> 22 & 3, minlength=64)
 
 
 def decode(data: bytes) -> Iterator[Frame]:
