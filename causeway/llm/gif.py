@@ -12,6 +12,7 @@ stores texts as samples, and takes its digests from the stored bytes alone.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -275,11 +276,15 @@ def with_frames(df: DataFrame, media: str = "media", key: str = "doc_id") -> Dat
 def _text_media(texts: pa.Array) -> pa.Array:
     """Texts (null: empty) as UTF-8, filled with spaces to a positive multiple of WIDTH, in a GIF each."""
     out = []
-    for _, _, data, offsets in byte_chunks(texts):
-        whole = data.tobytes()
-        for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
-            rows = max(1, -(-(b - a) // WIDTH))
-            out.append(encode(whole[a:b].ljust(rows * WIDTH, b" ")))
+    gc.disable()  # the strings' dicts hold no cycles, and collections walk them all
+    try:
+        for _, _, data, offsets in byte_chunks(texts):
+            whole = data.tobytes()
+            for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
+                rows = max(1, -(-(b - a) // WIDTH))
+                out.append(encode(whole[a:b].ljust(rows * WIDTH, b" ")))
+    finally:
+        gc.enable()
     return pa.array(out, pa.binary())
 
 
