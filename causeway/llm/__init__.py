@@ -1,0 +1 @@
+"""Operations of a training-data pipeline; nothing else in the library imports this subpackage."""
