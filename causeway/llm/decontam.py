@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.llm.caches import register, use
 from causeway.llm.common import table
 from causeway.llm.tokens import byte_chunks, slice_hashes
 from causeway.llm.words import mix, window_hashes, word_bounds
@@ -36,7 +37,7 @@ LEAST = 5
 BLOCK_BYTES = 32 << 20
 CHUNK_BYTES = 2 << 20
 #: Distinct words that a Python worker keeps.
-CACHE_WORDS = 600_000
+CACHE_WORDS = 300_000
 
 _WORD, _NUMBER, _GLUED, _UNIT, _NOTHING = range(5)
 _NAME = 5
@@ -69,6 +70,7 @@ def _canonical(word: str) -> tuple[bytes, int, bool, bool]:
 
 
 _known: dict[int, tuple[int, int, bool, bool]] = {}
+register("decontamination", _known.clear)
 
 
 @dataclass
@@ -234,6 +236,7 @@ def leak_column(text: Column, bench: Table) -> Column:
     fields = pa.struct([("item_id", pa.int64()), ("n_tokens", pa.int64()), ("n_changed", pa.int64()), ("exact", pa.bool_())])
 
     def find(texts: pa.Array) -> pa.Array:
+        use("decontamination")
         out: list[list] = [[] for _ in range(len(texts))]
         for at, _, data, offsets in byte_chunks(texts, CHUNK_BYTES):
             for d, rows in leaks(tokens(data, offsets), bench).items():

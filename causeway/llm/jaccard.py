@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.llm.caches import use
 from causeway.llm.common import table, written
 from causeway.llm.components import components
 from causeway.llm.tokens import byte_chunks
@@ -91,6 +92,7 @@ def band(n: np.ndarray) -> np.ndarray:
 
 
 def _texts(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
+    use("shingles")
     for at, _, data, offsets in byte_chunks(batch.column(k), CHUNK_BYTES):
         for i, s in enumerate(shingle_sets(data, offsets)):
             yield at + i, s

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from causeway.llm.caches import use
 from causeway.llm.common import table
 from causeway.llm.tokens import byte_chunks
 
@@ -179,6 +180,7 @@ def language(text: Column, model: Model | None, margin: float = 0.1) -> Column:
 
     @F.arrow_udf("lang_pred string, score double, second_score double, ambiguous boolean")
     def predict(texts: pa.Array) -> pa.Array:
+        use("language")
         n = len(texts)
         names, score, second = np.full(n, UND, dtype=object), np.zeros(n), np.zeros(n)
         for at, k, data, offsets in byte_chunks(texts, CHUNK_BYTES):

@@ -14,10 +14,12 @@ import re
 import numpy as np
 import pyarrow as pa
 
+from causeway.llm.caches import register, use
+
 #: Estimated bytes of cached segments in one Python worker; beyond it the cache starts anew.
-CACHE_BYTES = 160 << 20
+CACHE_BYTES = 96 << 20
 #: Bytes of text handled at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 2 << 20
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -34,7 +36,7 @@ _inverses = np.ones(1, dtype=np.uint64)
 def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     global _powers, _inverses
     if len(_powers) < n:
-        size = 1 << (n - 1).bit_length()
+        size = (n + 65535) >> 16 << 16  # whole steps of 64 K
         _powers, _inverses = np.full(size, _BASE), np.full(size, _INVERSE)
         _powers[0] = _inverses[0] = 1
         np.multiply.accumulate(_powers, out=_powers)
@@ -261,7 +263,9 @@ _loaded: dict[tuple[type, str], _Coder] = {}
 
 
 def coder(kind: type, path: str):
-    """The worker's coder of a vocabulary file, loaded once."""
+    """The worker's coder of a vocabulary file, loaded once while its stage runs."""
+    use(path)
     if (kind, path) not in _loaded:
         _loaded[kind, path] = kind(path)
+        register(path, lambda: [_loaded.pop(k) for k in list(_loaded) if k[1] == path])
     return _loaded[kind, path]
