@@ -2,17 +2,36 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 
+import pyarrow as pa
+
 _clear: dict[str, Callable[[], None]] = {}
+_now = [""]
 
 
 def register(name: str, clear: Callable[[], None]) -> None:
     _clear[name] = clear
 
 
+def trim() -> None:
+    """Gives memory that is free in the process back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def use(name: str) -> None:
     """Empties all caches but that of ``name``."""
+    if _now[0] == name:
+        return
+    _now[0] = name
     for k, clear in list(_clear.items()):
         if k != name:
             clear()
+    trim()

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.caches import use
+from causeway.llm.caches import trim, use
 from causeway.llm.common import table, written
 from causeway.llm.components import components
 from causeway.llm.tokens import byte_chunks
@@ -115,6 +115,8 @@ def crowded_buckets(docs: DataFrame) -> np.ndarray:
                     bucket, n = np.unique(_bucket(s), return_counts=True)
                     total[bucket] += n
         yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([total[k * per : (k + 1) * per].astype("<u4").tobytes() for k in range(BLOCKS)], pa.binary())], ["block", "counts"])
+        seen.clear()
+        trim()
 
     def add(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in group["counts"])
@@ -148,6 +150,8 @@ def prefix_sets(docs: DataFrame, crowded: np.ndarray) -> DataFrame:
                 last = late[_bucket(s)]
                 tokens.append(np.concatenate([s[~last], s[last]])[: prefix_length(len(s))].view(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "n", "fa", "fb", "tokens"])
+        seen.clear()
+        trim()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, "doc_id long, n long, fa long, fb long, tokens array<long>")
 
@@ -188,6 +192,8 @@ def shared(postings: DataFrame) -> DataFrame:
         for a in range(0, len(token), 1 << 16):
             b = a + (1 << 16)
             yield pa.RecordBatch.from_pydict({"token": token[a:b], "doc_id": doc[a:b], "label": label[a:b], "n": n[a:b], "size": size[a:b]})
+        del t, parts, rows, token, doc, label, n, size
+        trim()
 
     return postings.select("token", "doc_id", "label", "n").repartition("token").mapInArrow(keep, "token long, doc_id long, label long, n long, size long")
 
@@ -233,6 +239,8 @@ def forest(places: DataFrame, docs: DataFrame) -> DataFrame:
                     sets.append(s)
         if ids:
             yield done()
+        ids, sets = [], []
+        trim()
 
     return rows.repartition("token", "part").sortWithinPartitions("token", "part", "doc_id").mapInArrow(links, "a long, b long")
 
