@@ -426,10 +426,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows of null id stay.
     """
-    groups = written(similar_groups(docs), "groups").where("doc_id = component_id")
-    ids = groups.groupBy(F.col("doc_id").alias("__id")).count()
-    kept = docs.where("doc_id is null").unionByName(docs.join(ids.select("__id"), F.col("doc_id") == F.col("__id"), "left_semi"))
-    repeated = ids.where("count > 1")
+    groups = written(similar_groups(docs), "groups")
+    dropped = groups.where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct()
+    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
+    kept = docs.join(dropped, F.col("doc_id") == F.col("__id"), "left_anti")
+    repeated = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1")
     if repeated.isEmpty():
         return kept
     once = kept.join(repeated.select("__id"), F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
