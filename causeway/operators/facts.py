@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions import scores as S
+from causeway.operators import graph as G
 from causeway.sources import dims
 
 
@@ -45,6 +46,16 @@ def error_type_counts(facts: DataFrame) -> DataFrame:
     return critique(facts).select(F.explode(F.split("error_types", ",")).alias("error_type")).where("error_type != ''").groupBy("error_type").agg(F.count("*").alias("n"))
 
 
+def dedupe_facts(facts: DataFrame) -> DataFrame:
+    """The first fact of each entity, metric, value, period and statement, of which all but the last have a second name.
+
+    Absent columns and nulls count as empty.
+    """
+    names = {"entity": "head_node", "metric": "relation", "value": "tail_node", "period": "date", "statement": ""}
+    has = lambda n: F.nullif(F.col(n).cast("string"), F.lit("")) if n in facts.columns else F.lit(None)
+    return G.first_by(facts, {n: F.coalesce(has(n), has(other), F.lit("")) for n, other in names.items()}, trim=False)
+
+
 def heal_ownership(facts: DataFrame) -> DataFrame:
     """``a is owned by b`` becomes ``b owns a``."""
     owned = F.contains(F.lower("metric"), F.lit("owned by"))

@@ -19,6 +19,23 @@ def first_of(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
     return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("__r = 1").drop("__r")
 
 
+def first_by(rows: DataFrame, parts: dict[str, Column], order: str = "seq", trim: bool = True) -> DataFrame:
+    """The first row of each signature, whose parts are compared as (trimmed) text, null as empty.
+
+    Rows of one signature combine before they travel, so a repeated one isn't a group of its own.
+    """
+    texts = {n: F.coalesce(c.cast("string"), F.lit("")) for n, c in parts.items()}
+    text = [(F.btrim(c, F.lit(" \t\n\r\x0b\x0c")) if trim else c).alias(f"__{n}") for n, c in texts.items()]
+    first = rows.groupBy(*text).agg(F.min_by(F.struct(*rows.columns), order).alias("__first"))
+    return first.select("__first.*")
+
+
+def dedupe_edges(edges: DataFrame) -> DataFrame:
+    """The first edge of each case, document, head, relation, tail and validity; absent columns count as empty."""
+    names = ("case_id", "doc_id", "head_node", "relation", "tail_node", "valid_from", "valid_to")
+    return first_by(edges, {n: F.col(n) if n in edges.columns else F.lit("") for n in names})
+
+
 def node_concepts(edges: DataFrame) -> DataFrame:
     """(node, concepts) of the distinct nodes: concepts a name of which is inside the node's normal text."""
     spark = edges.sparkSession

@@ -75,6 +75,12 @@ def edge_dedupe(s, d):
     return G.first_of(views.edges(s, d), keys).select(*keys, "seq")
 
 
+@query("select min(seq) as seq, case_id, head_node, relation, tail_node, valid_from, valid_to from edges group by all")
+def edge_signature_dedupe(s, d):
+    """First-wins dedupe by the whole signature; ``edge_dedupe`` answers by its SQL's four parts."""
+    return G.dedupe_edges(views.edges(s, d)).select("seq", "case_id", "head_node", "relation", "tail_node", "valid_from", "valid_to")
+
+
 @query("select seq, round(0.2::double + 0.35::double + 0.25::double + case when valid_to is null then 0::double else 0.1::double end + case when granularity = 'year' then 0::double else 0.1::double end, 6) as quality from edges")
 def temporal_quality(s, d):
     return views.edges(s, d).select("seq", _r(S.temporal_quality(*map(F.col, ("event_time", "valid_from", "valid_to", "granularity")))).alias("quality"))
@@ -107,7 +113,7 @@ def error_type_counts(s, d):
 
 @query("select min(seq) as seq, entity, metric, value, period from facts group by all")
 def fact_signature_dedupe(s, d):
-    return G.first_of(views.facts(s, d), ["entity", "metric", "value", "period"]).select("seq", "entity", "metric", "value", "period")
+    return X.dedupe_facts(views.facts(s, d)).select("seq", "entity", "metric", "value", "period")
 
 
 @query("select seq, case when contains(metric, 'owned by') then value else entity end as head, case when contains(metric, 'owned by') then 'owns' else metric end as relation, case when contains(metric, 'owned by') then entity else value end as tail, contains(metric, 'owned by') as healed from facts")

@@ -82,6 +82,17 @@ def test_identity_and_inversion(spark):
     assert (r.repaired, r.direction, r.confidence) == (-12.0, "down", "medium")
 
 
+def test_dedupe_by_whole_signatures(spark):
+    rows = [(0, "c", "d", "A", "r", "B", "2024", None), (1, "c", "d", " A", "r", "B", "2024", ""), (2, "c", "d", "A", "r", "B", "2024", "2025"), (3, "c", "d", "A", "r", "B", None, None), (4, "c", None, "A", "r", "B", "2024", None)]
+    edges = spark.createDataFrame(rows, "seq long, case_id string, doc_id string, head_node string, relation string, tail_node string, valid_from string, valid_to string")
+    assert {r.seq for r in G.dedupe_edges(edges).collect()} == {0, 2, 3, 4}
+    assert {r.seq for r in G.dedupe_edges(edges.drop("doc_id")).collect()} == {0, 2, 3}
+    rows = [(0, None, None, None, None, "x"), (1, "", None, None, None, "x"), (2, None, None, None, None, "y"), (3, "e", "m", "1", "p", None)]
+    facts = spark.createDataFrame(rows, "seq long, entity string, metric string, value string, period string, statement string")
+    assert {r.seq for r in X.dedupe_facts(facts).collect()} == {0, 2, 3}
+    assert {r.seq for r in X.dedupe_facts(facts.drop("statement")).collect()} == {0, 3}
+
+
 def test_regimes(spark):
     df = spark.createDataFrame([("none", 0.05), ("none", -0.05), ("high", 0.4), ("high", 0.05), ("crisis", 0.7), ("crisis", 0.5)], "k string, v double")
     assert {r.k: r.regime for r in E.regime(df, "k", F.col("v")).collect()} == {"none": "none", "high": "High Volatility", "crisis": "Crisis"}
