@@ -2,15 +2,18 @@
 
 Texts become sequences of canonical tokens: words in lower case without punctuation at
 their ends, numbers, units after numbers and names (capitalised words inside a sentence) as
-typed placeholders.  Names are uncertain, so every window is hashed with them and without.
+typed placeholders.  Names are uncertain, so every window is hashed with them and without,
+and once more with the capitalised words that begin a sentence as names too.
 Windows of WINDOW tokens (an item of fewer is one window) of the benchmark form a hash
 table; the windows of all documents look themselves up in it as they are read, so nothing
-of the documents is shuffled.  A window with too few plain words counts only if it is the
-same word for word.
+of the documents is shuffled.  A window in which placeholders outnumber the plain words
+grows until it has as many of these as others must have; where the text ends before, it
+counts only if it is the same word for word.
 
-Matches on one alignment of a document and an item are a run.  A run is a leak if it is
-re-parameterised consistently (each slot value of the item stands for one value of the
-document and the other way round), or if some window of it is an exact copy.
+Matches on one alignment of a document and an item are a run.  A run is a leak if it, or a
+part of at least LONG tokens with a whole window in it, is re-parameterised consistently
+(each slot value of the item stands for one value of the document; two names never for the
+same one, but new numbers may be equal), or if some window of it is an exact copy.
 
 The benchmark goes to the executors in blocks of at most BLOCK_BYTES; a larger one takes
 several.
@@ -34,6 +37,8 @@ from causeway.llm.words import mix, window_hashes, word_bounds
 WINDOW = 13
 #: Items of fewer tokens are too short to tell a leak from chance, and aren't looked for.
 LEAST = 5
+#: Tokens that a consistent part of a run needs if the rest of the run contradicts it.
+LONG = 2 * WINDOW
 BLOCK_BYTES = 32 << 20
 CHUNK_BYTES = 2 << 20
 #: Distinct words that a Python worker keeps.
@@ -45,19 +50,21 @@ _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 _NUM = re.compile(r"\d[\d.,:/]*")
 _UNITS = frozenset("kg g mg km m cm mm nm l ml lb lbs oz ft in mi yd mph kmh s ms min h hr hrs hz kw mw v w j n pa percent degrees celsius fahrenheit meter meters metre metres kilometer kilometers mile miles gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents usd eur gbp".split())
 _SPELLED = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
+#: Words that begin sentences without being names.
+_COMMON = frozenset("a about after again all also although an and any are as at because before both but by can could did do does during each either even every few find first for from given had has have he hence her here his how however i if in into is it its last later let many may might more most much must my next no nor not now of on once one only or other our over perhaps she should since so some soon such that the their them then there therefore these they this those though through thus to under until up was we were what when where whether which while who whom whose why will with would yes yet you your das dem den der die ein eine er es ich ihr im ist mit nach sie und von was wenn wer wie wir zu au ce ces cette dans de des du elle en et il ils je la le les mais nous on ou pour quand que qui sur un une vous al como con cuando del el ella ellos en es esta este la las los muchos no para pero por que si su un una y".split())
 _GLUE = re.compile(rf"\d[\d.,]*({'|'.join(sorted(_UNITS, key=len, reverse=True))})")
 _PLACE = {k: np.uint64(0xA5A5A5A500000000 + k) for k in (_NUMBER, _GLUED, _UNIT, _NAME)}
 
 
-def _canonical(word: str) -> tuple[bytes, int, bool, bool]:
-    """Canonical bytes, kind, whether written as a name, and whether a sentence ends here."""
+def _canonical(word: str) -> tuple[bytes, int, bool, bool, bool]:
+    """Canonical bytes, kind, whether written as a name, whether a sentence ends here, and whether it may begin one as a name."""
     if word.isalpha():
         core, ends = word, False
     else:
         ends = word.rstrip("\"'”’)]}»")[-1:] in tuple(".!?:…")
         core = word[:-1] if word[:-1].isalpha() else _EDGE.sub("", word)
         if not core:
-            return b"", _NOTHING, False, ends
+            return b"", _NOTHING, False, ends, False
     low = core.lower()
     title = len(core) > 1 and core[0].isupper() and core[1:].islower()
     if low in _SPELLED:
@@ -66,22 +73,23 @@ def _canonical(word: str) -> tuple[bytes, int, bool, bool]:
         kind = _NUMBER if _NUM.fullmatch(low) else _GLUED if _GLUE.fullmatch(low) else _WORD
     else:
         kind = _UNIT if low in _UNITS else _WORD
-    return low.encode(), kind, title, ends
+    return low.encode(), kind, title, ends, title and low not in _COMMON
 
 
-_known: dict[int, tuple[int, int, bool, bool]] = {}
+_known: dict[int, tuple[int, int, bool, bool, bool]] = {}
 register("decontamination", _known.clear)
 
 
 @dataclass
 class Tokens:
-    """Canonical tokens of the texts of a buffer: value hashes, codes with and without names, slots."""
+    """Canonical tokens of the texts of a buffer: value hashes, codes with and without names, slots, names that begin sentences."""
 
     begin: np.ndarray
     value: np.ndarray
     plain: np.ndarray
     named: np.ndarray
     slot: np.ndarray  # kinds with names, _WORD where the token is a plain word
+    opener: np.ndarray  # plain words at the start of a sentence that may be names
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
@@ -103,13 +111,14 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     kind = np.array([r[1] for r in rows], dtype=np.int8)[inverse]
     title = np.array([r[2] for r in rows], dtype=bool)[inverse]
     stop = np.array([r[3] for r in rows], dtype=bool)[inverse]
+    opener = np.array([r[4] for r in rows], dtype=bool)[inverse]
     real = kind != _NOTHING
     # Punctuation on its own ends a sentence for the token before it.
     fresh = np.ones(len(stop), dtype=bool)
     fresh[1:] = stop[:-1]
     fresh[begin[:-1][begin[:-1] < len(fresh)]] = True
     new_begin = np.concatenate(([0], np.cumsum(real)))[begin]
-    value, kind, title, fresh = value[real], kind[real], title[real], fresh[real]
+    value, kind, title, fresh, opener = value[real], kind[real], title[real], fresh[real], opener[real]
     first = np.zeros(len(kind), dtype=bool)
     first[new_begin[:-1][new_begin[:-1] < len(kind)]] = True
     after_number = np.concatenate(([False], (kind[:-1] == _NUMBER))) & ~first if len(kind) else first
@@ -117,32 +126,82 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     plain = value.copy()
     for k in (_NUMBER, _GLUED, _UNIT):
         plain[slot == k] = _PLACE[k]
+    opener = opener & (slot == _WORD) & (fresh | first)
     slot = np.where((slot == _WORD) & title & ~fresh & ~first, _NAME, slot).astype(np.int8)
     named = np.where(slot == _NAME, _PLACE[_NAME], plain)
-    return Tokens(new_begin, value, plain, named, slot)
+    return Tokens(new_begin, value, plain, named, slot, opener)
 
 
-def _window_codes(t: Tokens, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of a size, with names as placeholders and as words."""
+def _views(t: Tokens) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Codes, which tokens are plain words, and the tokens without which the codes are the first ones: with names as placeholders, as words, and with names at starts of sentences."""
+    word, name = t.slot == _WORD, t.slot == _NAME
+    opened = np.where(t.opener, _PLACE[_NAME], t.named)
+    return [(t.named, word, None), (t.plain, word | name, name), (opened, word & ~t.opener, t.opener)]
+
+
+def _window_codes(t: Tokens, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places, hashes and lengths of all windows of a size, for each view of the names."""
     n = len(t.value) - size + 1
     if n <= 0:
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        return []
     exact = mix(window_hashes(t.value, size) ^ np.uint64(0x1234567))
     out = []
-    for code, words in ((t.named, t.slot == _WORD), (t.plain, (t.slot == _WORD) | (t.slot == _NAME))):
+    for code, words, differs in _views(t):
         have = np.concatenate(([0], np.cumsum(words)))
         enough = 2 * (have[size:] - have[:-size]) >= size
-        out.append(np.where(enough, window_hashes(code, size), exact))
-    return out[0], out[1]
+        h = np.where(enough, window_hashes(code, size), exact)
+        at = np.arange(n)
+        if differs is not None:
+            have = np.concatenate(([0], np.cumsum(differs)))
+            at = np.flatnonzero(have[size:] > have[:-size])
+        out.append((at, h[at], np.full(len(at), size)))
+    return out
+
+
+_STEP = 0xD6E8FEB86659FD93
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _grown_codes(t: Tokens, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """As _window_codes, of the windows that have too few plain words and grow until they have enough."""
+    n = len(t.value) - size + 1
+    if n <= 0:
+        return []
+    out = []
+    need = -(-size // 2)
+    for code, words, differs in _views(t):
+        have = np.concatenate(([0], np.cumsum(words)))
+        place = np.flatnonzero(words)
+        at = np.flatnonzero(2 * (have[size:] - have[:-size]) < size)
+        at = at[have[at] + need <= len(place)]
+        end = place[have[at] + need - 1] + 1
+        if differs is not None:
+            have = np.concatenate(([0], np.cumsum(differs)))
+            keep = have[end] > have[at]
+            at, end = at[keep], end[keep]
+        if not len(at):
+            continue
+        # Sums over code * step^-place, moved to a common place: equal for equal codes.
+        sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(code) * _powers(pow(_STEP, -1, 1 << 64), len(code)), dtype=np.uint64)))
+        h = (sums[end] - sums[at]) * _powers(_STEP, len(code))[at]
+        out.append((at, mix(h + (end - at).astype(np.uint64)), end - at))
+    return out
 
 
 @dataclass
 class Table:
-    """The benchmark's windows: sorted hashes with item and place, for each window size."""
+    """The benchmark's windows: sorted hashes with item and place, for each window size; 0 has the grown ones."""
 
     items: list[int]
     values: list[np.ndarray]
     slots: list[np.ndarray]
+    openers: list[np.ndarray]
+    window: int
     windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     filters: dict[int, np.ndarray]
 
@@ -152,7 +211,7 @@ def build_table(rows: list[tuple[int, str]], window: int = WINDOW) -> Table:
     texts: dict[str, int] = {}
     for item, text in sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: r[0]):
         texts.setdefault(text, item)
-    out = Table([], [], [], {}, {})
+    out = Table([], [], [], [], window, {}, {})
     found: dict[int, list] = {}
     for text, item in texts.items():
         raw = np.frombuffer(text.encode(), np.uint8)
@@ -164,8 +223,11 @@ def build_table(rows: list[tuple[int, str]], window: int = WINDOW) -> Table:
         out.items.append(item)
         out.values.append(t.value)
         out.slots.append(t.slot)
-        for h in _window_codes(t, size):
-            found.setdefault(size, []).append((h, np.full(len(h), k), np.arange(len(h))))
+        out.openers.append(t.opener)
+        for at, h, _ in _window_codes(t, size):
+            found.setdefault(size, []).append((h, np.full(len(h), k), at))
+        for at, h, _ in _grown_codes(t, window):
+            found.setdefault(0, []).append((h, np.full(len(h), k), at))
     for size, parts in found.items():
         h, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((place, item, h))
@@ -179,46 +241,78 @@ def build_table(rows: list[tuple[int, str]], window: int = WINDOW) -> Table:
     return out
 
 
-def _consistent(item: np.ndarray, doc: np.ndarray) -> bool:
-    forth: dict[int, int] = {}
-    back: dict[int, int] = {}
-    return all(forth.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in zip(item.tolist(), doc.tolist(), strict=True))
+def _consistent(item: list[int], doc: list[int], name: list[bool]) -> list[tuple[int, int]]:
+    """The maximal parts [a, b) of two rows of slot values in which each value of the item stands for one of the document, and two names never for one."""
+    forth: dict[int, list[int]] = {}
+    back: dict[int, list[int]] = {}
+    out, a, n = [], 0, len(item)
+
+    def fits(k: int) -> bool:
+        return forth.get(item[k], [doc[k]])[0] == doc[k] and (not name[k] or back.get(doc[k], [item[k]])[0] == item[k])
+
+    for b in range(n):
+        if not fits(b):
+            out.append((a, b))
+            while not fits(b):
+                for at, key in ((forth, item[a]), (back, doc[a])) if name[a] else ((forth, item[a]),):
+                    at[key][1] -= 1
+                    if not at[key][1]:
+                        del at[key]
+                a += 1
+        forth.setdefault(item[b], [doc[b], 0])[1] += 1
+        if name[b]:
+            back.setdefault(doc[b], [item[b], 0])[1] += 1
+    return [*out, (a, n)]
 
 
 def leaks(t: Tokens, bench: Table) -> dict[int, list[tuple[int, int, int, bool]]]:
     """Of each text of a buffer with leaks: (item_id, tokens matched, slots changed, word for word)."""
     hits = []
     for size, (hashes, item, place) in bench.windows.items():
-        for h in _window_codes(t, size):
-            at = np.flatnonzero(bench.filters[size][(h >> np.uint64(44)).astype(np.int64)]) if len(h) else np.zeros(0, int)
-            low, high = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
+        for at, h, length in _window_codes(t, size) if size else _grown_codes(t, bench.window):
+            may = np.flatnonzero(bench.filters[size][(h >> np.uint64(44)).astype(np.int64)])
+            at, h, length = at[may], h[may], length[may]
+            low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
             text = np.searchsorted(t.begin, at, "right") - 1
-            ok = (high > low) & (at + size <= t.begin[text + 1])
-            for p, d, a, b in zip(at[ok].tolist(), text[ok].tolist(), low[ok].tolist(), high[ok].tolist(), strict=True):
-                hits += [(d, int(item[j]), p - int(place[j]), p, size) for j in range(a, b)]
+            ok = (high > low) & (at + length <= t.begin[text + 1])
+            for p, d, a, b, n in zip(at[ok].tolist(), text[ok].tolist(), low[ok].tolist(), high[ok].tolist(), length[ok].tolist(), strict=True):
+                hits += [(d, int(item[j]), p - int(place[j]), p, n) for j in range(a, b)]
     found: dict[int, dict[int, tuple[int, int, int, bool]]] = {}
     hits = sorted(set(hits))
     k = 0
     while k < len(hits):
         d, item, shift, begin, size = hits[k]
         end, j = begin + size, k + 1
-        starts = [begin]
+        parts = [(begin, end)]
         while j < len(hits) and hits[j][:3] == (d, item, shift) and hits[j][3] <= end:
-            end = max(end, hits[j][3] + size)
-            starts.append(hits[j][3])
+            parts.append((hits[j][3], hits[j][3] + hits[j][4]))
+            end = max(end, parts[-1][1])
             j += 1
         k = j
-        mine, theirs = t.value[begin:end], bench.values[item][begin - shift : end - shift]
-        slot = (t.slot[begin:end] != _WORD) | (bench.slots[item][begin - shift : end - shift] != _WORD)
+        place = slice(begin - shift, end - shift)
+        mine, theirs = t.value[begin:end], bench.values[item][place]
         same = mine == theirs
-        changed = ~same & slot
         wrong = np.concatenate(([0], np.cumsum(~same)))
-        exact = any(wrong[s - begin + size] == wrong[s - begin] for s in starts)
-        if exact or _consistent(theirs[slot], mine[slot]):
-            row = (bench.items[item], end - begin, int(changed.sum()), bool(exact))
-            old = found.setdefault(d, {}).get(item)
-            if old is None or row[1] > old[1]:
-                found[d][item] = row
+        exact = any(wrong[b - begin] == wrong[a - begin] for a, b in parts)
+        opened = (t.opener[begin:end] | bench.openers[item][place]) & ~same
+        name = (t.slot[begin:end] == _NAME) | (bench.slots[item][place] == _NAME) | opened
+        slot = (t.slot[begin:end] != _WORD) | (bench.slots[item][place] != _WORD) | opened
+        low, high = 0, end - begin
+        if not exact:
+            at = np.flatnonzero(slot)
+            runs = _consistent(theirs[at].tolist(), mine[at].tolist(), name[at].tolist())
+            if len(runs) > 1:
+                # From after the slot before the part to the slot after it.
+                edges = [-1, *at.tolist(), end - begin]
+                spans = [(edges[a] + 1, edges[b + 1]) for a, b in runs]
+                spans = [(a, b) for a, b in spans if b - a >= LONG and any(a <= x - begin and y - begin <= b for x, y in parts)]
+                if not spans:
+                    continue
+                low, high = max(spans, key=lambda x: x[1] - x[0])
+        row = (bench.items[item], high - low, int((~same & slot)[low:high].sum()), bool(exact))
+        old = found.setdefault(d, {}).get(item)
+        if old is None or row[1] > old[1]:
+            found[d][item] = row
     return {d: sorted(x.values()) for d, x in found.items()}
 
 

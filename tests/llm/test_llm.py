@@ -191,6 +191,36 @@ def test_decontamination(spark):
     assert got == {(d.doc_id, i.item_id) for d in common.table(spark, SMALL, "documents").collect() for i in items if plain(i.text) in plain(d.text)}
 
 
+def test_decontamination_of_names_at_starts_and_of_dense_slots():
+    def found(item, doc):
+        bench = decontam.build_table([(1, item)])
+        raw = np.frombuffer(doc.encode(), np.uint8)
+        return decontam.leaks(decontam.tokens(raw, np.array([0, len(raw)])), bench)
+
+    item = "Tom has 5 apples. Sam has 3 pears. Kim has 9 plums. How many fruits do they have?"
+    assert found(item, "Well. Ann has 2 apples. Bob has 7 pears. Eve has 4 plums. How many fruits do they have?") == {0: [(1, 18, 6, False)]}
+    assert found(item, "Ann has 2 apples. Bob has 2 pears. Eve has 2 plums. How many fruits do they have?") == {0: [(1, 18, 6, False)]}
+    assert not found(item, "Ann has 2 apples. Ann has 7 pears. Ann has 4 plums. How many fruits do they have?")
+    assert not found(item, "Ann has 2 apples. Bob has 7 pears. Eve has 4 nuts. How much did they pay for them?")
+    assert found("Tom sold 5 of the red boxes.", "Eve sold 8 of the red boxes.") == {0: [(1, 7, 2, False)]}
+    dense = "add 1 2 3 4 5 6 7 8 9 10 11 to get the sum of it"
+    assert found(dense, "so add 21 22 23 24 25 26 27 28 29 30 31 to get the sum of it") == {0: [(1, 18, 11, False)]}
+    assert not found(dense, "so add 21 22 23 24 25 26 27 28 29 30 to get the sum of it")
+    long = "in May 5 men met 7 cats by the old mill and then all of them ran home while the sun went down over the green hills near the wide lake with 5 more men"
+    assert found(long, long.replace("5 men", "6 men").replace("5 more", "8 more"))[0][0][1] >= decontam.LONG
+
+
+def test_consistent_parts_are_maximal():
+    r = random.Random(4)
+    ok = lambda x, y, n: all(y[i] == y[j] for i in range(len(x)) for j in range(i) if x[i] == x[j]) and all(x[i] == x[j] for i in range(len(x)) for j in range(i) if n[i] and n[j] and y[i] == y[j])
+    for _ in range(200):
+        x, y = ([r.randrange(4) for _ in range(8)] for _ in "xy")
+        n = [v % 2 == 0 for v in x]
+        fits = [(a, b) for a in range(9) for b in range(a, 9) if ok(x[a:b], y[a:b], n[a:b])]
+        assert max(b - a for a, b in decontam._consistent(x, y, n)) == max(b - a for a, b in fits)
+        assert set(decontam._consistent(x, y, n)) <= set(fits)
+
+
 def brute(texts):
     """Component of each id by comparing all pairs of shingle sets."""
     sets = {}
