@@ -110,38 +110,48 @@ def dynamic_weights(edges: DataFrame, now: Column) -> DataFrame:
 def consensus(edges: DataFrame, now: Column) -> DataFrame:
     """One link for each (head, relation, tail): strengths reinforce one another in order of arrival.
 
+    Granularity, equation and direct effect are those of the first edge.
+
     The running rule ``s = min(0.98, 1.05 max(s, next))`` has a closed form over the
     positions, so it is an ordinary aggregate; a repeated key is a window of its own.
     """
     keys = ["head", "relation", "tail"]
     scored = score_edges(edges).join(dynamic_weights(edges, now).select("head_node", "tail_node", "weight"), ["head_node", "tail_node"])
-    rows = scored.select(S.node_id(F.col("head_node")).alias("head"), "relation", S.node_id(F.col("tail_node")).alias("tail"), "seq", "polarity", S.clamp(F.col("strength") * F.col("weight"), 0.05, 0.98).alias("s"))
+    grain = F.coalesce(F.nullif(F.col("granularity"), F.lit("")), F.lit("day")) if "granularity" in edges.columns else F.lit("day")
+    own = F.struct(grain.alias("granularity"), "equation", F.col("scm_boost").alias("direct_effect")).alias("own")
+    rows = scored.select(S.node_id(F.col("head_node")).alias("head"), "relation", S.node_id(F.col("tail_node")).alias("tail"), "seq", "polarity", own, S.clamp(F.col("strength") * F.col("weight"), 0.05, 0.98).alias("s"))
     at = Window.partitionBy(*keys)
     rows = rows.withColumn("i", F.row_number().over(at.orderBy("seq"))).withColumn("n", F.count("*").over(at))
     # Beyond 2000 positions the power has long reached the cap.
     power = F.pow(F.lit(1.05), F.least(F.col("n") - F.when(F.col("i") == 1, F.lit(1)).otherwise(F.col("i") - 1), F.lit(2000)).cast("double"))
-    return rows.groupBy(*keys).agg(
+    links = rows.groupBy(*keys).agg(
         F.when(F.max("n") == 1, F.max("s")).otherwise(F.least(F.lit(0.98), F.max(F.col("s") * power))).alias("strength"),
         F.avg("polarity").alias("polarity"),
         F.count("*").alias("support_count"),
+        F.min_by("own", "seq").alias("own"),
     )
+    return links.select(*keys, "strength", "polarity", "support_count", "own.*")
 
 
 def what_if(links: DataFrame, seed: str, delta: float, horizon: int, severity: int = 0, connectivity: float = 0.0) -> DataFrame:
     """Impacts (node, impact, depth) of a shock that travels the links level by level, at a fixed regime.
 
-    A node takes all arrivals of its first level and none later.  Each level joins the
-    frontier with the links and is aggregated by node, so its size is bounded by the nodes.
+    A node takes all arrivals of its first level and none later.  Every arrival travels on by
+    itself, as the velocity depends on its size; equal ones of a node travel together with
+    their count.  Absent columns of the links have no effect.
     """
     spark: SparkSession = links.sparkSession
-    frontier = spark.createDataFrame([(seed, float(delta), 0)], "node string, delta double, depth int")
+    frontier = spark.createDataFrame([(seed, float(delta), 1, 0)], "node string, delta double, n long, depth int")
     reached = frontier
+    column = lambda name, default: F.coalesce(F.col(name), F.lit(default)) if name in links.columns else F.lit(default)
+    factor = S.clamp(column("direct_effect", 1.0), 0.7, 1.4) * S.edge_confidence(column("support_count", 1), column("equation", ""))
+    links = links.withColumn("factor", factor)
     fluid = 1 + 0.35 * min(connectivity, 5.0) / 5 if connectivity > 0 else 1.0
     for depth in range(1, horizon + 1):
         pass_on = S.clamp(F.col("strength") * (1.5 if severity else 1.0) * fluid, 0.05, 0.98)
         velocity = S.contagion_velocity(F.col("granularity"), F.lit(severity), F.col("delta"), F.lit(0.0), F.lit(connectivity), F.lit(0.0))
-        arrived = frontier.join(links, F.col("node") == F.col("head")).select(F.col("tail").alias("node"), (F.col("delta") * pass_on * velocity * F.col("polarity")).alias("delta"))
+        arrived = frontier.join(links, F.col("node") == F.col("head")).select(F.col("tail").alias("node"), (F.col("delta") * pass_on * velocity * F.col("polarity") * F.col("factor")).alias("delta"), "n")
         arrived = arrived.where(F.abs("delta") >= 1e-9).join(reached.select("node").distinct(), "node", "left_anti")
-        frontier = arrived.groupBy("node").agg(F.sum("delta").alias("delta")).withColumn("depth", F.lit(depth))
+        frontier = arrived.groupBy("node", "delta").agg(F.sum("n").alias("n")).withColumn("depth", F.lit(depth))
         reached = reached.unionByName(frontier)
-    return reached.select("node", F.col("delta").alias("impact"), "depth")
+    return reached.groupBy("node").agg(F.sum(F.col("delta") * F.col("n")).alias("impact"), F.min("depth").alias("depth"))

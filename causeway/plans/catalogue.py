@@ -203,7 +203,7 @@ def regime_shift(s, d):
 
 def whatif_impacts(s, d):
     """Impacts of a shock of 1 on inflation over the consensus of all edges, three levels deep."""
-    links = G.consensus(views.edges(s, d), _at()).withColumn("granularity", F.lit("quarter")).cache()  # one row per (head, relation, tail)
+    links = G.consensus(views.edges(s, d), _at()).cache()  # one row per (head, relation, tail)
     return G.what_if(links, "inflation", 1.0, 3).select("node", _r(F.col("impact")).alias("impact"), "depth")
 
 

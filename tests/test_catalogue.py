@@ -74,6 +74,32 @@ def test_what_if_on_a_chain(spark):
     assert found["revenue"] == 1.0 and found["margin"] == pytest.approx(0.98) and found["valuation"] == pytest.approx(0.94374, abs=1e-5)
 
 
+def test_what_if_like_a_queue(spark):
+    links = [("a", "b", 0.9, 1.0, "year", 1.18, "eq", 3), ("a", "c", 0.4, 1.0, "day", 1.0, "", 2), ("b", "d", 0.8, 1.0, "quarter", 1.0, "", 1), ("c", "d", 0.7, -1.0, "month", 1.6, "", 1), ("a", "d2", 0.5, 1.0, "day", 1.0, "", 1)]
+    links += [("b", "e", 0.5, 1.0, "day", 1.0, "", 1), ("c", "e", 0.5, 1.0, "day", 1.0, "", 5), ("d", "f", 0.9, 1.0, "year", 1.0, "", 1), ("e", "f", 0.9, -0.5, "month", 1.1, "eq", 1), ("e", "a", 0.9, 1.0, "day", 1.0, "", 1), ("d", "d2", 0.9, 1.0, "day", 1.0, "", 1)]
+    decay = {"year": 0.9, "quarter": 0.85, "month": 0.78, "day": 0.7}
+    impacts, seen, queue = {}, {"a": 0}, [("a", 2.0, 0)]
+    while queue:
+        node, delta, depth = queue.pop(0)
+        impacts[node] = impacts.get(node, 0) + delta
+        for head, tail, strength, polarity, grain, direct, equation, support in links:
+            if head != node or depth == 3 or seen.get(tail, depth + 1) < depth + 1:
+                continue
+            trust = (1.08 * 1.03 if support >= 3 else 1.04 * 1.03 if support == 2 else 1.0) * (1.02 if equation else 1.0)
+            velocity = min(1.0, decay[grain] * (1 + min(0.4, 0.4 * abs(delta))))
+            seen[tail] = depth + 1
+            queue.append((tail, delta * strength * polarity * velocity * min(1.4, direct) * min(1.15, trust), depth + 1))
+    df = spark.createDataFrame(links, "head string, tail string, strength double, polarity double, granularity string, direct_effect double, equation string, support_count long")
+    found = {r.node: (r.impact, r.depth) for r in G.what_if(df, "a", 2.0, 3).collect()}
+    assert found == {k: (pytest.approx(v), seen[k]) for k, v in impacts.items()}
+
+
+def test_consensus_keeps_the_first_edge(spark):
+    df = edge(spark, ("Inflation", "drives", "Interest Rate", None), ("Inflation", "drives", "Interest Rate", None)).withColumn("granularity", F.when(F.col("seq") == 0, "year").otherwise("day"))
+    (link,) = G.consensus(df, F.lit("2024-01-01").cast("timestamp_ntz")).collect()
+    assert (link.granularity, link.direct_effect, link.equation[:13]) == ("year", 1.18, "policy_rate_t")
+
+
 def test_identity_and_inversion(spark):
     df = spark.createDataFrame([(0, "d", "ACME", "revenue", "1200"), (1, "d", "ACME", "expenses", "100"), (2, "d", "ACME", "net income", "1000")], "seq long, doc_id string, entity string, metric string, value string")
     assert [(r.rule, r.stated, r.computed) for r in X.identity_mismatches(df).collect()] == [(0, 1000.0, 1100.0)]
