@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 GENESIS = "0" * 64
 
@@ -11,11 +17,32 @@ GENESIS = "0" * 64
 def chain(events: DataFrame, key: str, order: str, payload: str, created: str) -> DataFrame:
     """The hash chain of each key: sha256 of payload | time | previous hash, in order.
 
-    A chain is sequential within a key; keys are spread, and only the two texts travel.
+    A chain is sequential within a key; keys are spread and sorted by Spark, and only the
+    running hash of one key is held, so a key may have any number of events.  A null payload
+    or time makes the rest of its chain null.
     """
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(payload).alias("p"), F.col(created).alias("c"))))
-    link = lambda prev, e: F.sha2(F.concat(e["p"], F.lit("|"), e["c"], F.lit("|"), prev).cast("binary"), 256)
-    return events.groupBy(key).agg(rows.alias("e")).select(key, F.size("e").cast("long").alias("n_events"), F.aggregate("e", F.lit(GENESIS), link).alias("head_hash"))
+    text = lambda c: F.col(c).cast("string")
+    rows = events.select(F.col(key), F.col(order).alias("__o"), text(payload).alias("__p"), text(created).alias("__c"))
+    rows = rows.repartition(F.col(key)).sortWithinPartitions(F.col(key), *[F.col(c).asc_nulls_last() for c in ("__o", "__p", "__c")])
+    out = StructType([StructField(key, events.schema[key].dataType), StructField("n_events", LongType()), StructField("head_hash", StringType())])
+    kind = to_arrow_schema(out)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, head = None, 0, GENESIS
+        for batch in batches:
+            done = []
+            for k, p, c in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), strict=True):
+                if n and k != now and (k == k or now == now):  # NaN is one key
+                    done.append((now, n, head))
+                    n, head = 0, GENESIS
+                now, n = k, n + 1
+                head = None if p is None or c is None or head is None else hashlib.sha256(f"{p}|{c}|{head}".encode()).hexdigest()
+            if done:
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*done, strict=True), kind, strict=True)], schema=kind)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((now, n, head), kind, strict=True)], schema=kind)
+
+    return rows.select(key, "__p", "__c").mapInArrow(fold, out)
 
 
 def tail(events: DataFrame, key: str, order: str, n: int) -> DataFrame:

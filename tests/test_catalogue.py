@@ -1,5 +1,7 @@
 """Every query of the catalogue against DuckDB, and fixtures with known values."""
 
+import hashlib
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -119,6 +121,22 @@ def test_dedupe_by_whole_signatures(spark):
     assert {r.seq for r in X.dedupe_facts(facts.drop("statement")).collect()} == {0, 3}
 
 
+def test_chain_holds_no_group(spark):
+    rows = [(u, i, f"p{i % 7}", None if (u, i) == (2, 4) else str(i)) for u in (1, 2, None) for i in range(30)]
+    df = spark.createDataFrame(rows, "u long, i long, p string, c string").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
+    try:
+        out = E.chain(df, "u", "i", "p", "c")
+        found = {r.u: (r.n_events, r.head_hash) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    head = E.GENESIS
+    for i in range(30):
+        head = hashlib.sha256(f"p{i % 7}|{i}|{head}".encode()).hexdigest()
+    assert found == {1: (30, head), 2: (30, None), None: (30, head)}
+
+
 def test_regimes(spark):
     df = spark.createDataFrame([("none", 0.05), ("none", -0.05), ("high", 0.4), ("high", 0.05), ("crisis", 0.7), ("crisis", 0.5)], "k string, v double")
     assert {r.k: r.regime for r in E.regime(df, "k", F.col("v")).collect()} == {"none": "none", "high": "High Volatility", "crisis": "Crisis"}
