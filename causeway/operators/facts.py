@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,20 +13,25 @@ from causeway.operators import graph as G
 from causeway.sources import dims
 
 
-def critique(facts: DataFrame) -> DataFrame:
-    """Issues and error types of each fact, as comma-separated sorted names."""
+def critique(facts: DataFrame, unsure: str = "") -> DataFrame:
+    """Issues and error types of each fact, as comma-separated sorted names.
+
+    ``unsure``: the error type of a missing confidence, by itself none.
+    """
     number = S.parse_number(F.col("value"))
-    empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
+    empty = lambda *names: reduce(and_, (F.coalesce(F.col(c).cast("string"), F.lit("")) == "" for c in names if c in facts.columns))
     relation = F.lower("metric")
     inverted = F.coalesce((S.has_any(relation, dims.DOWN_TERMS) & (number > 0)) | (S.has_any(relation, dims.UP_TERMS) & (number < 0)), F.lit(False))
     bad_number = number.isNull() & F.coalesce(F.col("value").rlike("[0-9]"), F.lit(False))
-    missing = empty("entity") | empty("metric") | empty("value")
+    missing = empty("entity", "head_node") | empty("metric", "relation") | empty("value", "tail_node")
+    nothing = empty("statement", "metric", "value", "entity", "relation", "head_node")
+    omission = missing | nothing | (empty("confidence") if unsure == "omission" else F.lit(False))
     return facts.withColumns(
         {
             "number": number,
             "inverted": inverted,
-            "issues": F.concat_ws(",", F.when(bad_number, "invalid_numeric_value"), F.when(empty("confidence"), "missing_confidence"), F.when(missing, "missing_required_component")),
-            "error_types": F.concat_ws(",", F.when(bad_number, "numeric_typo"), F.when(missing | empty("confidence"), "omission"), F.when(inverted, "relation_inversion")),
+            "issues": F.concat_ws(",", F.when(bad_number, "invalid_numeric_value"), F.when(empty("confidence"), "missing_confidence"), F.when(missing, "missing_required_component"), F.when(nothing, "missing_semantic_content")),
+            "error_types": F.concat_ws(",", F.when(bad_number, "numeric_typo"), F.when(omission, "omission"), F.when(inverted, "relation_inversion")),
         }
     )
 
@@ -42,8 +50,8 @@ def repair(facts: DataFrame) -> DataFrame:
     )
 
 
-def error_type_counts(facts: DataFrame) -> DataFrame:
-    return critique(facts).select(F.explode(F.split("error_types", ",")).alias("error_type")).where("error_type != ''").groupBy("error_type").agg(F.count("*").alias("n"))
+def error_type_counts(facts: DataFrame, unsure: str = "") -> DataFrame:
+    return critique(facts, unsure).select(F.explode(F.split("error_types", ",")).alias("error_type")).where("error_type != ''").groupBy("error_type").agg(F.count("*").alias("n"))
 
 
 def dedupe_facts(facts: DataFrame) -> DataFrame:
@@ -57,12 +65,13 @@ def dedupe_facts(facts: DataFrame) -> DataFrame:
 
 
 def heal_ownership(facts: DataFrame) -> DataFrame:
-    """``a is owned by b`` becomes ``b owns a``."""
+    """``a is owned by b`` becomes ``b owns a``, and a metric of both revenue and sales ``revenue``."""
+    sales = F.contains(F.lower("metric"), F.lit("revenue")) & F.contains(F.lower("metric"), F.lit("sales"))
     owned = F.contains(F.lower("metric"), F.lit("owned by"))
     return facts.select(
         "seq",
         F.when(owned, F.col("value")).otherwise(F.col("entity")).alias("head"),
-        F.when(owned, F.lit("owns")).otherwise(F.col("metric")).alias("relation"),
+        F.when(sales, F.lit("revenue")).when(owned, F.lit("owns")).otherwise(F.col("metric")).alias("relation"),
         F.when(owned, F.col("entity")).otherwise(F.col("value")).alias("tail"),
         owned.alias("healed"),
     )

@@ -98,7 +98,16 @@ def numeric_parse(s, d):
 
 @query(f", {_CRITIQUE} select seq, concat_ws(',', case when bad then 'invalid_numeric_value' end, case when unsure then 'missing_confidence' end, case when missing then 'missing_required_component' end) as issues, concat_ws(',', case when bad then 'numeric_typo' end, case when missing or unsure then 'omission' end, case when inverted then 'relation_inversion' end) as error_types from c")
 def fact_critique(s, d):
-    return X.critique(views.facts(s, d)).select("seq", "issues", "error_types")
+    return X.critique(views.facts(s, d), unsure="omission").select("seq", "issues", "error_types")  # as its SQL
+
+
+_ISSUES = "select seq, concat_ws(',', case when bad then 'numeric_typo' end, case when missing then 'omission' end, case when inverted then 'relation_inversion' end) as error_types from c"
+
+
+@query(f", {_CRITIQUE} {_ISSUES}")
+def fact_error_types(s, d):
+    """Error types by the reference's rules: a missing confidence is an issue, but no omission."""
+    return X.critique(views.facts(s, d)).select("seq", "error_types")
 
 
 @query(f", {_CRITIQUE} select seq, coalesce(confidence, 'medium') as confidence, case when inverted then case when {_any('lower(metric)', dims.DOWN_TERMS)} then 'down' else 'up' end end as direction, case when inverted then case when {_any('lower(metric)', dims.DOWN_TERMS)} then -abs(number) else abs(number) end else number end as repaired from c")
@@ -108,7 +117,7 @@ def relation_inversion_repair(s, d):
 
 @query(f", {_CRITIQUE} select error_type, count(*) as n from (select 'numeric_typo' as error_type from c where bad union all select 'omission' from c where missing or unsure union all select 'relation_inversion' from c where inverted) group by 1")
 def error_type_counts(s, d):
-    return X.error_type_counts(views.facts(s, d))
+    return X.error_type_counts(views.facts(s, d), unsure="omission")  # as its SQL
 
 
 @query("select min(seq) as seq, entity, metric, value, period from facts group by all")

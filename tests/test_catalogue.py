@@ -137,6 +137,17 @@ def test_chain_holds_no_group(spark):
     assert found == {1: (30, head), 2: (30, None), None: (30, head)}
 
 
+def test_critique_and_healing_by_all_rules(spark):
+    rows = [(0, None, "", None, None, "high"), (1, "", None, "", "a statement", "high"), (2, "e", "m", "1", None, None), (3, "e", "Revenue from sales", "1", None, "low"), (4, "e", "sales is owned by", "p", None, "low"), (5, "e", "revenue of sales owned by", "p", None, "low")]
+    df = spark.createDataFrame(rows, "seq long, entity string, metric string, value string, statement string, confidence string")
+    found = {r.seq: (r.issues, r.error_types) for r in X.critique(df).collect()}
+    assert found[0] == ("missing_required_component,missing_semantic_content", "omission")
+    assert found[1] == ("missing_required_component", "omission") and found[2] == ("missing_confidence", "")
+    assert {r.error_type: r.n for r in X.error_type_counts(df).collect()} == {"omission": 2}
+    healed = {r.seq: (r.head, r.relation, r.tail) for r in X.heal_ownership(df).collect()}
+    assert [healed[i] for i in (3, 4, 5)] == [("e", "revenue", "1"), ("p", "owns", "e"), ("p", "revenue", "e")]
+
+
 def test_regimes(spark):
     df = spark.createDataFrame([("none", 0.05), ("none", -0.05), ("high", 0.4), ("high", 0.05), ("crisis", 0.7), ("crisis", 0.5)], "k string, v double")
     assert {r.k: r.regime for r in E.regime(df, "k", F.col("v")).collect()} == {"none": "none", "high": "High Volatility", "crisis": "Crisis"}
