@@ -57,8 +57,9 @@ def ewma(events: DataFrame, key: str, order: str, value: str, alpha: float = 0.2
     return rows.groupBy(key).agg(F.sum(F.col(value) * alpha * F.pow(F.lit(1 - alpha), F.col("__k").cast("double"))).alias("ewma"))
 
 
-def regime(rows: DataFrame, key: str, impact: Column) -> DataFrame:
-    """Regime of each key from its impacts: the largest, their sum and how many are significant."""
+def regime(rows: DataFrame, key: str, impact: Column, node: Column | None = None) -> DataFrame:
+    """Regime of each key from its impacts: the largest, their sum, how many are significant, and that on the node ``geopolitical_risk``."""
     a = F.abs(impact)
-    stats = rows.groupBy(key).agg(F.max(a).alias("m"), F.sum(a).alias("s"), F.count_if(a >= 0.1).alias("hits"))
-    return stats.select(key, F.when((F.col("m") >= 0.6) | (F.col("s") >= 1.5) | (F.col("hits") >= 6), "Crisis").when((F.col("m") >= 0.3) | (F.col("hits") >= 4), "High Volatility").otherwise("none").alias("regime"), "hits")
+    risk = F.lit(False) if node is None else node == "geopolitical_risk"
+    stats = rows.groupBy(key).agg(F.max(a).alias("m"), F.sum(a).alias("s"), F.count_if(a >= 0.1).alias("hits"), F.max(F.when(risk, a)).alias("g"))
+    return stats.select(key, F.when((F.col("m") >= 0.6) | (F.col("s") >= 1.5) | (F.col("hits") >= 6), "Crisis").when((F.col("m") >= 0.3) | (F.col("hits") >= 4) | (F.col("g") >= 0.25), "High Volatility").otherwise("none").alias("regime"), "hits")

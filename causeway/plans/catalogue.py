@@ -207,7 +207,7 @@ def ewma(s, d):
 
 @query("select case_id, case when m >= 0.6::double or sm >= 1.5::double or hits >= 6 then 'Crisis' when m >= 0.3::double or hits >= 4 then 'High Volatility' else 'none' end as regime, hits from (select case_id, max(abs(temporal_quality / 4)) m, sum(abs(temporal_quality / 4)) sm, count(*) filter (where abs(temporal_quality / 4) >= 0.1::double) hits from edges group by 1)")
 def regime_shift(s, d):
-    return E.regime(views.edges(s, d), "case_id", F.col("temporal_quality") / 4)
+    return E.regime(views.edges(s, d), "case_id", F.col("temporal_quality") / 4, S.node_id(F.col("tail_node")))
 
 
 def whatif_impacts(s, d):

@@ -151,3 +151,8 @@ def test_critique_and_healing_by_all_rules(spark):
 def test_regimes(spark):
     df = spark.createDataFrame([("none", 0.05), ("none", -0.05), ("high", 0.4), ("high", 0.05), ("crisis", 0.7), ("crisis", 0.5)], "k string, v double")
     assert {r.k: r.regime for r in E.regime(df, "k", F.col("v")).collect()} == {"none": "none", "high": "High Volatility", "crisis": "Crisis"}
+
+
+def test_regime_of_geopolitical_risk(spark):
+    df = spark.createDataFrame([("risk", "geopolitical_risk", -0.27), ("low", "geopolitical_risk", 0.24), ("other", "inflation", 0.27), ("none", None, 0.27)], "k string, n string, v double")
+    assert {r.k: r.regime for r in E.regime(df, "k", F.col("v"), F.col("n")).collect()} == {"risk": "High Volatility", "low": "none", "other": "none", "none": "none"}
