@@ -4,7 +4,7 @@ A page is cut into its DOM leaf blocks, runs of text between the edges of block
 Each block has features of its ancestors (tags, and words of their class, id and role) and
 of its text; the field's transitions tie neighbours together, and Viterbi decoding takes
 the best labelling of the page as a whole.  What is never text on the screen (scripts,
-styles, comments, the head) makes no block.
+styles, comments, the head, drawings, notes of formulas) makes no block.
 
 The field is trained by maximum likelihood on labelled pages that ``labelled_pages`` draws
 from templates of articles, menus, headers, footers, sidebars, notices, adverts, forms and
@@ -30,7 +30,14 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s
 _WORD = re.compile(r"[a-z]+")
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title template iframe noscript noembed noframes xmp svg math object".split())
+_RAW = frozenset("script style textarea title iframe noscript noembed noframes xmp".split())
+#: Hidden up to their balanced closing tag; those of the second set may close themselves.
+_NESTED = frozenset("template object svg annotation annotation-xml".split())
+_FOREIGN = frozenset("svg annotation annotation-xml".split())
+#: HTML tags that end a drawing which isn't closed.
+_BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+_POINTS = frozenset("foreignobject desc title".split())
+_IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 #: An opening tag closes the nearest of these, unless one of the second set lies between.
 _IMPLIED = {
     "li": ({"li"}, {"ul", "ol", "menu", "dir"}),
@@ -44,7 +51,7 @@ _IMPLIED = {
     "tbody": ({"thead", "tbody", "tfoot"}, {"table"}),
 }
 _P_CLOSERS = _BLOCK - {"body", "html", "li", "td", "th", "tr", "option", "optgroup", "caption", "tbody", "thead", "tfoot", "legend"}
-_HIDDEN = frozenset(("head", *_RAW))
+_HIDDEN = frozenset(("head", *_RAW, *_NESTED))
 
 
 class Block:
@@ -56,6 +63,31 @@ class Block:
         self.text, self.features, self.linked = text, features, linked
 
 
+def _after_raw(html: str, pos: int, name: str) -> int:
+    close = re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I).search(html, pos)
+    return close.end() if close else len(html)
+
+
+def _after(html: str, begin: int, name: str) -> int:
+    """Where what an opening tag of _NESTED hides ends; ``begin`` is behind the tag."""
+    depth, points, pos = 1, 0, begin
+    while m := _TAG.search(html, pos):
+        pos = m.end()
+        tag = (m[2] or "").lower()
+        closes, alone = bool(m[1]), bool(m[3]) and m[3].endswith("/")
+        if tag == name and not (alone and not closes and name in _FOREIGN):
+            depth += -1 if closes else 1
+            if not depth:
+                return pos
+        elif name == "svg" and tag in _POINTS:
+            points += (-1 if closes else 1) if not alone else 0
+        elif name == "svg" and not points and (tag in _BREAKOUT and not closes or closes and tag in _BLOCK):
+            return m.start()
+        elif tag in ("script", "style") and not closes and not alone:
+            pos = _after_raw(html, pos, tag)
+    return begin if name == "object" else len(html)
+
+
 def leaf_blocks(html: str) -> list[Block]:
     """The leaf blocks of a page in order, with decoded references and single spaces."""
     out: list[Block] = []
@@ -87,6 +119,8 @@ def leaf_blocks(html: str) -> list[Block]:
     while pos < end:
         m = _TAG.search(html, pos)
         text = html[pos : m.start() if m else end]
+        if hidden and text.strip():
+            hidden = 0
         if text and not hidden:
             text = unescape(text) if "&" in text else text
             parts.append(text)
@@ -100,7 +134,7 @@ def leaf_blocks(html: str) -> list[Block]:
             continue
         name = name.lower()
         if m[1]:
-            if name == "head":
+            if name in ("head", "body", "html"):
                 hidden = 0
             if name in _BLOCK:
                 flush()
@@ -108,15 +142,18 @@ def leaf_blocks(html: str) -> list[Block]:
                 continue
             pop({name}, frozenset() if name in ("html", "body") else {"body"})
             continue
+        if hidden and name not in _IN_HEAD:
+            hidden = 0
         if name in _RAW:
-            close = re.compile(rf"</{name}\s*>", re.I).search(html, pos)
-            pos = close.end() if close else end
+            pos = _after_raw(html, pos, name)
+            continue
+        if name in _NESTED:
+            if not (name in _FOREIGN and m[3].endswith("/")):
+                pos = _after(html, pos, name)
             continue
         if name == "head":
             hidden = 1
             continue
-        if name == "body":
-            hidden = 0
         if name == "br":
             parts.append(" ")
             continue

@@ -153,6 +153,20 @@ def test_html(spark):
     assert {r.page_id: r.text for r in html.extract_pages(df).collect()} == {1: "Fish & chips\nOne two three four.\nThe last words are here.", 2: "", 3: ""}
 
 
+def test_blocks_around_foreign_elements_and_of_open_heads():
+    texts = lambda page: [b.text for b in html.leaf_blocks(page)]
+    assert texts('<p>One</p><svg width="1"/><p>Two</p>') == ["One", "Two"]
+    assert texts('<p>One <svg/>and <svg><use/><svg><text>x</text></svg><style>a{}</style><text>y</text></svg>two</p>') == ["One and two"]
+    assert texts("<p>One <svg><title>x</title><foreignObject><p>y</p></foreignObject><g></svg>two") == ["One two"]
+    assert texts("<div><svg><path d=x><p>Two</p></div><p>Three") == ["Two", "Three"]
+    assert texts('<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation encoding="tex">x=2</annotation></math> and <math/>more') == ["So x=2 and more"]
+    assert texts("<template><p>x<template>y</template></p></template><p>One<object data=x><object>y</object>z</object>") == ["One"]
+    assert texts("<object data=x><p>One") == ["One"]
+    for start in ("<html><head><title>t</title><meta x>", "<head><link y><script>1<2</script>", "<head>"):
+        assert texts(f"{start}<p>One<p>Two") == ["One", "Two"] and texts(f"{start}One<p>Two") == ["One", "Two"]
+    assert texts("<head><title>t</title><style>s</style>\n</head><body>One") == ["One"]
+
+
 def test_crf_decodes_the_best_path():
     r = random.Random(3)
     field = html.Field({f: (r.uniform(-1, 1), r.uniform(-1, 1)) for f in "abcde"}, np.array([[r.uniform(-1, 1) for _ in "01"] for _ in "01"]))
