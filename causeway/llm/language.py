@@ -8,7 +8,7 @@ language in training, and takes the nearest codeword; a small margin over the se
 flags the text as ambiguous.
 
 The model is fitted on a bounded sample of labelled rows: about ``per_language`` whole texts
-of each of the ``max_languages`` most frequent languages, chosen by a hash of the id.
+of every language, chosen by a hash of the id, of which the driver holds the sparse features.
 Prediction reads every whole text: n-gram weights are summed over all of its bytes, in
 chunks, with a letter's case folded and everything that isn't a letter taken as a space.
 """
@@ -30,6 +30,8 @@ from causeway.llm.tokens import byte_chunks
 #: n-gram orders and hashed features of a text.
 ORDERS, FEATURES = (2, 3, 4), 1 << 13
 CHUNK_BYTES = 1 << 20
+#: Sample rows that are dense at once in training.
+BLOCK_ROWS = 2048
 UND = "und"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -107,49 +109,78 @@ class Model:
         return best, top, p.max(axis=1)
 
 
-def fit(x: np.ndarray, y: list[str], steps: int = 150, decay: float = 1e-5) -> Model:
+def sparse(f: np.ndarray) -> tuple[bytes, bytes]:
+    """Places and values of what isn't zero."""
+    at = np.flatnonzero(f)
+    return at.astype(np.uint16).tobytes(), f[at].tobytes()
+
+
+class Sample:
+    """Rows of sparse features, made dense in blocks; a single block is kept."""
+
+    def __init__(self, rows: list[tuple[bytes, bytes]]):
+        self.rows = rows
+        self.kept: np.ndarray | None = None
+
+    def blocks(self) -> Iterator[tuple[int, np.ndarray]]:
+        for a in range(0, len(self.rows), BLOCK_ROWS):
+            x = self.kept
+            if x is None:
+                part = self.rows[a : a + BLOCK_ROWS]
+                x = np.zeros((len(part), FEATURES), np.float32)
+                for r, (at, values) in zip(x, part, strict=True):
+                    r[np.frombuffer(at, np.uint16)] = np.frombuffer(values, np.float32)
+                if len(self.rows) <= BLOCK_ROWS:
+                    self.kept = x
+            yield a, x
+
+
+def fit(x: Sample, y: list[str], steps: int = 150, decay: float = 1e-5) -> Model:
     """Logistic classifiers of all bits at once, by accelerated gradient steps over the sample."""
     languages = sorted(set(y))
     code = codewords(len(languages))
     at = {v: i for i, v in enumerate(languages)}
     rows = np.array([at[v] for v in y], dtype=np.int64)
     z = code[rows].astype(np.float32)
-    scale = np.float32(1 / np.sqrt((x**2).sum(axis=1).mean() + 1e-12))
-    x = x * scale
+    squares = np.array([(np.frombuffer(v, np.float32) ** 2).sum() for _, v in x.rows])
+    scale = np.float32(1 / np.sqrt(squares.mean() + 1e-12))
     balance = (1 / np.bincount(rows, minlength=len(languages)))[rows].astype(np.float32) / len(languages)
     w, b = np.zeros((FEATURES, code.shape[1]), np.float32), np.zeros(code.shape[1], np.float32)
     vw, vb, rate = w.copy(), b.copy(), np.float32(4.0)
     for t in range(steps):
-        g = (1 / (1 + np.exp(-(x @ vw + vb))) - (z > 0)) * balance[:, None]
-        w2, b2 = vw - rate * (x.T @ g + decay * vw), vb - rate * g.sum(axis=0)
+        gw, gb = decay * vw, np.zeros_like(vb)
+        for a, part in x.blocks():
+            at = slice(a, a + len(part))
+            g = (1 / (1 + np.exp(-(part @ (vw * scale) + vb))) - (z[at] > 0)) * balance[at, None]
+            gw += part.T @ (g * scale)
+            gb += g.sum(axis=0)
+        w2, b2 = vw - rate * gw, vb - rate * gb
         m = np.float32(t / (t + 3))
         vw, vb, w, b = w2 + m * (w2 - w), b2 + m * (b2 - b), w2, b2
-    right = np.sign(x @ w + b) == z
+    right = np.concatenate([np.sign(part @ (w * scale) + b) for _, part in x.blocks()]) == z
     trust = np.array([right[rows == i].mean(axis=0) for i in range(len(languages))]) + 1e-3
     return Model(languages, code, (w * scale).astype(np.float32), b, trust / trust.sum(axis=1, keepdims=True))
 
 
-def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400, max_languages: int = 64) -> Model | None:
+def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400) -> Model | None:
     """A model of the labelled rows of ``docs`` (null labels and texts don't count); None without any."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
-    seen = rows.groupBy("l").count().orderBy(F.desc("count"), "l").limit(max_languages).collect()
-    if not seen:
-        return None
-    share = F.create_map(*[F.lit(v) for r in seen for v in (r.l, min(1.0, per_language / r["count"]))])
+    shares = F.broadcast(rows.groupBy("l").agg((F.lit(float(per_language)) / F.count("*")).alias("share")))
     draw = F.pmod(F.xxhash64(F.col("k"), F.lit(4)), F.lit(1 << 30)) / float(1 << 30)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for _, _, data, offsets in byte_chunks(batch.column(1)):
-                out += [frequencies(data[a:b]).tobytes() for a, b in zip(offsets, offsets[1:], strict=False)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["l", "x"])
+                out += [sparse(frequencies(data[a:b])) for a, b in zip(offsets, offsets[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], pa.binary()) for i in (0, 1))], ["l", "at", "x"])
 
-    sample = rows.where(draw < share[F.col("l")]).select("l", "t").mapInArrow(features, "l string, x binary").collect()
-    sample.sort(key=lambda r: (r.l, bytes(r.x)))
+    drawn = rows.join(shares, "l").where(draw < F.col("share")).select("l", "t")
+    sample = [(r.l, bytes(r.at), bytes(r.x)) for r in drawn.mapInArrow(features, "l string, at binary, x binary").collect()]
+    sample.sort()
     if not sample:
         return None
-    return fit(np.stack([np.frombuffer(r.x, np.float32) for r in sample]), [r.l for r in sample])
+    return fit(Sample([r[1:] for r in sample]), [r[0] for r in sample])
 
 
 def _has_letter(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:

@@ -191,6 +191,28 @@ def test_language_and_quality(spark, docs, awkward):
     assert all(0 <= r.s <= 1 for r in awkward.select(quality.quality(F.col("text"), quality.train(docs, labels)).alias("s")).collect())
 
 
+def test_every_language_is_learned(spark):
+    r = random.Random(5)
+    words = {f"x{k:02}": ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=5)) for _ in range(6)] for k in range(70)}
+    rows = [(i, l, " ".join(r.choices(w, k=40))) for l, w in words.items() for i in range(3 if l > "x64" else 4)]
+    df = spark.createDataFrame([(k, *x[1:]) for k, x in enumerate(rows)] + [(999, None, "none")], "doc_id long, lang string, text string")
+    model = language.train(df)
+    assert model.languages == sorted(words)
+    found = df.where("lang is not null").select("lang", language.language(F.col("text"), model)["lang_pred"].alias("p")).collect()
+    assert np.mean([x.lang == x.p for x in found if x.lang > "x64"]) > 0.9
+
+
+def test_sparse_blocks_fit_like_one():
+    r = np.random.default_rng(6)
+    rows = [language.frequencies(r.integers(97 + 5 * (k % 3), 110 + 5 * (k % 3), 300).astype(np.uint8)) for k in range(30)]
+    models = []
+    for size in (7, 2048):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(language, "BLOCK_ROWS", size)
+            models.append(language.fit(language.Sample([language.sparse(f) for f in rows]), [str(k % 3) for k in range(30)], steps=20))
+    assert np.allclose(models[0].weights, models[1].weights, rtol=1e-3, atol=1e-3 * np.abs(models[1].weights).max())
+
+
 def test_decontamination(spark):
     rows = [(1, "Intro. John Smith bought 5 apples and Mary gave 3 more apples to the old shop keeper today at noon. End"), (2, "Hm. Alice Jones bought 7 apples and Zoe gave 9 more apples to the old shop keeper today at noon."), (3, "Hm. Alice Alice bought 7 apples and Alice gave 7 more apples to the old shop keeper today at noon"), (4, None), (5, "words that have nothing to do with any of that at all, and more")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
