@@ -4,15 +4,20 @@
 interlacing, transparency and the disposal rules.  Code widths follow from the number of
 codes since the last clear code, so the codes of a segment are cut out at once, and the
 strings they stand for are copies of earlier output that numpy resolves by pointer jumping.
-``encode`` writes 8-bit samples losslessly as a grey-scale animation.
+``encode`` writes 8-bit samples losslessly as the palette indices of an animation; it matches
+strings of two samples only, which costs about a tenth of the size and lets it work on arrays.
 
 ``with_frames`` stores timed frames with their colour histograms, one row each; the query
-stores texts as samples, and takes its digests from the stored bytes alone.
+stores texts as samples, and takes its digests, timed frames and histograms from the stored
+bytes alone.
+
+Null and empty texts are one row of spaces; a text of any length is cut into frames of ROWS
+rows, of which one is decoded at a time; equal texts give equal rows; an empty table gives
+none; other columns aren't read.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -29,7 +34,10 @@ from causeway.llm.tokens import byte_chunks
 WIDTH, ROWS = 192, 192
 DELAY_MS = 100
 _FULL = 4096
-_GREY = bytes(v for i in range(256) for v in (i, i, i))
+#: Samples of the encoder's first span.
+SPAN = 192
+#: The encoder's palette: three bits of red, three of green and two of blue.
+_COLOURS = bytes(v for i in range(256) for v in ((i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 85))
 
 
 def _widths(n: int, low: int) -> np.ndarray:
@@ -44,43 +52,47 @@ _BYTE_WIDTHS = np.diff(_STEPS[8])
 
 
 def lzw_encode(data: bytes) -> bytes:
-    """The code stream of 8-bit samples."""
-    codes, since = [256], [0]
-    add = codes.append
-    # A string is a dict of the strings that are one sample longer, and its code at -1.
-    roots = [{-1: v} for v in range(256)]
-    following, node = 258, roots[data[0]]
-    for b in data[1:]:
-        longer = node.get(b)
-        if longer is not None:
-            node = longer
-            continue
-        add(node[-1])
-        if following < _FULL:
-            node[b] = {-1: following}
-            following += 1
-        else:
-            add(256)
-            since.append(len(codes))
-            roots = [{-1: v} for v in range(256)]
-            following = 258
-        node = roots[b]
-    codes += [node[-1], 257]
-    all_codes = np.array(codes, dtype="<u2")
-    at = np.arange(len(codes))
-    starts = np.array([1] + since[1:])
-    k = at - starts[np.maximum(0, np.searchsorted(starts, at, "right") - 1)]
-    k[0] = 0  # the first clear code
-    # A clear code that ends a segment has that segment's place.
-    w = _BYTE_WIDTHS[k]
-    bits = np.unpackbits(all_codes.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
-    return np.packbits(bits[np.arange(16) < w[:, None]], bitorder="little").tobytes()
+    """The code stream of 8-bit samples, after one clear code.
+
+    Of the strings that the decoder's table has, those of two samples are used.  The samples
+    are cut into spans of growing length; a span is matched, as arrays, against the pairs
+    that the codes of the spans before it have put into the table.  A sample behind one that
+    begins no known pair always begins a code, and from there every second one does.
+    """
+    samples = np.frombuffer(data, np.uint8).astype(np.int32)
+    n, known, codes, have = len(samples), np.zeros(1 << 16, np.int16), [], 0
+    pairs = np.append(samples[:-1] << 8 | samples[1:], -1)
+    at, span = 0, SPAN
+    while at < n:
+        to = n if have >= _FULL - 258 else min(n, at + span)
+        code = known[pairs[at:to]]
+        if to == n:
+            code[-1] = 0  # nothing follows the last sample
+        place = np.arange(to - at)
+        alone = np.maximum.accumulate(np.where(code > 0, -1, place))
+        begin = np.flatnonzero((place - np.append(-1, alone[:-1])) & 1)
+        code = code[begin]
+        single = np.flatnonzero(code == 0)
+        code[single] = samples[at + begin[single]]
+        codes.append(code)
+        # A code for one sample makes the entry of a pair; the first of equal ones is kept, and the
+        # entry of the span's last code, which the next code completes, isn't used.
+        new = single[(single < len(begin) - 1) & (have + single < _FULL - 258)]
+        new = new[known[pairs[at + begin[new]]] == 0][::-1]
+        known[pairs[at + begin[new]]] = 258 + have + new
+        have += len(code)
+        at, span = at + int(begin[-1]) + (1 if code[-1] < 256 else 2), 2 * span
+    stream = np.concatenate([[256], *codes, [257]]).astype("<u2")
+    width = np.append(9, _BYTE_WIDTHS[np.minimum(np.arange(len(stream) - 1), _FULL)])
+    bits = np.unpackbits(stream.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    return np.packbits(bits[np.arange(16) < width[:, None]], bitorder="little").tobytes()
 
 
 def lzw_decode(stream: bytes, low: int, n: int) -> np.ndarray:
     """The first ``n`` samples of a code stream; fewer if it ends early."""
     clear, end, first = 1 << low, (1 << low) + 1, (1 << low) + 2
-    raw = np.frombuffer(stream + b"\0\0\0\0", dtype=np.uint8).astype(np.int64)
+    raw = np.frombuffer(stream + b"\0\0\0\0", dtype=np.uint8).astype(np.int32)
+    raw = raw[:-2] | raw[1:-1] << 8 | raw[2:] << 16  # the 24 bits from each byte on
     total_bits, pos, out, have = 8 * len(stream), 0, [], 0
     while have < n:
         # All codes up to the next clear or end code.
@@ -89,8 +101,7 @@ def lzw_decode(stream: bytes, low: int, n: int) -> np.ndarray:
             steps = _STEPS[low] if span == 2 * _FULL else np.concatenate((_STEPS[low], _STEPS[low][-1] + 12 * np.arange(1, span - 2 * _FULL + 1)))
             fit = int(np.searchsorted(steps, total_bits - pos, "right")) - 1
             at, w = pos + steps[:fit], np.diff(steps[: fit + 1])
-            byte = at >> 3
-            c = ((raw[byte] | raw[byte + 1] << 8 | raw[byte + 2] << 16) >> (at & 7)) & ((1 << w) - 1)
+            c = raw[at >> 3] >> (at & 7) & ((1 << w) - 1)
             stop = np.flatnonzero((c == clear) | (c == end))
             if len(stop) or fit < span:
                 break
@@ -135,11 +146,11 @@ def _strings(codes: np.ndarray, first: int) -> np.ndarray:
 
 
 def encode(samples: bytes, width: int = WIDTH, rows: int = ROWS, delay_ms: int = DELAY_MS) -> bytes:
-    """A grey GIF of 8-bit samples, a positive multiple of ``width``; frames of at most ``rows`` rows."""
+    """A GIF whose palette indices are 8-bit samples, a positive multiple of ``width``; frames of at most ``rows`` rows."""
     if not samples or len(samples) % width:
         raise ValueError("the samples must fill whole rows")
     high = min(rows, len(samples) // width)
-    out = [b"GIF89a", width.to_bytes(2, "little"), high.to_bytes(2, "little"), b"\xf7\0\0", _GREY]
+    out = [b"GIF89a", width.to_bytes(2, "little"), high.to_bytes(2, "little"), b"\xf7\0\0", _COLOURS]
     for a in range(0, len(samples), rows * width):
         part = samples[a : a + rows * width]
         out += [b"\x21\xf9\x04\x04", (delay_ms // 10).to_bytes(2, "little"), b"\0\0", b"\x2c\0\0\0\0", width.to_bytes(2, "little"), (len(part) // width).to_bytes(2, "little"), b"\0\x08"]
@@ -165,7 +176,8 @@ class Frame:
     def histogram(self) -> np.ndarray:
         """Pixels of the shown picture in 4 x 4 x 4 bins of red, green and blue; transparent ones don't count."""
         v = self.canvas.reshape(-1, 4).view("<u4").ravel()
-        v = v[v >> 24 > 0]
+        seen = v >> 24 > 0
+        v = v if seen.all() else v[seen]
         return np.bincount(v >> 2 & 0x30 | v >> 12 & 0xC | v >> 22 & 3, minlength=64)
 
 
@@ -193,7 +205,7 @@ def decode(data: bytes) -> Iterator[Frame]:
     if packed & 0x80:
         base = palette(2 << (packed & 7))
         pos += 3 * len(base)
-    canvas = np.zeros((high, wide, 4), np.uint8)
+    canvas = np.zeros((high, wide), "<u4")  # a pixel's four bytes as one number
     delay, disposal, clear_index, k = 0, 0, None, 0
     while pos < len(data) and data[pos] != 0x3B:
         kind = data[pos]
@@ -228,12 +240,12 @@ def decode(data: bytes) -> Iterator[Frame]:
             plain[order] = samples
             samples = plain
         before = canvas.copy() if disposal == 3 else None
-        full = np.zeros((256, 4), np.uint8)
-        full[: len(colours)] = colours
+        full = np.zeros(256, "<u4")
+        full[: len(colours)] = colours.view("<u4").ravel()
         area = canvas[top : top + h, left : left + w]
         shown = samples[: area.shape[0], : area.shape[1]]
-        area[...] = full[shown] if clear_index is None else np.where((shown == clear_index)[..., None], area, full[shown])
-        yield Frame(k, left, top, delay, disposal, clear_index, samples, canvas.copy())
+        area[...] = full[shown] if clear_index is None else np.where(shown == clear_index, area, full[shown])
+        yield Frame(k, left, top, delay, disposal, clear_index, samples, canvas.copy().view(np.uint8).reshape(high, wide, 4))
         if disposal == 2:
             area[...] = 0
         elif disposal == 3:
@@ -276,32 +288,37 @@ def with_frames(df: DataFrame, media: str = "media", key: str = "doc_id") -> Dat
 def _text_media(texts: pa.Array) -> pa.Array:
     """Texts (null: empty) as UTF-8, filled with spaces to a positive multiple of WIDTH, in a GIF each."""
     out = []
-    gc.disable()  # the strings' dicts hold no cycles, and collections walk them all
-    try:
-        for _, _, data, offsets in byte_chunks(texts):
-            whole = data.tobytes()
-            for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
-                rows = max(1, -(-(b - a) // WIDTH))
-                out.append(encode(whole[a:b].ljust(rows * WIDTH, b" ")))
-    finally:
-        gc.enable()
+    for _, _, data, offsets in byte_chunks(texts):
+        whole = data.tobytes()
+        for a, b in zip(offsets.tolist(), offsets[1:].tolist(), strict=False):
+            rows = max(1, -(-(b - a) // WIDTH))
+            out.append(encode(whole[a:b].ljust(rows * WIDTH, b" ")))
     return pa.array(out, pa.binary())
 
 
+_DIGEST = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string, frames array<struct<frame int, start_ms long, delay_ms int, width int, height int, histogram array<int>>>"
+
+
 def _media_digest(media: pa.Array) -> pa.Array:
-    """What the frames of stored media hold: digests of their samples, frames, length and colours."""
+    """What stored media holds: digests of its samples, its timed frames with their histograms, and all colours."""
     rows = []
     for m in media:
-        sha, size, tail, histogram, frames, ms = hashlib.sha256(), 0, b"", np.zeros(64, np.int64), 0, 0
-        for f in decode(m.as_py()):
+        sha, size, tail, total, frames, ms = hashlib.sha256(), 0, b"", np.zeros(64, np.int64), [], 0
+        for f in decode(m.as_py()) if m.is_valid else ():
             part = f.samples.tobytes()
             sha.update(part)
-            size, tail, frames, ms = size + len(part), (tail + part)[-16:], frames + 1, ms + f.delay_ms
-            histogram += f.histogram()
-        feature = f"frames={frames};ms={ms};rgb=" + ",".join(f"{i}:{v}" for i, v in enumerate(histogram.tolist()) if v)
-        rows.append((size, sha.hexdigest(), zlib.crc32(tail), feature))
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
-    return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)], ["payload_bytes", "payload_sha256", "tail_crc32", "feature"])
+            seen = f.histogram()
+            frames.append((f.index, ms, f.delay_ms, f.samples.shape[1], f.samples.shape[0], seen.astype(np.int32)))
+            size, tail, ms, total = size + len(part), (tail + part)[-16:], ms + f.delay_ms, total + seen
+        feature = f"frames={len(frames)};ms={ms};rgb=" + ",".join(f"{i}:{v}" for i, v in enumerate(total.tolist()) if v)
+        rows.append((size, sha.hexdigest(), zlib.crc32(tail), feature, frames))
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    flat = list(zip(*(f for frames in columns[4] for f in frames), strict=True)) or [[]] * 6
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()))
+    frames = pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(flat, kinds, strict=True)], ["frame", "start_ms", "delay_ms", "width", "height", "histogram"])
+    ends = np.cumsum([0, *map(len, columns[4])])
+    parts = [pa.array(c, t) for c, t in zip(columns[:4], (pa.int64(), pa.string(), pa.int64(), pa.string()), strict=True)]
+    return pa.StructArray.from_arrays([*parts, pa.ListArray.from_arrays(pa.array(ends, pa.int32()), frames)], ["payload_bytes", "payload_sha256", "tail_crc32", "feature", "frames"])
 
 
 def text_media(text: Column) -> Column:
@@ -310,7 +327,8 @@ def text_media(text: Column) -> Column:
 
 
 def media_digest(media: Column) -> Column:
-    return F.arrow_udf(_media_digest, "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string")(media)
+    """Struct of payload digests, feature and timed frames with histograms; null media has no frame and no sample."""
+    return F.arrow_udf(_media_digest, _DIGEST)(media)
 
 
 def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -318,4 +336,4 @@ def op8_gif_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     stored = docs.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long").alias("n_bytes"), text_media(F.col("text")).alias("media"))
     read = stored.select("doc_id", "n_bytes", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), media_digest(F.col("media")).alias("d"))
-    return read.select("doc_id", "n_bytes", "d.payload_bytes", "d.payload_sha256", "d.tail_crc32", "media_bytes", "media_sha256", "d.feature")
+    return read.select("doc_id", "n_bytes", "d.payload_bytes", "d.payload_sha256", "d.tail_crc32", "media_bytes", "media_sha256", "d.feature", "d.frames")
