@@ -27,6 +27,10 @@ def scratch(spark: SparkSession, name: str) -> str:
         base = tempfile.mkdtemp(prefix="spark-")
         sc.setCheckpointDir(base)
         base = sc.getCheckpointDir() or base
+    if "://" not in base and not base.startswith("file:"):
+        # Spark and Python must mean the same place: a path without a scheme is on the default file system.
+        path = sc._jvm.org.apache.hadoop.fs.Path(base)
+        base = path.getFileSystem(sc._jsc.hadoopConfiguration()).makeQualified(path).toString()
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -34,7 +38,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` as a table written once in the shared folder: a cut of the lineage."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes the files of a ``written`` table that nothing will read again."""
+    sc = df.sparkSession.sparkContext
+    path = sc._jvm.org.apache.hadoop.fs.Path(df.written_to)
+    path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """Names for working columns, with underscores in front until no column of ``df`` has them."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n = "_" + n
+        taken.add(n.lower())
+        out.append(n)
+    return out
 
 
 def filesystem(uri: str) -> tuple[fs.FileSystem, str]:

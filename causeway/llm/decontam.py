@@ -15,13 +15,18 @@ part of at least LONG tokens with a whole window in it, is re-parameterised cons
 (each slot value of the item stands for one value of the document; two names never for the
 same one, but new numbers may be equal), or if some window of it is an exact copy.
 
-The benchmark goes to the executors in blocks of at most BLOCK_BYTES; a larger one takes
-several.
+An item of more than WINDOW tokens leaks by any of its windows, an item of fewer than LEAST
+only by an exact copy.
+
+The benchmark's side of the join goes to the executors in blocks of at most BLOCK_BYTES of
+text; each block is a pass of its own, which gathers no other block, and a benchmark of
+several has its results written between the passes.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,12 +35,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.llm.caches import register, use
-from causeway.llm.common import table
-from causeway.llm.tokens import byte_chunks, slice_hashes
-from causeway.llm.words import mix, window_hashes, word_bounds
+from causeway.llm.common import discard, free_names, table, written
+from causeway.llm.tokens import byte_chunks, distinct
+from causeway.llm.words import mix, strong_hash, window_hashes, word_bounds
 
 WINDOW = 13
-#: Items of fewer tokens are too short to tell a leak from chance, and aren't looked for.
+#: Items of fewer tokens are too short to tell a new parameter from chance: only exact copies of them leak.
 LEAST = 5
 #: Tokens that a consistent part of a run needs if the rest of the run contradicts it.
 LONG = 2 * WINDOW
@@ -47,7 +52,10 @@ CACHE_WORDS = 300_000
 _WORD, _NUMBER, _GLUED, _UNIT, _NOTHING = range(5)
 _NAME = 5
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
-_NUM = re.compile(r"\d[\d.,:/]*")
+#: Digits with separators, a power of ten, an ordinal's ending; or one character that is a number.
+_NUM = re.compile(r"[+-]?\d[\d.,:/]*(?:e[+-]?\d+|st|nd|rd|th)?|[\u00bc-\u00be\u2150-\u215e]")
+#: Signs of formulas, which count as words.
+_SYMBOLS = frozenset("+ - * / = < > ^ % \u00d7 \u00f7 \u2264 \u2265 \u2212".split())
 _UNITS = frozenset("kg g mg km m cm mm nm l ml lb lbs oz ft in mi yd mph kmh s ms min h hr hrs hz kw mw v w j n pa percent degrees celsius fahrenheit meter meters metre metres kilometer kilometers mile miles gram grams kilogram kilograms pound pounds ounce ounces liter liters litre litres second seconds minute minutes hour hours day days week weeks month months year years dollar dollars euro euros cent cents usd eur gbp".split())
 _SPELLED = frozenset("zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion".split())
 #: Words that begin sentences without being names.
@@ -62,21 +70,21 @@ def _canonical(word: str) -> tuple[bytes, int, bool, bool, bool]:
         core, ends = word, False
     else:
         ends = word.rstrip("\"'”’)]}»")[-1:] in tuple(".!?:…")
-        core = word[:-1] if word[:-1].isalpha() else _EDGE.sub("", word)
+        core = word if word in _SYMBOLS else word[:-1] if word[:-1].isalpha() else _EDGE.sub("", word)
         if not core:
             return b"", _NOTHING, False, ends, False
     low = core.lower()
     title = len(core) > 1 and core[0].isupper() and core[1:].islower()
-    if low in _SPELLED:
+    if low in _SPELLED or "-" in low and all(x in _SPELLED for x in low.split("-")):
         kind = _NUMBER
-    elif low[0].isdigit():
+    elif low[0].isdigit() or low[0].isnumeric():
         kind = _NUMBER if _NUM.fullmatch(low) else _GLUED if _GLUE.fullmatch(low) else _WORD
     else:
         kind = _UNIT if low in _UNITS else _WORD
     return low.encode(), kind, title, ends, title and low not in _COMMON
 
 
-_known: dict[int, tuple[int, int, bool, bool, bool]] = {}
+_known: dict[bytes, tuple[int, int, bool, bool, bool]] = {}
 register("decontamination", _known.clear)
 
 
@@ -94,19 +102,16 @@ class Tokens:
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> Tokens:
     starts, ends, begin = word_bounds(data, offsets)
-    keys, at, inverse = np.unique(slice_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    at, inverse = distinct(data, starts, ends)
     if len(_known) > CACHE_WORDS:
         _known.clear()
-    keys = keys.tolist()
-    new = [k for k, h in enumerate(keys) if h not in _known]
-    if new:
-        whole = data.tobytes()
-        made = [_canonical(whole[a:b].decode(errors="replace")) for a, b in zip(starts[at[new]].tolist(), ends[at[new]].tolist(), strict=True)]
-        cores = np.cumsum([0] + [len(m[0]) for m in made])
-        hashes = slice_hashes(np.frombuffer(b"".join(m[0] for m in made), np.uint8), cores[:-1], cores[1:])
-        for k, h, m in zip(new, hashes.tolist(), made, strict=True):
-            _known[keys[k]] = (h, *m[1:])
-    rows = [_known[h] for h in keys]
+    whole = data.tobytes()
+    keys = [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+    for w in keys:
+        if w not in _known:
+            core, *rest = _canonical(w.decode(errors="replace"))
+            _known[w] = (strong_hash(core), *rest)
+    rows = [_known[w] for w in keys]
     value = np.array([r[0] for r in rows], dtype=np.uint64)[inverse]
     kind = np.array([r[1] for r in rows], dtype=np.int8)[inverse]
     title = np.array([r[2] for r in rows], dtype=bool)[inverse]
@@ -139,12 +144,18 @@ def _views(t: Tokens) -> list[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
     return [(t.named, word, None), (t.plain, word | name, name), (opened, word & ~t.opener, t.opener)]
 
 
+def _exact_codes(t: Tokens, size: int) -> np.ndarray:
+    return mix(window_hashes(t.value, size) ^ np.uint64(0x1234567))
+
+
 def _window_codes(t: Tokens, size: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Places, hashes and lengths of all windows of a size, for each view of the names."""
     n = len(t.value) - size + 1
     if n <= 0:
         return []
-    exact = mix(window_hashes(t.value, size) ^ np.uint64(0x1234567))
+    exact = _exact_codes(t, size)
+    if size < LEAST:
+        return [(np.arange(n), exact, np.full(n, size))]
     out = []
     for code, words, differs in _views(t):
         have = np.concatenate(([0], np.cumsum(words)))
@@ -217,7 +228,7 @@ def build_table(rows: list[tuple[int, str]], window: int = WINDOW) -> Table:
         raw = np.frombuffer(text.encode(), np.uint8)
         t = tokens(raw, np.array([0, len(raw)]))
         n = len(t.value)
-        if n < LEAST:
+        if not n:
             continue
         size, k = min(window, n), len(out.items)
         out.items.append(item)
@@ -316,12 +327,15 @@ def leaks(t: Tokens, bench: Table) -> dict[int, list[tuple[int, int, int, bool]]
     return {d: sorted(x.values()) for d, x in found.items()}
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str) -> list[Table]:
+def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[Table]:
+    """Tables of BLOCK_BYTES of text at most each, one at a time; equal texts are in one block."""
     rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item).cast("long").alias("i"), F.col(text).alias("t"))
+    rows = rows.where("i is not null").groupBy("t").agg(F.min("i").alias("i"))
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = max(1, -(-int(size) // BLOCK_BYTES))
-    parts = [rows.where(F.pmod(F.xxhash64("i"), F.lit(n)) == k) for k in range(n)] if n > 1 else [rows]
-    return [build_table([(r.i, r.t) for r in p.collect()]) for p in parts]
+    n = max(1, -(-2 * int(size) // BLOCK_BYTES)) if size > BLOCK_BYTES else 1
+    for k in range(n):
+        part = rows.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k) if n > 1 else rows
+        yield build_table([(r.i, r.t) for r in part.collect()])
 
 
 def leak_column(text: Column, bench: Table) -> Column:
@@ -343,12 +357,21 @@ def leak_column(text: Column, bench: Table) -> Column:
 def with_leaks(docs: DataFrame, benchmark: DataFrame, text: str = "text", out: str = "leaks", item: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` with the leaks of every whole text in column ``out``; a column of that name is replaced.
 
-    Null and empty items, and those of fewer than LEAST tokens, aren't looked for; an empty
-    benchmark finds none; repeated rows of either table have their results each, items of
-    equal text under the smallest id.
+    Null and empty items aren't looked for, nor those of a null id; an empty benchmark finds
+    none; null and empty texts have none; very long texts are read whole; repeated rows of
+    either table have their results each, items of equal text under the smallest id.
     """
-    columns = [leak_column(F.col(text), b) for b in _blocks(benchmark, item, item_text)]
-    return docs.withColumn(out, F.concat(*columns) if len(columns) > 1 else columns[0])
+    blocks = iter(_blocks(benchmark, item, item_text))
+    block, more = next(blocks), next(blocks, None)
+    if more is None:
+        return docs.withColumn(out, leak_column(F.col(text), block))
+    (name,) = free_names(docs, "__found")
+    found = written(docs.withColumn(name, leak_column(F.col(text), block)), "leaks")
+    while more is not None:
+        old, found = found, written(found.withColumn(name, F.concat(name, leak_column(F.col(text), more))), "leaks")
+        discard(old)
+        more = next(blocks, None)
+    return found.withColumn(name, F.array_sort(name)).drop(out).withColumnRenamed(name, out)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -359,5 +382,9 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs`` without a leak."""
-    return with_leaks(docs, benchmark, out="__leaks").where(F.size("__leaks") == 0).drop("__leaks")
+    """The rows of ``docs`` without a leak, with all their columns, whatever their names.
+
+    Null and empty texts stay; repeated rows share a fate; an empty benchmark drops none.
+    """
+    (name,) = free_names(docs, "__leaks")
+    return with_leaks(docs, benchmark, out=name).where(F.size(name) == 0).drop(name)

@@ -25,7 +25,10 @@ from pyspark.sql import functions as F
 
 from causeway.llm.common import table
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^'">])*)>""", re.S)
+#: A comment, a declaration, or the beginning of a tag.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)", re.S)
+#: The rest of a tag; quotes count only where a value begins.  What doesn't match has no end.
+_REST = re.compile(r"""((?:=\s*+(?:"[^"]*"|'[^']*')|[^>])*+)>""")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section select summary table tbody td tfoot th thead tr ul".split())
@@ -36,6 +39,10 @@ _NESTED = frozenset("template object svg annotation annotation-xml".split())
 _FOREIGN = frozenset("svg annotation annotation-xml".split())
 #: HTML tags that end a drawing which isn't closed.
 _BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+#: These close themselves by a slash at their end.
+_CLOSABLE = frozenset("math mi mn mo mrow ms mspace mtext msub msup mfrac msqrt mroot mtable mtr mtd none mprescripts".split())
+#: How many of the nearest ancestors give features.
+ANCESTORS = 32
 _POINTS = frozenset("foreignobject desc title".split())
 _IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 #: An opening tag closes the nearest of these, unless one of the second set lies between.
@@ -68,13 +75,23 @@ def _after_raw(html: str, pos: int, name: str) -> int:
     return close.end() if close else len(html)
 
 
+def _tag(html: str, pos: int) -> tuple[int, int, str | None, bool, str] | None:
+    """The next markup from ``pos`` on: its begin and end, lower-case name (None: a comment), whether it closes, attributes."""
+    m = _TAG.search(html, pos)
+    if not m:
+        return None
+    if m[2] is None:
+        return m.start(), m.end(), None, False, ""
+    rest = _REST.match(html, m.end())
+    return m.start(), rest.end() if rest else len(html), m[2].lower(), bool(m[1]), rest[1] if rest else ""
+
+
 def _after(html: str, begin: int, name: str) -> int:
     """Where what an opening tag of _NESTED hides ends; ``begin`` is behind the tag."""
     depth, points, pos = 1, 0, begin
-    while m := _TAG.search(html, pos):
-        pos = m.end()
-        tag = (m[2] or "").lower()
-        closes, alone = bool(m[1]), bool(m[3]) and m[3].endswith("/")
+    while m := _tag(html, pos):
+        at, pos, tag, closes, attributes = m
+        alone = attributes.endswith("/")
         if tag == name and not (alone and not closes and name in _FOREIGN):
             depth += -1 if closes else 1
             if not depth:
@@ -82,77 +99,97 @@ def _after(html: str, begin: int, name: str) -> int:
         elif name == "svg" and tag in _POINTS:
             points += (-1 if closes else 1) if not alone else 0
         elif name == "svg" and not points and (tag in _BREAKOUT and not closes or closes and tag in _BLOCK):
-            return m.start()
+            return at
         elif tag in ("script", "style") and not closes and not alone:
             pos = _after_raw(html, pos, tag)
     return begin if name == "object" else len(html)
 
 
+class _Stack:
+    """The open elements; finding the nearest of some names doesn't walk through the others."""
+
+    def __init__(self):
+        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.at: dict[str, list[int]] = {}
+
+    def push(self, name: str, features: tuple[str, ...]) -> None:
+        self.at.setdefault(name, []).append(len(self.open))
+        self.open.append((name, features))
+
+    def nearest(self, names: set[str] | frozenset[str]) -> int:
+        return max((at[-1] for n in names if (at := self.at.get(n))), default=-1)
+
+    def pop(self, names: set[str] | frozenset[str], until: set[str] | frozenset[str] = frozenset()) -> None:
+        """Closes the nearest of ``names`` and what is open in it, unless one of ``until`` is nearer."""
+        k = self.nearest(names)
+        if k < 0 or k < self.nearest(until):
+            return
+        for name, _ in reversed(self.open[k:]):
+            self.at[name].pop()
+        del self.open[k:]
+
+    def features(self) -> tuple[str, ...]:
+        return tuple({f for _, fs in self.open[-ANCESTORS:] for f in fs})
+
+
 def leaf_blocks(html: str) -> list[Block]:
-    """The leaf blocks of a page in order, with decoded references and single spaces."""
+    """The leaf blocks of a page in order, with decoded references and single spaces.
+
+    A tag without an end hides the rest of the page, as in browsers.
+    """
     out: list[Block] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack = _Stack()
     parts: list[str] = []
-    linked = links = 0
+    linked = objects = 0
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, tuple(f for _, fs in stack for f in fs), linked))
+                out.append(Block(text, stack.features(), linked))
             parts.clear()
         linked = 0
 
-    def pop(names: set[str] | frozenset[str], until: set[str] | frozenset[str] = frozenset()) -> None:
-        nonlocal links
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in names:
-                links -= sum(t == "a" for t, _ in stack[k:])
-                del stack[k:]
-                return
-            if stack[k][0] in until:
-                return
-
     pos, end = 0, len(html)
-    hidden = 0
+    hidden = False
     while pos < end:
-        m = _TAG.search(html, pos)
-        text = html[pos : m.start() if m else end]
+        m = _tag(html, pos)
+        text = html[pos : m[0] if m else end]
         if hidden and text.strip():
-            hidden = 0
+            hidden = False
         if text and not hidden:
             text = unescape(text) if "&" in text else text
             parts.append(text)
-            if links:
+            if stack.at.get("a"):
                 linked += len(text)
         if not m:
             break
-        pos = m.end()
-        name = m[2]
+        _, pos, name, closes, attributes = m
         if name is None:
             continue
-        name = name.lower()
-        if m[1]:
+        if closes:
             if name in ("head", "body", "html"):
-                hidden = 0
+                hidden = False
             if name in _BLOCK:
                 flush()
-            if name == "p" and not any(t == "p" for t, _ in stack):
-                continue
-            pop({name}, frozenset() if name in ("html", "body") else {"body"})
+            stack.pop({name}, frozenset() if name in ("html", "body") else {"body"})
             continue
         if hidden and name not in _IN_HEAD:
-            hidden = 0
+            hidden = False
         if name in _RAW:
             pos = _after_raw(html, pos, name)
             continue
         if name in _NESTED:
-            if not (name in _FOREIGN and m[3].endswith("/")):
+            if name == "object":
+                # After one that is never closed, others aren't looked for.
+                to = _after(html, pos, name) if not objects else pos
+                objects, pos = to == pos, to
+            elif not (name in _FOREIGN and attributes.endswith("/")):
                 pos = _after(html, pos, name)
             continue
         if name == "head":
-            hidden = 1
+            hidden = True
             continue
         if name == "br":
             parts.append(" ")
@@ -160,16 +197,15 @@ def leaf_blocks(html: str) -> list[Block]:
         if name in _BLOCK:
             flush()
             if name in _P_CLOSERS:
-                pop({"p"}, {"table", "td", "th", "button"})
+                stack.pop({"p"}, {"table", "td", "th", "button"})
             if name in _IMPLIED:
-                pop(*_IMPLIED[name])
-        if name in _VOID or m[3].endswith("/"):
+                stack.pop(*_IMPLIED[name])
+        if name in _VOID or name in _CLOSABLE and attributes.endswith("/"):
             continue
         fs = [f"in:{name}"]
-        if m[3]:
-            fs += [f"{'c' if a[0].lower() != 'role' else 'r'}:{w}" for a in _ATTRIBUTE.findall(m[3]) for w in _WORD.findall((a[1] or a[2] or a[3]).lower())]
-        stack.append((name, tuple(fs)))
-        links += name == "a"
+        if attributes:
+            fs += [f"{'c' if a[0].lower() != 'role' else 'r'}:{w}" for a in _ATTRIBUTE.findall(attributes) for w in _WORD.findall((a[1] or a[2] or a[3]).lower())]
+        stack.push(name, tuple(fs))
     flush()
     return out
 
@@ -179,14 +215,18 @@ _LENGTHS = (1, 2, 4, 7, 12, 20, 40, 80)
 
 
 def features(blocks: list[Block]) -> list[list[str]]:
-    """Of each block: ancestors, place among the page's blocks and shape of the text."""
+    """Of each block: ancestors, place among the page's blocks, shape of the text and of its neighbours."""
     out = []
-    for k, b in enumerate(blocks):
-        fs = list(set(b.features))
+    shapes = []
+    for b in blocks:
         words = b.text.count(" ") + 1
-        size = sum(words > n for n in _LENGTHS)
-        link = min(4, 4 * b.linked // max(1, len(b.text)))
-        fs += [f"n:{size}", f"a:{link}", "." if b.text[-1] in ".!?…\"'”:" else "-.", "A" if b.text[:1].isupper() else "-A"]
+        shapes.append((words, sum(words > n for n in _LENGTHS), min(4, 4 * b.linked // max(1, len(b.text)))))
+    total = max(1, sum(w for w, _, link in shapes if link < 2))
+    for k, b in enumerate(blocks):
+        words, size, link = shapes[k]
+        fs = list(b.features)
+        fs += [f"{side}:{x[1] // 2}:{x[2] // 2}" if x else f"{side}:-" for side, x in (("before", shapes[k - 1] if k else None), ("after", shapes[k + 1] if k + 1 < len(shapes) else None))]
+        fs += [f"n:{size}", f"a:{link}", f"n:{size}a:{link}", f"share:{min(4, 8 * words // total)}", "." if b.text[-1] in ".!?…\"'”:" else "-.", "A" if b.text[:1].isupper() else "-A"]
         if k < 2:
             fs.append("first")
         if k >= len(blocks) - 2:
@@ -296,7 +336,8 @@ class _Maker:
         return " ".join(self.words(2, 18) + self.r.choice("...!?") for _ in range(self.r.randint(low, high)))
 
     def leaf(self, text: str, label: int) -> str:
-        self.labels[" ".join(text.split())] = label
+        while self.labels.setdefault(" ".join(text.split()), label) != label:
+            text += " " + self.words(1, 1)  # equal texts have one label
         return text
 
     def items(self, tag: str, n: int, label: int, link: bool = True, low: int = 1, high: int = 3) -> str:
@@ -349,19 +390,27 @@ class _Maker:
         footer = lambda: self.box("footer footer footer div", "footer site-footer bottom copyright -", r.choice((self.leaf(f"© {year} {self.words(1, 3)} · {self.sentences(1, 2)}", 0), f"<p>{self.leaf(self.sentences(1, 2), 0)}</p><ul>{self.items('li', r.randint(2, 5), 0)}</ul>", f"<p>© {self.leaf(f'{self.words(1, 3)} {year}', 0)}</p>")))
         share = lambda: self.box("div ul", "share social tags pagination", self.items("li", r.randint(2, 4), 0))
         head = lambda: (f"<header><h1>{t}</h1></header>" if r.random() < 0.25 else f"<h1>{t}</h1>") if (t := self.leaf(self.words(1, 12), 1)) else ""
-        inner = head() + self.prose(1, 1, 12) + maybe(0.15, ad) + maybe(0.3, lambda: self.prose(1, 1, 4)) + maybe(0.15, share)
+        inner = maybe(0.85, head) + self.prose(1, 1, 12) + maybe(0.15, ad) + maybe(0.3, lambda: self.prose(1, 1, 4)) + maybe(0.15, share)
         kind = r.random()
-        if kind < 0.55:
+        if kind < 0.35:
             main = f"<article>{inner}</article>"
-        elif kind < 0.7:
+        elif kind < 0.45:
             main = f"<main>{inner}</main>"
-        elif kind < 0.8:
+        elif kind < 0.55:
             main = f"<main><article>{inner}</article></main>"
-        else:
+        elif kind < 0.7:
             main = self.box("div div section td", "content main article post entry article-body story text", inner)
+        elif kind < 0.85:
+            main = f"<div>{inner}</div>"
+        elif kind < 0.95:
+            main = self.box("div div section td", "".join(r.choices(_SYLLABLES, k=2)) + " col row", inner)
+        else:
+            main = inner
         body = maybe(0.3, notice) + maybe(0.4, header) + maybe(0.75, menu) + maybe(0.3, ad) + maybe(0.15, form) + maybe(0.2, side) + main + maybe(0.2, ad) + maybe(0.35, comments) + maybe(0.3, side) + maybe(0.15, form) + maybe(0.8, footer) + maybe(0.1, notice)
+        if r.random() < 0.25:
+            body = r.choice((main, f"<div>{self.prose(1, 1, 3)}</div>"))  # nothing around it
         if r.random() < 0.3:
-            body = f'<div class="{r.choice(("wrapper", "page", "container", "site"))}">{body}</div>'
+            body = f'<div class="{r.choice(("wrapper", "page", "container", "site", "x"))}">{body}</div>'
         return f"<html><head><title>{self.words(1, 5)}</title></head><body>{body}</body></html>"
 
     def leaf_p(self, label: int) -> str:
@@ -379,7 +428,7 @@ def labelled_pages(n: int, seed: int = 0) -> list[tuple[list[Block], list[int]]]
 
 
 @lru_cache(maxsize=2)
-def trained_field(n: int = 500, seed: int = 0) -> Field:
+def trained_field(n: int = 600, seed: int = 0) -> Field:
     return train([(features(b), y) for b, y in labelled_pages(n, seed)])
 
 
@@ -389,7 +438,11 @@ def extract(html: str, field: Field) -> str:
 
 
 def main_text(html: Column, field: Field | None = None) -> Column:
-    """The main text of each page, its blocks joined by one newline; null and empty pages give ''."""
+    """The main text of each page, its blocks joined by one newline; null and empty pages give ''.
+
+    A page of any length or depth takes time in proportion; repeated pages have equal texts; an
+    empty table gives no rows.
+    """
     field = field or trained_field()
 
     def text(pages: pa.Array) -> pa.Array:

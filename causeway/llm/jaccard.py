@@ -27,15 +27,15 @@ allow between its components, and verifies them.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.llm.caches import trim, use
-from causeway.llm.common import table, written
+from causeway.llm.common import discard, free_names, table, written
 from causeway.llm.components import components
 from causeway.llm.tokens import byte_chunks
 from causeway.llm.words import mix, shingle_sets
@@ -47,8 +47,8 @@ CHUNK_BYTES = 1 << 20
 BUCKET_BITS, CROWDED, BLOCKS = 19, 8, 128
 #: Sets of a tile's cell, and shingles of them where their texts are together.
 CELL, CELL_SHINGLES = 8192, 4_000_000
-#: Up to so many document ids (8 bytes each) are broadcast to find the candidates' texts.
-BROADCAST_IDS = 400_000
+#: Bits of the filter that finds the rows of some ids before a join: 8 MB, at most 16 MB of rows to the driver.
+FILTER_BITS = 26
 NARROW, WIDE = 64, 1 << 14
 #: Parts of a band of a cluster up to which each pair of them is a tile.
 MAX_PARTS = 16
@@ -212,13 +212,33 @@ def _can_link(n: int, bits: np.ndarray, ns: np.ndarray, rows: np.ndarray) -> np.
     return fits
 
 
+def may_be_in(ids: DataFrame, key: str = "doc_id") -> Callable[[Column], Column]:
+    """A test of ids: true for all of ``ids`` and for few others (the more, the fuller a bitmap of fixed size).
+
+    It keeps the texts of other documents out of the shuffle of an exact join, which has to
+    follow; a full bitmap costs a larger shuffle and nothing else.
+    """
+    place = lambda c: F.shiftrightunsigned(F.xxhash64(c), 64 - FILTER_BITS)
+    at = place(F.col(key))
+    words = ids.select(F.shiftright(at, 6).cast("int").alias("w"), F.expr("1L").alias("one"), F.pmod(at, F.lit(64)).cast("int").alias("b"))
+    found = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(one, b)")).alias("bits")).toArrow()
+    bitmap = np.zeros(1 << FILTER_BITS - 6, dtype=np.int64)
+    bitmap[found["w"].to_numpy()] = found["bits"].to_numpy()
+
+    @F.arrow_udf("boolean")
+    def test(places: pa.Array) -> pa.Array:
+        p = places.to_numpy(zero_copy_only=False)
+        return pa.array((bitmap[p >> 6] >> (p & 63) & 1).astype(bool))
+
+    return lambda c: test(place(c))
+
+
 def forest(places: DataFrame, docs: DataFrame) -> DataFrame:
     """Of the tiles (token, part, doc_id): doc_id, and a document of its tile that it links with, if any.
 
     The links of a tile form a spanning forest of those within it.
     """
-    at = F.broadcast(places) if places.count() <= BROADCAST_IDS else places
-    rows = docs.join(at, "doc_id").select("token", "part", "doc_id", "text")
+    rows = docs.where(may_be_in(places)(F.col("doc_id"))).join(places, "doc_id").select("token", "part", "doc_id", "text")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sets = None, [], []
@@ -350,7 +370,7 @@ def _cell_pairs(doc: np.ndarray, label: np.ndarray, n: np.ndarray, own: np.ndarr
 def verify(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs that link, by the exact intersection of their sorted shingle arrays."""
     ids = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, "doc_id", "left_semi")
+    texts = docs.where(may_be_in(ids)(F.col("doc_id"))).join(ids, "doc_id", "left_semi")
 
     def check(x: pa.Array, y: pa.Array) -> pa.Array:
         sets = [[s for at, _, data, offsets in byte_chunks(z, CHUNK_BYTES) for s in shingle_sets(data, offsets)] for z in (x, y)]
@@ -373,23 +393,26 @@ def _by_token(postings: DataFrame, docs: DataFrame) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([bitmap(s) for _, s in _texts(batch, 1)], pa.binary())], ["doc_id", "bits"])
 
-    bits = docs.join(rest.select("doc_id").distinct(), "doc_id", "left_semi").where("text is not null").mapInArrow(sign, "doc_id long, bits binary")
+    wanted = rest.select("doc_id").distinct()
+    bits = docs.where(may_be_in(wanted)(F.col("doc_id"))).join(wanted, "doc_id", "left_semi").where("text is not null").mapInArrow(sign, "doc_id long, bits binary")
     return first.unionByName(verify(written(tiles(rest.join(bits, "doc_id")), "pairs"), docs))
 
 
 def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per row of ``docs``: doc_id, n_shingles, component_id.
 
-    Null and empty texts have no shingles and link with nothing; rows that share an id are
-    one document, linked through any of them; rows of null id have a null component; an
-    empty table gives no rows.
+    Null and empty texts have no shingles and link with nothing; a very long text is one set
+    of all its shingles; rows that share an id are one document, linked through any of them;
+    rows of null id have a null component; an empty table gives no rows; other columns,
+    whatever their names, aren't read.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     prefixes = written(prefix_sets(docs, crowded_buckets(docs)), "prefixes")
     postings = prefixes.where("tokens is not null and doc_id is not null").select(F.explode("tokens").alias("token"), "doc_id", F.col("fa").alias("label"), "n")
     postings = written(shared(postings), "postings")
     for _ in range(PEELS):
-        postings = written(peeled(postings), "postings")
+        before, postings = postings, written(peeled(postings), "postings")
+        discard(before)
 
     low = postings.groupBy("token").agg(F.min("doc_id").alias("b"))
     joined = postings.join(low, "token").select(F.col("doc_id").alias("a"), "b").where("a != b")
@@ -405,7 +428,7 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # Of several parts, a tile is a pair of different ones, which also holds the pairs within each.
     other = other.where("parts = 1 or own != other")
     places = other.select("doc_id", "token", (F.least("own", "other") * F.col("parts") + F.greatest("own", "other")).alias("part"))
-    links = forest(places, docs)
+    links = written(forest(places, docs), "forest")
     large = placed.where(F.col("parts") > MAX_PARTS).select("component").distinct().join(placed, "component")
     if not large.isEmpty():
         links = links.unionByName(_by_token(postings.join(large.select("doc_id").distinct(), "doc_id", "left_semi"), docs))
@@ -424,14 +447,17 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of similar ones, that of the smallest id; of rows that share an id, one.
 
-    Rows of null id stay.
+    Rows of null id, and those without words, stay; all columns are kept, whatever their
+    names; an empty table gives none.
     """
+    (name,) = free_names(docs, "__id")
     groups = written(similar_groups(docs), "groups")
-    dropped = groups.where("doc_id != component_id").select(F.col("doc_id").alias("__id")).distinct()
-    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST_IDS else dropped
-    kept = docs.join(dropped, F.col("doc_id") == F.col("__id"), "left_anti")
-    repeated = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__id")).count().where("count > 1")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated.select("__id"), F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(repeated.select("__id"), F.col("doc_id") == F.col("__id"), "left_anti").unionByName(once)
+    gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct()
+    repeated = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(name)).count().where("count > 1").select(name)
+    same = F.col("doc_id").cast("long") == F.col(name)
+    # Only rows that may be concerned are shuffled.
+    test = may_be_in(gone.unionByName(repeated), name)(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
+    sure, maybe = docs.where(~test), docs.where(test)
+    kept = maybe.join(gone, same, "left_anti")
+    once = kept.where("doc_id is not null").join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
+    return sure.unionByName(kept.join(repeated, same, "left_anti")).unionByName(once)

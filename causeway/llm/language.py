@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.llm.caches import use
-from causeway.llm.common import table
+from causeway.llm.common import free_names, table
 from causeway.llm.tokens import byte_chunks
 
 #: n-gram orders and hashed features of a text.
@@ -206,6 +206,7 @@ def language(text: Column, model: Model | None, margin: float = 0.1) -> Column:
     """Struct of lang_pred, score, ambiguous, second_score.
 
     ``und`` with score 0 and not ambiguous: null, empty and letterless texts, or no model.
+    Very long texts are read chunk by chunk; repeated texts have equal results.
     ``ambiguous``: the second language's probability is within ``margin`` of the first's.
     """
 
@@ -243,6 +244,12 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def drop_unknown_languages(spark: SparkSession, docs: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` with a language: those of no letter, and the ambiguous of low score, go."""
-    found = docs.withColumn("__l", language(F.col("text"), train(docs, **settings)))
-    return found.where((F.col("__l.lang_pred") != UND) & ~(F.col("__l.ambiguous") & (F.col("__l.score") < 0.4))).drop("__l")
+    """The rows of ``docs`` with a language: those of no letter, and the ambiguous of low score, go.
+
+    All columns are kept, whatever their names; null and empty texts go; repeated rows share a
+    fate; an empty table, or one without labels, gives no rows.
+    """
+    (name,) = free_names(docs, "__l")
+    found = docs.withColumn(name, language(F.col("text"), train(docs, **settings)))
+    kept = (F.col(f"{name}.lang_pred") != UND) & ~(F.col(f"{name}.ambiguous") & (F.col(f"{name}.score") < 0.4))
+    return found.where(kept).drop(name)

@@ -8,9 +8,11 @@ the text compresses at all is the curve's third input: a text of endless repetit
 differs between the dictionaries.
 
 Fitting uses a bounded sample of labelled rows: ``per_class`` of each label, in the order of
-a hash of the id (the smallest label counts where an id has several), of which each gives at
-most ``DOC_BYTES`` from its beginning, middle and end to a dictionary.  Scoring reads whole
-texts.
+a hash of the id (the smallest label counts where an id has several, and each of the rows
+that share an id), whole texts each.  Scoring reads whole texts.
+
+A sampled text is cut and compressed where it lies; the driver gets the chunks of the texts
+that the dictionaries are made of, and three numbers of each of the others.
 """
 
 from __future__ import annotations
@@ -23,11 +25,11 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import table
+from causeway.llm.common import free_names, table
 from causeway.llm.tokens import byte_chunks
 
 CHUNK, LEVEL = 2048, 3
-DICTIONARY_BYTES, DOC_BYTES = 112 << 10, 6 << 10
+DICTIONARY_BYTES = 112 << 10
 THRESHOLD = 0.3
 
 
@@ -35,18 +37,9 @@ def chunks(data: bytes) -> list[bytes]:
     return [data[a : a + CHUNK] for a in range(0, len(data), CHUNK)]
 
 
-def _parts(text: str) -> list[bytes]:
-    """At most DOC_BYTES of a text, from three places."""
-    data = text.encode()
-    if len(data) <= DOC_BYTES:
-        return chunks(data)
-    third = DOC_BYTES // 3
-    return [data[a : a + third] for a in (0, (len(data) - third) // 2, len(data) - third)]
-
-
 def build_dictionary(texts: list[str]) -> bytes:
     """A trained zstandard dictionary; of too little text, the text itself."""
-    samples = [c for t in texts for c in _parts(t) if len(c) >= 8]
+    samples = [c for t in texts for c in chunks(t.encode()) if len(c) >= 8]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -114,14 +107,12 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     # At most 2 * per_class rows of two numbers.
     rows = texts.join(F.broadcast(sample), "k")
     head = F.pmod(F.xxhash64("k", F.lit(33)), F.lit(5)) < 3
-    give = F.when(F.length("t") <= DOC_BYTES, F.col("t")).otherwise(
-        F.concat(F.substring("t", 1, DOC_BYTES // 3), F.substr("t", (F.length("t") / 2).cast("int"), F.lit(DOC_BYTES // 3)), F.substring("t", -(DOC_BYTES // 3), DOC_BYTES // 3))
-    )
-    given = rows.where(head).select("k", "y", give.alias("t")).orderBy("k", "t").limit(8 * per_class).collect()
+    given = rows.where(head).select("k", "y", "t").collect()
+    given.sort(key=lambda r: (r.k, r.t))
     model = Model(*(build_dictionary([r.t for r in given if r.y == y]) for y in (1, 0)))
     if not model.good or not model.bad:
         return None
-    held = rows.where(~head).select("y", _measures(F.col("t"), model).alias("x")).limit(8 * per_class).collect()
+    held = rows.where(~head).select("y", _measures(F.col("t"), model).alias("x")).collect()
     held.sort(key=lambda r: (r.x, r.y))
     if {r.y for r in held} != {0, 1}:
         return model
@@ -135,8 +126,9 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
 def quality(text: Column, model: Model | None) -> Column:
     """Score from 0 to 1, higher where label 1 is likelier.
 
-    Null and empty texts get the score of no evidence, the curve at 0; without a model
-    every score is 0.5.
+    Null and empty texts get the score of no evidence, the curve at 0; very long texts are
+    compressed chunk by chunk; repeated texts have equal scores; without a model every score
+    is 0.5.
     """
     if model is None:
         return F.lit(0.5)
@@ -156,13 +148,18 @@ def quality(text: Column, model: Model | None) -> Column:
 def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores every whole text of ``documents``, learned from the labels of four folds of five."""
     fold = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5
-    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
     model = train(docs, labels.where(fold != 0))
     scored = docs.select("doc_id", (fold == 0).alias("held_out"), quality(F.col("text"), model).alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def drop_low_quality(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """The rows of ``docs`` that score at least the threshold."""
+    """The rows of ``docs`` that score at least the threshold, with all their columns, whatever their names.
+
+    Null and empty texts have the score of no evidence; repeated rows share a fate; an empty
+    table, or labels of one kind only, drop nothing.
+    """
+    (name,) = free_names(docs, "__q")
     model = train(docs, labels, **settings)
-    return docs.withColumn("__q", quality(F.col("text"), model)).where(F.col("__q") >= THRESHOLD).drop("__q")
+    return docs.withColumn(name, quality(F.col("text"), model)).where(F.col(name) >= THRESHOLD).drop(name)

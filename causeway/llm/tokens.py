@@ -2,14 +2,17 @@
 
 Each public vocabulary splits a text at white space before any merge, so the ids of a text
 are the ids of its segments in order.  A batch of texts is one byte buffer: numpy finds the
-segments and their hashes, only the distinct ones are looked up or given to the library, and
-a ragged gather puts the ids back in text order.  Texts in which a boundary could be unsafe
+segments, groups them by hash and compares each with the first of its group byte by byte;
+only the distinct ones are looked up or given to the library, and a ragged gather puts the
+ids back in text order.  Texts in which a boundary could be unsafe
 (rare white-space characters) go to the library whole.
 """
 
 from __future__ import annotations
 
 import re
+from functools import cache
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,9 +20,11 @@ import pyarrow as pa
 from causeway.llm.caches import register, use
 
 #: Estimated bytes of cached segments in one Python worker; beyond it the cache starts anew.
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 64 << 20
 #: Bytes of text handled at a time.
 BATCH_BYTES = 2 << 20
+#: Bytes that are hashed at a time.
+HASH_BYTES = 256 << 10
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -29,40 +34,89 @@ _LOW_BAR = re.compile("\u2581".encode())
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_powers = np.ones(1, dtype=np.uint64)
-_inverses = np.ones(1, dtype=np.uint64)
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers, _inverses
-    if len(_powers) < n:
-        size = (n + 65535) >> 16 << 16  # whole steps of 64 K
-        _powers, _inverses = np.full(size, _BASE), np.full(size, _INVERSE)
-        _powers[0] = _inverses[0] = 1
-        np.multiply.accumulate(_powers, out=_powers)
-        np.multiply.accumulate(_inverses, out=_inverses)
-    return _powers, _inverses
+@cache
+def _power_tables() -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (_BASE, _INVERSE):
+        power = np.full(HASH_BYTES + 1, base)
+        power[0] = 1
+        out.append(np.multiply.accumulate(power))
+    return out[0], out[1]
 
 
 def slice_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte slices [start, end) of a buffer, in order and apart, from prefix sums."""
-    if len(data) > 2 * BATCH_BYTES and len(starts) > 1:  # bounded memory for a very long text
-        out, i = np.zeros(len(starts), dtype=np.uint64), 0
-        while i < len(starts):
-            j = max(i + 1, int(np.searchsorted(starts, starts[i] + BATCH_BYTES)))
-            a = starts[i]
-            out[i:j] = slice_hashes(data[a : ends[j - 1]], starts[i:j] - a, ends[i:j] - a)
-            i = j
-        return out
-    power, inverse = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[: len(data)], out=sums[1:])
-    h = (sums[ends] - sums[starts]) * inverse[starts]
-    h ^= h >> np.uint64(31)
-    h *= np.uint64(0xBF58476D1CE4E5B9)
-    h += (ends - starts).astype(np.uint64)
-    h ^= h >> np.uint64(29)
-    return h
+    """64-bit hashes of the byte slices [start, end) of a buffer, in order and apart, from prefix sums.
+
+    They group slices quickly; texts can be made to collide, so ``distinct`` compares the bytes.
+    """
+    power, inverse = _power_tables()
+    out, i = np.zeros(len(starts), dtype=np.uint64), 0
+    while i < len(starts):
+        a = starts[i]
+        j = int(np.searchsorted(ends, a + HASH_BYTES, "right"))
+        if j <= i:  # a slice longer than a block
+            out[i] = int.from_bytes(blake2b(data[a : ends[i]].tobytes(), digest_size=8).digest(), "little")
+            i += 1
+            continue
+        part = data[a : ends[j - 1]]
+        sums = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum((part.astype(np.uint64) + np.uint64(1)) * power[: len(part)], out=sums[1:])
+        out[i:j] = (sums[ends[i:j] - a] - sums[starts[i:j] - a]) * inverse[starts[i:j] - a]
+        i = j
+    out ^= out >> np.uint64(31)
+    out *= np.uint64(0xBF58476D1CE4E5B9)
+    out += (ends - starts).astype(np.uint64)
+    out ^= out >> np.uint64(29)
+    return out
+
+
+_MASKS = np.array([(1 << 8 * n) - 1 for n in range(9)], dtype=np.uint64)
+
+
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, as numbers."""
+    return np.ndarray(len(data) + 1, "<u8", np.concatenate((data, np.zeros(8, np.uint8))), strides=(1,))
+
+
+def first_eight(data: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The first bytes, up to eight, of slices as numbers."""
+    return _eights(data)[starts] & _MASKS[np.minimum(8, length)]
+
+
+def _differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """Which of the slices of ``length`` bytes at ``a`` and ``b`` differ."""
+    out = np.zeros(len(a), dtype=bool)
+    for k in np.flatnonzero((length > 128) & (a != b)).tolist():
+        out[k] = not np.array_equal(data[a[k] : a[k] + length[k]], data[b[k] : b[k] + length[k]])
+    eight = _eights(data)
+    left = np.flatnonzero((length <= 128) & (a != b))
+    done = 0
+    while len(left):
+        mask = _MASKS[np.minimum(8, length[left] - done)]
+        out[left] |= (eight[a[left] + done] ^ eight[b[left] + done]) & mask != 0
+        done += 8
+        left = left[length[left] > done]
+    return out
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one slice of each distinct content, and for each slice the index of its content in them."""
+    _, at, inverse = np.unique(slice_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    length, first = ends - starts, at[inverse]
+    wrong = length != length[first]
+    same = np.flatnonzero(~wrong)
+    wrong[same] = _differ(data, starts[same], starts[first[same]], length[same])
+    others: dict[bytes, int] = {}  # of equal hash, but not equal
+    more = []
+    for k in np.flatnonzero(wrong).tolist():
+        content = data[starts[k] : ends[k]].tobytes()
+        if content not in others:
+            others[content] = len(at) + len(more)
+            more.append(k)
+        inverse[k] = others[content]
+    return np.concatenate((at, np.array(more, dtype=at.dtype))), inverse
 
 
 def byte_chunks(texts: pa.Array, size: int = BATCH_BYTES):
@@ -135,9 +189,8 @@ class _Coder:
         if odd:
             keep = ~np.isin(owner, np.fromiter(odd, dtype=np.int64))
             starts, ends, owner = starts[keep], ends[keep], owner[keep]
-        _, at, inverse = np.unique(slice_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        distinct = [whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
-        codes = self.codes(distinct)
+        at, inverse = distinct(data, starts, ends)
+        codes = self.codes([whole[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
         if odd:
             order = np.argsort(np.concatenate([owner, np.fromiter(odd, dtype=np.int64)]), kind="stable")
             inverse = np.concatenate([inverse, len(codes) + np.arange(len(odd))])[order]

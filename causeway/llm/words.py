@@ -1,10 +1,16 @@
-"""Words of text buffers as hashes, for the operators on word windows and shingles."""
+"""Words of text buffers as strong hashes, for the operators on word windows and shingles."""
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 
-from causeway.llm.tokens import slice_hashes
+from causeway.llm.caches import register
+from causeway.llm.tokens import distinct, first_eight
+
+#: Distinct words whose hashes a Python worker keeps.
+CACHE_WORDS = 200_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -28,6 +34,11 @@ def word_bounds(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def strong_hash(word: bytes) -> int:
+    """64 bits of a keyed cryptographic hash: no text can be made to collide."""
+    return int.from_bytes(blake2b(word, digest_size=8, key=b"causeway words").digest(), "little")
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = h ^ (h >> np.uint64(30))
     h = h * np.uint64(0xBF58476D1CE4E5B9)
@@ -36,6 +47,34 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+_known: dict[bytes, int] = {}
+register("shingles", _known.clear)
+
+
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hashes of the slices of a buffer: of up to seven bytes one to one, of more strong."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    length = ends - starts
+    short = length < 8
+    n = length[short]
+    out[short] = mix(first_eight(data, starts[short], n) | n.astype(np.uint64) << np.uint64(56))
+    long = np.flatnonzero(~short)
+    at, inverse = distinct(data, starts[long], ends[long])
+    if len(_known) > CACHE_WORDS:
+        _known.clear()
+    whole, hashes = data.tobytes(), []
+    for a, b in zip(starts[long[at]].tolist(), ends[long[at]].tolist(), strict=True):
+        word = whole[a:b]
+        h = _known.get(word)
+        if h is None:
+            h = strong_hash(word)
+            if len(word) <= 64:
+                _known[word] = h
+        hashes.append(h)
+    out[long] = np.array(hashes, dtype=np.uint64)[inverse]
+    return out
+
+
 _STEP = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -59,7 +98,7 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, size: int = 5) -> list[n
     """
     data = lower_ascii(data)
     starts, ends, begin = word_bounds(data, offsets)
-    words = slice_hashes(data, starts, ends)
+    words = word_hashes(data, starts, ends)
     letters = np.concatenate(([0], np.cumsum(ends - starts)))
 
     def placed(h: np.ndarray, n: np.ndarray) -> np.ndarray:
