@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable
+from functools import cache
 
 import pyarrow as pa
 
@@ -16,6 +17,17 @@ def register(name: str, clear: Callable[[], None]) -> None:
     _clear[name] = clear
 
 
+@cache
+def _settle() -> None:
+    """Large arrays get pages of their own, which go back to the machine when they are freed."""
+    try:
+        libc = ctypes.CDLL(None)
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.mallopt(-1, 8 << 20)  # M_TRIM_THRESHOLD
+    except (AttributeError, OSError):  # not this C library
+        pass
+
+
 def trim() -> None:
     """Gives memory that is free in the process back to the machine."""
     gc.collect()
@@ -28,6 +40,7 @@ def trim() -> None:
 
 def use(name: str) -> None:
     """Empties all caches but that of ``name``."""
+    _settle()
     if _now[0] == name:
         return
     _now[0] = name

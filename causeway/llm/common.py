@@ -9,10 +9,20 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 
+BATCH_ROWS = 2000
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH_ROWS rows, unless the session has a setting of its own: texts are long rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder under ``spark.checkpoint.dir``, which driver and executors share.
 

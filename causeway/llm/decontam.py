@@ -45,9 +45,9 @@ LEAST = 5
 #: Tokens that a consistent part of a run needs if the rest of the run contradicts it.
 LONG = 2 * WINDOW
 BLOCK_BYTES = 32 << 20
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 #: Distinct words that a Python worker keeps.
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 _WORD, _NUMBER, _GLUED, _UNIT, _NOTHING = range(5)
 _NAME = 5
