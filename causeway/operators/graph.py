@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from functools import reduce
+from operator import or_
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from causeway.functions import scores as S
@@ -15,8 +20,8 @@ def as_of(edges: DataFrame, at: Column) -> DataFrame:
 
 
 def first_of(rows: DataFrame, keys: list[str], order: str = "seq") -> DataFrame:
-    """The first row of each key in the order."""
-    return rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(order))).where("__r = 1").drop("__r")
+    """The first row of each key in the order; rows of one key combine before they travel."""
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*[F.col(c) for c in rows.columns]), order).alias("__first")).select("__first.*")
 
 
 def first_by(rows: DataFrame, parts: dict[str, Column], order: str = "seq", trim: bool = True) -> DataFrame:
@@ -36,48 +41,50 @@ def dedupe_edges(edges: DataFrame) -> DataFrame:
     return first_by(edges, {n: F.col(n) if n in edges.columns else F.lit("") for n in names})
 
 
+def concepts(node: Column) -> Column:
+    """The sorted concepts of which a name is inside the node's normal text."""
+    text = S.normal_text(node)
+    return F.array_compact(F.array(*[F.when(S.has_any(text, (*dims.ALIASES[c], c)), c) for c in sorted(dims.ALIASES)]))
+
+
 def node_concepts(edges: DataFrame) -> DataFrame:
-    """(node, concepts) of the distinct nodes: concepts a name of which is inside the node's normal text."""
-    spark = edges.sparkSession
-    nodes = edges.select(F.col("head_node").alias("node")).union(edges.select("tail_node")).distinct()
-    names = F.broadcast(dims.frame(spark, dims.concept_names(), "concept string, name string"))
-    found = nodes.join(names, F.contains(S.normal_text(F.col("node")), F.col("name")), "left")
-    return found.groupBy("node").agg(F.array_sort(F.collect_set("concept")).alias("concepts"))
+    """(node, concepts) of the distinct nodes."""
+    nodes = edges.select(F.explode(F.array("head_node", "tail_node")).alias("node")).distinct()
+    return nodes.withColumn("concepts", concepts(F.col("node")))
 
 
-def _best(pairs: DataFrame, rows: list[tuple], schema: str, by: str, keep: list[str]) -> DataFrame:
-    """Of the table's rows that fit each pair's concepts, that of the largest ``by`` above 1; ties by concepts."""
-    table = F.broadcast(dims.frame(pairs.sparkSession, rows, schema))
-    fits = pairs.join(table, F.array_contains("hc", F.col("h")) & F.array_contains("tc", F.col("t")) & (F.col(by) > 1))
-    best = Window.partitionBy("head_node", "tail_node").orderBy(F.desc(by), "h", "t")
-    return fits.withColumn("__r", F.row_number().over(best)).where("__r = 1").select("head_node", "tail_node", by, *keep)
+def _best(rows: list[tuple], names: tuple[str, ...]) -> Column:
+    """Of the table's rows (head, tail, size, ...) that fit the concepts hc and tc, that of the largest size above 1; ties by concepts."""
+    fits = [
+        F.when(F.array_contains("hc", r[0]) & F.array_contains("tc", r[1]), F.struct(F.lit(r[2]).alias("size"), F.lit(-k).alias("tie"), *[F.lit(v).alias(n) for n, v in zip(names, r[3:], strict=True)]))
+        for k, r in enumerate(sorted(rows))
+        if r[2] > 1
+    ]
+    return F.array_max(F.array_compact(F.array(*fits)))
 
 
 def pair_modifiers(edges: DataFrame) -> DataFrame:
     """A row per distinct (head, tail): matrix and structural boosts, polarity, label, equation, bias correction.
 
     Everything that depends on the two names alone is computed once for each pair of names,
-    however many edges have it.
+    however many edges have it, as one projection over the distinct pairs.
     """
-    spark = edges.sparkSession
-    concepts = node_concepts(edges)
+    both = lambda rows: [F.array_contains("hc", h) & F.array_contains("tc", t) for h, t in rows]
     pairs = edges.select("head_node", "tail_node").distinct()
-    pairs = pairs.join(concepts.select(F.col("node").alias("head_node"), F.col("concepts").alias("hc")), "head_node")
-    pairs = pairs.join(concepts.select(F.col("node").alias("tail_node"), F.col("concepts").alias("tc")), "tail_node")
-    matrix = _best(pairs, dims.MATRIX, "h string, t string, multiplier double, sign double, label string", "multiplier", ["sign", "label"])
-    scm = _best(pairs, dims.SCM, "h string, t string, effect double, sigma double, domain string, equation string", "effect", ["equation"])
-    common = F.broadcast(dims.frame(spark, dims.common_drivers(), "h string, t string"))
-    shared = pairs.join(common, F.array_contains("hc", F.col("h")) & F.array_contains("tc", F.col("t")), "left_semi").select("head_node", "tail_node", F.lit(0.7).alias("driver"))
-    keys = ["head_node", "tail_node"]
+    pairs = pairs.withColumns({"hc": concepts(F.col("head_node")), "tc": concepts(F.col("tail_node"))})
     broad = F.when(F.arrays_overlap("hc", F.array(*map(F.lit, dims.BROAD_CONCEPTS))), 0.85).otherwise(1.0)
-    return pairs.join(matrix, keys, "left").join(scm, keys, "left").join(shared, keys, "left").select(
-        *keys,
-        F.coalesce("multiplier", F.lit(1.0)).alias("matrix_boost"),
-        F.coalesce("sign", F.lit(1.0)).alias("matrix_sign"),
-        F.coalesce("label", F.lit("")).alias("label"),
-        F.coalesce("effect", F.lit(1.0)).alias("scm_boost"),
-        F.coalesce("equation", F.lit("")).alias("equation"),
-        (broad * F.coalesce("driver", F.lit(1.0))).alias("bias"),
+    driver = F.when(reduce(or_, both(dims.common_drivers())), 0.7).otherwise(1.0)
+    pairs = pairs.withColumns({"m": _best(dims.MATRIX, ("sign", "label")), "s": _best(dims.SCM, ("sigma", "domain", "equation")), "bias": broad * driver})
+    return pairs.select(
+        "head_node",
+        "tail_node",
+        F.coalesce("m.size", F.lit(1.0)).alias("matrix_boost"),
+        F.coalesce("m.sign", F.lit(1.0)).alias("matrix_sign"),
+        F.coalesce("m.label", F.lit("")).alias("label"),
+        F.coalesce("s.size", F.lit(1.0)).alias("scm_boost"),
+        F.coalesce("s.sigma", F.lit(0.2)).alias("noise_sigma"),
+        F.coalesce("s.equation", F.lit("")).alias("equation"),
+        "bias",
     )
 
 
@@ -102,9 +109,14 @@ def score_edges(edges: DataFrame) -> DataFrame:
 
 
 def dynamic_weights(edges: DataFrame, now: Column) -> DataFrame:
-    """A weight for each pair: recent evidence counts 1.15, and repeated evidence up to 0.2 more."""
-    recent = F.max(F.when(F.col("event_time") >= now - F.expr("interval 365 days"), 1).otherwise(0))
-    return edges.groupBy("head_node", "tail_node").agg((F.when(recent == 1, 1.15).otherwise(1.0) + F.least(0.05 * F.count("*"), F.lit(0.2))).alias("weight"), F.count("*").alias("n_edges"))
+    """A weight for each pair of node ids: evidence of the last 365 days counts 1.15, and repeated evidence up to 0.2 more."""
+    recent = F.max(F.when(F.col("event_time") > now - F.expr("interval 365 days"), 1).otherwise(0))
+    pairs = edges.groupBy(S.node_id(F.col("head_node")).alias("head"), S.node_id(F.col("tail_node")).alias("tail"))
+    return pairs.agg((F.when(recent == 1, 1.15).otherwise(1.0) + F.least(0.05 * F.count("*"), F.lit(0.2))).alias("weight"), F.count("*").alias("n_edges"))
+
+
+#: From so many edges on, the running rule has reached its cap: 0.05 * 1.05 ** 61 > 0.98.
+CAPPED = 62
 
 
 def consensus(edges: DataFrame, now: Column) -> DataFrame:
@@ -112,25 +124,22 @@ def consensus(edges: DataFrame, now: Column) -> DataFrame:
 
     Granularity, equation and direct effect are those of the first edge.
 
-    The running rule ``s = min(0.98, 1.05 max(s, next))`` has a closed form over the
-    positions, so it is an ordinary aggregate; a repeated key is a window of its own.
+    The running rule is ``s = min(0.98, 1.05 max(s, next))``; strengths are at least 0.05, so a
+    key of CAPPED edges or more has reached the cap, and only those of fewer are gathered.
     """
     keys = ["head", "relation", "tail"]
-    scored = score_edges(edges).join(dynamic_weights(edges, now).select("head_node", "tail_node", "weight"), ["head_node", "tail_node"])
+    weights = dynamic_weights(edges, now).select(F.col("head").alias("wh"), F.col("tail").alias("wt"), "weight")
+    scored = score_edges(edges).withColumns({"head": S.node_id(F.col("head_node")), "tail": S.node_id(F.col("tail_node"))})
+    scored = scored.join(weights, (F.col("head") == F.col("wh")) & (F.col("tail") == F.col("wt")))
     grain = F.coalesce(F.nullif(F.col("granularity"), F.lit("")), F.lit("day")) if "granularity" in edges.columns else F.lit("day")
-    own = F.struct(grain.alias("granularity"), "equation", F.col("scm_boost").alias("direct_effect")).alias("own")
-    rows = scored.select(S.node_id(F.col("head_node")).alias("head"), "relation", S.node_id(F.col("tail_node")).alias("tail"), "seq", "polarity", own, S.clamp(F.col("strength") * F.col("weight"), 0.05, 0.98).alias("s"))
-    at = Window.partitionBy(*keys)
-    rows = rows.withColumn("i", F.row_number().over(at.orderBy("seq"))).withColumn("n", F.count("*").over(at))
-    # Beyond 2000 positions the power has long reached the cap.
-    power = F.pow(F.lit(1.05), F.least(F.col("n") - F.when(F.col("i") == 1, F.lit(1)).otherwise(F.col("i") - 1), F.lit(2000)).cast("double"))
-    links = rows.groupBy(*keys).agg(
-        F.when(F.max("n") == 1, F.max("s")).otherwise(F.least(F.lit(0.98), F.max(F.col("s") * power))).alias("strength"),
-        F.avg("polarity").alias("polarity"),
-        F.count("*").alias("support_count"),
-        F.min_by("own", "seq").alias("own"),
-    )
-    return links.select(*keys, "strength", "polarity", "support_count", "own.*")
+    own = F.struct(grain.alias("granularity"), "equation", "noise_sigma", F.col("scm_boost").alias("direct_effect")).alias("own")
+    rows = scored.select(*keys, "seq", "polarity", own, S.clamp(F.col("strength") * F.col("weight"), 0.05, 0.98).alias("s"))
+    links = rows.groupBy(*keys).agg(F.avg("polarity").alias("polarity"), F.count("*").alias("support_count"), F.min_by("own", "seq").alias("own"))
+    few = rows.join(links.where(F.col("support_count") < CAPPED).select(*keys), keys, "left_semi")
+    few = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "s"))).alias("in_order"))
+    running = F.aggregate(F.slice("in_order", 2, CAPPED), F.get("in_order", F.lit(0))["s"], lambda s, x: F.least(F.lit(0.98), 1.05 * F.greatest(s, x["s"])))
+    links = links.join(few.select(*keys, running.alias("strength")), keys, "left")
+    return links.select(*keys, F.coalesce("strength", F.lit(0.98)).alias("strength"), "polarity", "support_count", "own.*")
 
 
 def what_if(links: DataFrame, seed: str, delta: float, horizon: int, severity: int = 0, connectivity: float = 0.0) -> DataFrame:
@@ -155,3 +164,109 @@ def what_if(links: DataFrame, seed: str, delta: float, horizon: int, severity: i
         frontier = arrived.groupBy("node", "delta").agg(F.sum("n").alias("n")).withColumn("depth", F.lit(depth))
         reached = reached.unionByName(frontier)
     return reached.groupBy("node").agg(F.sum(F.col("delta") * F.col("n")).alias("impact"), F.min("depth").alias("depth"))
+
+
+def graph_counts(links: DataFrame, key: str) -> DataFrame:
+    """Distinct nodes and edges of each graph, by node id; parallel edges are one."""
+    e = links.select(key, S.node_id(F.col("head_node")).alias("h"), S.node_id(F.col("tail_node")).alias("t")).where("h != '' and t != ''").distinct()
+    nodes = e.select(key, F.explode(F.array("h", "t")).alias("n")).distinct().groupBy(key).agg(F.count("*").alias("n_nodes"))
+    return nodes.join(e.groupBy(key).agg(F.count("*").alias("n_edges")), key)
+
+
+def per_graph(links: DataFrame, key: str, work, schema: str) -> DataFrame:
+    """A function of the links of each graph, after they have become few: distinct (head, tail) with their best strength."""
+    few = links.groupBy(key, S.node_id(F.col("head_node")).alias("head"), S.node_id(F.col("tail_node")).alias("tail")).agg(F.max("strength").alias("strength"))
+    return few.groupBy(key).applyInPandas(work, schema)
+
+
+def acyclic(links: DataFrame, key: str) -> DataFrame:
+    """The links of each graph that a greedy choice by falling strength keeps without a cycle."""
+
+    def keep(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["strength", "head", "tail"], ascending=[False, True, True])
+        after: dict[str, set[str]] = {}
+
+        def reaches(a: str, b: str) -> bool:
+            seen, todo = {a}, [a]
+            while todo:
+                n = todo.pop()
+                if n == b:
+                    return True
+                new = after.get(n, set()) - seen
+                seen |= new
+                todo += new
+            return False
+
+        chosen = []
+        for h, t in zip(rows["head"], rows["tail"], strict=True):
+            ok = h != t and not reaches(t, h)
+            if ok:
+                after.setdefault(h, set()).add(t)
+            chosen.append(ok)
+        return rows[chosen]
+
+    return per_graph(links, key, keep, f"{key} string, head string, tail string, strength double")
+
+
+def fiedler(links: DataFrame, key: str) -> DataFrame:
+    """The second smallest eigenvalue of each graph's Laplacian (undirected, simple): 0 where it falls apart."""
+
+    def value(rows: pd.DataFrame) -> pd.DataFrame:
+        nodes = sorted(set(rows["head"]) | set(rows["tail"]))
+        at = {n: i for i, n in enumerate(nodes)}
+        m = np.zeros((len(nodes), len(nodes)))
+        for h, t in zip(rows["head"], rows["tail"], strict=True):
+            if h != t:
+                m[at[h], at[t]] = m[at[t], at[h]] = -1
+        np.fill_diagonal(m, -m.sum(axis=1))
+        second = float(np.linalg.eigvalsh(m)[1]) if len(nodes) > 1 else 0.0
+        return pd.DataFrame({key: [rows[key].iloc[0]], "fiedler": [max(0.0, second) if second > 1e-9 else 0.0]})
+
+    return per_graph(links, key, value, f"{key} string, fiedler double")
+
+
+def root_causes(links: DataFrame, target: str, depth: int = 6) -> DataFrame:
+    """All maximal paths back from a node: path (root first), influence, direction, and a 95 % interval.
+
+    A path ends where no link leads further back without a node it has already, or at ``depth``.
+    The links are an aggregate by node pairs; each level is one join with them.
+    """
+    spark = links.sparkSession
+    factor = F.col("strength") * S.temporal_decay(F.col("granularity")) * F.col("polarity")
+    noise = (1 - S.clamp(F.col("strength"), 0.05, 0.98) + F.coalesce("noise_sigma", F.lit(0.2))) * 0.04
+    back = links.select("head", "tail", factor.alias("f"), noise.alias("v")).where((F.abs("f") >= 1e-12) & (F.col("head") != ""))
+    open_ = spark.createDataFrame([([target], 1.0, 1.0, 0.0)], "path array<string>, influence double, direction double, variance double")
+    done = open_.limit(0)
+    for _ in range(depth):
+        grown = open_.join(back, (F.get("path", F.lit(0)) == F.col("tail")) & ~F.array_contains("path", F.col("head")), "left")
+        done = done.unionByName(grown.where("f is null").select(*open_.columns))
+        open_ = grown.where("f is not null").select(
+            F.concat(F.array("head"), "path").alias("path"), (F.col("influence") * F.abs("f")).alias("influence"), (F.col("direction") * F.col("f")).alias("direction"), (F.col("variance") + F.col("v")).alias("variance")
+        )
+    margin = 1.96 * F.sqrt("variance")
+    alone = F.size("path") == 1
+    return done.unionByName(open_).select(
+        "path", "influence", "direction", F.when(alone, 0.0).otherwise(F.greatest(F.lit(0.0), F.col("influence") - margin)).alias("lower"), F.when(alone, F.col("influence")).otherwise(F.col("influence") + margin).alias("upper")
+    )
+
+
+def triggered_actions(impacts: DataFrame) -> DataFrame:
+    """The catalogue's actions on nodes with an impact over 0.05, in order of the impacts' size."""
+    actions = F.broadcast(dims.frame(impacts.sparkSession, dims.ACTIONS, "node string, action string, effect double"))
+    return impacts.where(F.abs("impact") > 0.05).join(actions, "node").select("node", "action", "effect", "impact")
+
+
+def recommendations(impacts: DataFrame, seed: str) -> DataFrame:
+    """Nodes besides the seed with an impact over 0.5, what to do, and how sure that is."""
+    rows = impacts.where((F.abs("impact") > 0.5) & (F.col("node") != seed))
+    return rows.select(F.col("node").alias("asset"), F.when(F.col("impact") > 0, "BUY/OVERWEIGHT").otherwise("SELL/UNDERWEIGHT").alias("action"), (0.85 + 0.1 * F.abs("impact")).alias("confidence"))
+
+
+def effect_label(depth: Column) -> Column:
+    return F.when(depth == 0, "Seed Shock").when(depth == 1, "First-Order").otherwise("Second-Order")
+
+
+def market_links(spark: SparkSession) -> DataFrame:
+    """The structural links between markets, as links of the graph."""
+    rows = dims.frame(spark, dims.MARKET_LINKS, "a string, b string, strength double, channel string")
+    return rows.select(F.concat(F.lit("market_"), "a").alias("head"), F.concat(F.lit("contagion_"), "channel").alias("relation"), F.concat(F.lit("market_"), "b").alias("tail"), "strength", F.lit(1.0).alias("polarity"), F.lit("day").alias("granularity"))

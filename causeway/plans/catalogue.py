@@ -47,7 +47,9 @@ mx as (select head_node, tail_node, m, sg, label from (select pc.*, m, sg, label
   from pc join {dims.values(dims.MATRIX)} x(h, t, m, sg, label) on pc.h = x.h and pc.t = x.t where m > 1) where r = 1),
 sx as (select head_node, tail_node, ef, eq from (select pc.*, ef, eq, row_number() over (partition by head_node, tail_node order by ef desc, pc.h, pc.t) r
   from pc join {dims.values(dims.SCM)} x(h, t, ef, sigma, domain, eq) on pc.h = x.h and pc.t = x.t where ef > 1) where r = 1),
-dx as (select distinct head_node, tail_node from pc join {dims.values(dims.common_drivers())} x(h, t) on pc.h = x.h and pc.t = x.t),
+mt as (select * from {dims.values(dims.MATRIX)} x(d, t, m, sg, label)),
+macro as (select d from mt where {_any("label", ("macro", "policy", "rates", "liquidity", "inflation", "energy"))} union select unnest(['inflation', 'policy_rate', 'liquidity', 'geopolitical_risk'])),
+dx as (select distinct head_node, tail_node from pc join mt a on a.t = pc.h join mt b on b.t = pc.t and b.d = a.d where a.d in (select d from macro)),
 bx as (select distinct node from con where concept in {dims.BROAD_CONCEPTS!r}),
 scored as (select e.*, {_BASE} as base,
   case when {_any("lower(relation)", dims.CAUSAL_TERMS)} then 1.12::double when {_any("lower(relation)", dims.WEAK_TERMS)} then 0.9::double else 1::double end as boost,
@@ -56,9 +58,10 @@ scored as (select e.*, {_BASE} as base,
   greatest(-1::double, least(coalesce(sg, 1::double) * case when {_any("lower(relation)", dims.INVERSE_TERMS)} then -1::double else 1::double end, 1::double)) as polarity
   from edges e left join mx using (head_node, tail_node) left join sx using (head_node, tail_node) left join dx using (head_node, tail_node) left join bx on bx.node = e.head_node),
 se as (select *, greatest(0.05::double, least(base * boost * mb * sb * bias, 0.98::double)) as strength from scored)"""
-_WEIGHTS = f"dw as (select head_node, tail_node, (case when max(case when event_time >= timestamp '{AS_OF}' - interval 365 day then 1 else 0 end) = 1 then 1.15::double else 1::double end) + least(0.05::double * count(*), 0.2::double) as weight, count(*) as n_edges from edges group by all)"
+_NODE = "replace(lower(trim({})), ' ', '_')"
+_WEIGHTS = f"dw as (select {_NODE.format('head_node')} as head, {_NODE.format('tail_node')} as tail, (case when max(case when date_diff('second', event_time, timestamp '{AS_OF}') < 365 * 86400 then 1 else 0 end) = 1 then 1.15::double else 1::double end) + least(0.05::double * count(*), 0.2::double) as weight, count(*) as n_edges from edges group by 1, 2)"
 _CONSENSUS = """rows_ as (select replace(lower(trim(head_node)), ' ', '_') as head, relation, replace(lower(trim(tail_node)), ' ', '_') as tail, seq, polarity,
-  greatest(0.05::double, least(strength * weight, 0.98::double)) as s from se join dw using (head_node, tail_node)),
+  greatest(0.05::double, least(strength * weight, 0.98::double)) as s from se join dw on dw.head = replace(lower(trim(head_node)), ' ', '_') and dw.tail = replace(lower(trim(tail_node)), ' ', '_')),
 num as (select *, row_number() over (partition by head, relation, tail order by seq) as i, count(*) over (partition by head, relation, tail) as n from rows_),
 links as (select head, relation, tail, case when max(n) = 1 then max(s) else least(0.98::double, max(s * pow(1.05::double, least(n - case when i = 1 then 1 else i - 1 end, 2000)))) end as strength,
   avg(polarity) as polarity, count(*) as support_count from num group by all)"""
@@ -152,9 +155,9 @@ def edge_score(s, d):
     return G.score_edges(views.edges(s, d)).select("seq", _r(F.col("strength")).alias("strength"), "polarity", "reasoning")
 
 
-@query(f", {_WEIGHTS} select head_node, tail_node, round(weight, 6) as weight, n_edges from dw")
+@query(f", {_WEIGHTS} select head, tail, round(weight, 6) as weight, n_edges from dw")
 def dynamic_weights(s, d):
-    return G.dynamic_weights(views.edges(s, d), _at()).select("head_node", "tail_node", _r(F.col("weight")).alias("weight"), "n_edges")
+    return G.dynamic_weights(views.edges(s, d), _at()).select("head", "tail", _r(F.col("weight")).alias("weight"), "n_edges")
 
 
 @query(f", {_SCORED}, {_WEIGHTS}, {_CONSENSUS} select head, relation, tail, round(strength, 6) as strength, round(polarity, 6) as polarity, support_count from links")

@@ -51,43 +51,43 @@ SCM = [
 ]
 #: names of each concept
 ALIASES = {
-    "inflation": "inflation; cpi; ppi; price level; price pressure",
-    "consumer_spending": "consumer spending; consumption; retail sales; household spending",
-    "policy_rate": "policy rate; fed funds; interest rate; fed policy; rate hike; rate cut",
-    "fed_dot_plot": "fed dot plot; dot plot; fomc dot plot; rate expectations; rate path",
-    "quantitative_tightening": "quantitative tightening; qt; balance sheet runoff",
-    "reverse_repo_balance": "reverse repo balance; rrp balance; reverse repo; on rrp",
-    "bank_term_funding": "bank term funding; btfp; term funding facility",
-    "bond_yield": "bond yield; treasury yield; 10y yield; real yield",
-    "discount_rate": "discount rate; cost of capital; wacc",
-    "tech_valuation": "tech valuation; growth multiple; tech multiple; software multiple; nasdaq",
-    "equity_valuation": "equity valuation; market valuation; price target; valuation",
-    "liquidity": "liquidity; money supply; qe; quantitative easing",
-    "energy_price": "energy price; oil; gas price; brent; wti; crude",
-    "labor_market_tightness": "labor market tightness; tight labor market; job openings; quit rate; wage pressure",
-    "supply_chain_bottleneck": "supply chain bottleneck; port congestion; input shortages; logistics disruption",
-    "fiscal_stimulus": "fiscal stimulus; government spending; tax cuts; stimulus checks",
-    "unemployment": "unemployment; jobless; labor market slack",
-    "usd_strength": "usd; dollar index; dxy; strong dollar",
-    "exports": "exports; export demand; trade balance",
-    "revenue_growth": "revenue growth; sales growth; topline",
-    "earnings_growth": "earnings_growth; eps growth; profit growth",
-    "risk_premium": "risk premium; equity risk premium; term premium",
-    "credit_spread": "credit spread; high yield spread; corporate spread",
-    "gpu_demand": "gpu demand; h100 demand; b200 demand; ai chip demand; accelerator demand",
-    "hbm_demand": "hbm demand; high bandwidth memory demand; hbm3e; hbm4",
-    "hbm_supply": "hbm supply; hbm capacity; hbm yield",
-    "gpu_production": "gpu production; chip output; wafer starts",
-    "ai_server_shipment": "ai server; dgx; server shipment",
-    "ai_capex": "ai capex; ai investment; data center spend; compute spend",
-    "cloud_revenue": "cloud revenue; azure; aws; gcp; cloud growth",
-    "foundry_capacity": "foundry capacity; tsmc capacity; 4nm; 3nm; coos",
-    "chip_inventory": "chip inventory; semiconductor inventory; channel stock",
-    "gpu_pricing": "gpu pricing; chip prices; asp",
-    "oil_price": "oil price; crude oil; wti price; brent price",
-    "transport_cost": "shipping cost; freight rates; logistics cost",
-    "geopolitical_risk": "geopolitical tension; war risk; trade war; sanctions",
-    "geopolitical_stability": "geopolitical stability; de-escalation; diplomatic stability; regional stability",
+    "inflation": ("inflation", "cpi", "ppi", "price level", "price pressure",),
+    "consumer_spending": ("consumer spending", "consumption", "retail sales", "household spending",),
+    "policy_rate": ("policy rate", "fed funds", "interest rate", "fed policy", "rate hike", "rate cut",),
+    "fed_dot_plot": ("fed dot plot", "dot plot", "fomc dot plot", "rate expectations", "rate path",),
+    "quantitative_tightening": ("quantitative tightening", "qt", "balance sheet runoff",),
+    "reverse_repo_balance": ("reverse repo balance", "rrp balance", "reverse repo", "on rrp",),
+    "bank_term_funding": ("bank term funding", "btfp", "term funding facility",),
+    "bond_yield": ("bond yield", "treasury yield", "10y yield", "real yield",),
+    "discount_rate": ("discount rate", "cost of capital", "wacc",),
+    "tech_valuation": ("tech valuation", "growth multiple", "tech multiple", "software multiple", "nasdaq",),
+    "equity_valuation": ("equity valuation", "market valuation", "price target", "valuation",),
+    "liquidity": ("liquidity", "money supply", "qe", "quantitative easing",),
+    "energy_price": ("energy price", "oil", "gas price", "brent", "wti", "crude",),
+    "labor_market_tightness": ("labor market tightness", "tight labor market", "job openings", "quit rate", "wage pressure",),
+    "supply_chain_bottleneck": ("supply chain bottleneck", "port congestion", "input shortages", "logistics disruption",),
+    "fiscal_stimulus": ("fiscal stimulus", "government spending", "tax cuts", "stimulus checks",),
+    "unemployment": ("unemployment", "jobless", "labor market slack",),
+    "usd_strength": ("usd", "dollar index", "dxy", "strong dollar",),
+    "exports": ("exports", "export demand", "trade balance",),
+    "revenue_growth": ("revenue growth", "sales growth", "topline",),
+    "earnings_growth": ("earnings_growth", "eps growth", "profit growth",),
+    "risk_premium": ("risk premium", "equity risk premium", "term premium",),
+    "credit_spread": ("credit spread", "high yield spread", "corporate spread",),
+    "gpu_demand": ("gpu demand", "h100 demand", "b200 demand", "ai chip demand", "accelerator demand",),
+    "hbm_demand": ("hbm demand", "high bandwidth memory demand", "hbm3e", "hbm4",),
+    "hbm_supply": ("hbm supply", "hbm capacity", "hbm yield",),
+    "gpu_production": ("gpu production", "chip output", "wafer starts",),
+    "ai_server_shipment": ("ai server", "dgx", "server shipment",),
+    "ai_capex": ("ai capex", "ai investment", "data center spend", "compute spend",),
+    "cloud_revenue": ("cloud revenue", "azure", "aws", "gcp", "cloud growth",),
+    "foundry_capacity": ("foundry capacity", "tsmc capacity", "4nm", "3nm", "coos",),
+    "chip_inventory": ("chip inventory", "semiconductor inventory", "channel stock",),
+    "gpu_pricing": ("gpu pricing", "chip prices", "asp",),
+    "oil_price": ("oil price", "crude oil", "wti price", "brent price",),
+    "transport_cost": ("shipping cost", "freight rates", "logistics cost",),
+    "geopolitical_risk": ("geopolitical tension", "war risk", "trade war", "sanctions",),
+    "geopolitical_stability": ("geopolitical stability", "de-escalation", "diplomatic stability", "regional stability",),
 }
 CAUSAL_TERMS = ("drives", "causes", "raises", "tightens", "expands", "accelerates", "improves")
 WEAK_TERMS = ("correlates", "relates", "tracks", "mentions")
@@ -113,15 +113,38 @@ MARKET_LINKS = [
     ("eu", "us", 0.35, "credit"),
 ]
 
+#: node that triggers it, action, its effect
+ACTIONS = [
+    ("policy_rate", "act:refinance_debt", -0.15),
+    ("operating_margin", "act:supply_chain_hedge", 0.08),
+    ("chip_inventory", "act:inventory_liquidation", -0.12),
+    ("usd_strength", "act:currency_hedging", -0.1),
+    ("ai_capex", "act:capex_postponement", -0.18),
+    ("transport_cost", "act:working_capital_release", -0.09),
+]
+#: names of each value in a feed's payload, the first that is a number counts
+FEED_KEYS = {
+    "dot_plot_change": ("dot_plot_change", "dot_plot_delta", "dot_plot_shift", "dot_plot_surprise", "fomc_dot_plot_change"),
+    "policy_rate": ("policy_rate", "fed_funds", "effective_fed_funds", "ffr"),
+    "policy_rate_change": ("policy_rate_change", "fed_funds_change", "ffr_change", "policy_rate_delta"),
+    "rate_expectation_change": ("rate_expectation_change", "futures_rate_change", "ois_change", "rate_path_change"),
+    "qt_pace": ("qt_pace", "balance_sheet_runoff", "qt_runoff"),
+    "rrp_balance": ("rrp_balance", "reverse_repo_balance", "rrp"),
+    "bank_term_funding": ("bank_term_funding", "btfp_balance"),
+    "liquidity_index": ("liquidity_index", "liquidity_stress"),
+}
+ACTION_WORDS = ("strategy", "plan", "hedging", "refinance", "restructure", "expand", "reduce cost")
+PROOF_FIELDS = {"groth16": ("pi_a", "pi_b", "pi_c"), "plonk": ("a", "b", "c", "z", "t1", "t2", "t3")}
+
 
 def concept_names() -> list[tuple[str, str]]:
     """(concept, name): each alias and the concept's own id."""
-    return [(c, n) for c, names in ALIASES.items() for n in (*names.split("; "), c)]
+    return [(c, n) for c, names in ALIASES.items() for n in (*names, c)]
 
 
 def common_drivers() -> list[tuple[str, str]]:
     """(head, tail) concepts that a macro driver of the matrix both reaches."""
-    macro = {h for h, _, _, _, label in MATRIX if any(t in label for t in DRIVER_LABELS)}
+    macro = {h for h, _, _, _, label in MATRIX if any(t in label for t in DRIVER_LABELS)} | set(BROAD_CONCEPTS)
     reach = [(h, t) for h, t, *_ in MATRIX if h in macro]
     return sorted({(a, b) for d, a in reach for e, b in reach if d == e})
 
