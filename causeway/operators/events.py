@@ -51,7 +51,7 @@ def tail(events: DataFrame, key: str, order: str, n: int) -> DataFrame:
 
 
 def ewma(events: DataFrame, key: str, order: str, value: str, alpha: float = 0.2) -> DataFrame:
-    """Exponential average of each key from 0, in order; a weighted sum, so partial sums combine."""
+    """Exponential average of each key from 0, in order: a sum weighted by the number of values that follow."""
     back = Window.partitionBy(key).orderBy(F.desc(order))
     rows = events.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumn("__k", F.row_number().over(back) - 1)
     return rows.groupBy(key).agg(F.sum(F.col(value) * alpha * F.pow(F.lit(1 - alpha), F.col("__k").cast("double"))).alias("ewma"))

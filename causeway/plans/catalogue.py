@@ -9,6 +9,7 @@ from causeway.operators import events as E
 from causeway.operators import facts as X
 from causeway.operators import graph as G
 from causeway.sources import dims, views
+from causeway.sources.scratch import written
 
 AS_OF = "2000-06-15 00:00:00"
 _at = lambda: F.lit(AS_OF).cast("timestamp_ntz")
@@ -215,7 +216,7 @@ def regime_shift(s, d):
 
 def whatif_impacts(s, d):
     """Impacts of a shock of 1 on inflation over the consensus of all edges, three levels deep."""
-    links = G.consensus(views.edges(s, d), _at()).cache()  # one row per (head, relation, tail)
+    links = written(G.consensus(views.edges(s, d), _at()), "links")  # one row per (head, relation, tail), read at each level
     return G.what_if(links, "inflation", 1.0, 3).select("node", _r(F.col("impact")).alias("impact"), "depth")
 
 

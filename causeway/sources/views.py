@@ -45,3 +45,41 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, FACTS)
+
+
+#: Facts with messy dates, synonyms and gaps.
+DATED = """
+select o.o_orderkey as seq, concat('case_', cast(o.o_orderkey % 16 as string)) as case_id,
+  case when o.o_orderkey % 11 = 0 then '' else c.c_name end as entity, case o.o_orderkey % 3 when 0 then 'Subject' else null end as subject,
+  case o.o_orderkey % 13 when 0 then '' when 1 then 'is reported by' when 2 then 'drives' else 'revenue growth' end as metric,
+  case o.o_orderkey % 7 when 4 then '' when 5 then null when 6 then ' 12 Corp ' else cast(o.o_orderkey as string) end as value,
+  case o.o_orderkey % 5 when 0 then '' when 1 then null else 'Revenue rose' end as statement,
+  case o.o_orderkey % 10 when 1 then '2024-03-05' when 2 then '2024/3/5' when 3 then '2024-03' when 4 then '20240305' when 5 then 'soon' when 6 then '2024-03-05T10:30:00Z' when 7 then '2024-W10' when 8 then '2024-13-01' else null end as as_of,
+  case o.o_orderkey % 3 when 0 then '2020-01-01' else null end as start_date,
+  case o.o_orderkey % 4 when 0 then '2020-12-31' when 1 then 'open' else null end as valid_to,
+  case o.o_orderkey % 9 when 0 then '2024' when 1 then '2024-Q2' when 2 then '2024Q4' when 3 then 'Q2 2024' when 4 then '2024-06' when 5 then '2024-06-15' when 6 then 'FY2024' when 7 then '2Q24' else '' end as period,
+  case o.o_orderkey % 4 when 0 then 'High' when 1 then 'medium' when 2 then 'low' else null end as confidence,
+  cast(o.o_orderkey % 5 as int) as n_issues, case o.o_orderkey % 2 when 0 then 'reflected' else '' end as validation_status, o.o_orderkey % 3 = 1 as anchored
+from orders o join customer c on o.o_custkey = c.c_custkey
+"""
+
+#: Feed payloads: few keys each, some under other names, some that aren't numbers.
+FEED = """
+select event_id as seq, user_id,
+  case event_id % 6 when 0 then 'fed_funds' when 1 then 'dot_plot_delta' when 2 then 'qt_runoff' when 3 then 'rrp' when 4 then 'ois_change' else 'other' end as k1,
+  case when event_id % 17 = 0 then 'n/a' else cast(event_id % 50 as string) end as v1,
+  case event_id % 4 when 0 then 'policy_rate' when 1 then 'liquidity_index' when 2 then 'ffr_change' else 'none' end as k2,
+  cast((event_id % 9) / 10.0 as string) as v2, event_id % 7000 as age_seconds
+from events
+"""
+
+
+def dated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, DATED)
+
+
+def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    rows = spark.sql(FEED.replace("from events", f"from parquet.`{sf_dir}/events.parquet`"))
+    return rows.withColumn("payload", F.map_from_arrays(F.array("k1", "k2"), F.array("v1", "v2")))

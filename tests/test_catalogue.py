@@ -10,7 +10,7 @@ from causeway.functions import scores as S
 from causeway.operators import events as E
 from causeway.operators import facts as X
 from causeway.operators import graph as G
-from causeway.plans import catalogue
+from causeway.plans import catalogue, extended  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 
@@ -18,7 +18,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.fixture(scope="module")
 def duck():
     con = duckdb.connect()
-    for t in ("nation", "customer", "orders", "lineitem", "events"):
+    for t in ("nation", "customer", "orders", "lineitem", "events", "documents", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     return con
 
