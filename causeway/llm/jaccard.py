@@ -31,7 +31,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causeway.llm.caches import trim, use
@@ -236,9 +236,10 @@ def may_be_in(ids: DataFrame, key: str = "doc_id") -> Callable[[Column], Column]
 def forest(places: DataFrame, docs: DataFrame) -> DataFrame:
     """Of the tiles (token, part, doc_id): doc_id, and a document of its tile that it links with, if any.
 
-    The links of a tile form a spanning forest of those within it.
+    The links of a tile form a spanning forest of those within it.  The join's plan is the same at
+    every size: no side is broadcast where it happens to be small.
     """
-    rows = docs.where(may_be_in(places)(F.col("doc_id"))).join(places, "doc_id").select("token", "part", "doc_id", "text")
+    rows = docs.where(may_be_in(places)(F.col("doc_id"))).join(places.hint("merge"), "doc_id").select("token", "part", "doc_id", "text")
 
     def links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, ids, sets = None, [], []
@@ -454,10 +455,9 @@ def keep_one(docs: DataFrame) -> DataFrame:
     groups = written(similar_groups(docs), "groups")
     gone = groups.where("doc_id != component_id").select(F.col("doc_id").alias(name)).distinct()
     repeated = groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias(name)).count().where("count > 1").select(name)
-    same = F.col("doc_id").cast("long") == F.col(name)
-    # Only rows that may be concerned are shuffled.
-    test = may_be_in(gone.unionByName(repeated), name)(F.coalesce(F.col("doc_id").cast("long"), F.lit(0)))
-    sure, maybe = docs.where(~test), docs.where(test)
-    kept = maybe.join(gone, same, "left_anti")
-    once = kept.where("doc_id is not null").join(repeated, same, "left_semi").dropDuplicates(["doc_id"])
-    return sure.unionByName(kept.join(repeated, same, "left_anti")).unionByName(once)
+    # Only rows that may be concerned are shuffled, once.
+    doc_id = F.col("doc_id").cast("long")
+    test = F.col("doc_id").isNotNull() & may_be_in(gone.unionByName(repeated), name)(doc_id)
+    maybe = docs.where(test).join(gone.hint("merge"), doc_id == F.col(name), "left").where(F.col(name).isNull())
+    first = F.row_number().over(Window.partitionBy(doc_id).orderBy("text"))
+    return docs.where(~test).unionByName(maybe.withColumn(name, first).where(F.col(name) == 1).drop(name))
