@@ -8,6 +8,7 @@ Documents with equal shingle sets are one class; the join works on one document
    first, so neither passages that many documents share nor common words in a row make
    many candidates.  Postings of these shingles are shuffled by shingle; those without
    another class of fitting size end there, and so do sets that have fewer than l left.
+   Postings of buckets far over the mean are dealt to several tasks and all stay candidates.
 2. Tiles.  Documents that postings connect, directly or through others, form a cluster; a
    cluster is a tile.  A crowded one has a tile for each band of set sizes, where the sets of
    the band above are guests; a tile still crowded is cut into parts and becomes a tile for
@@ -45,6 +46,8 @@ NUM, DEN = 80, 100
 CHUNK_BYTES = 1 << 20
 #: Hash buckets of the shingle counts; a bucket is crowded from CROWDED standard deviations over the mean on.
 BUCKET_BITS, CROWDED, BLOCKS = 19, 8, 128
+#: Rows of a bucket over the mean, if they are more than the mean itself, that one task takes; more are dealt to several.
+HOT = 1 << 16
 #: Sets of a tile's cell, and shingles of them where their texts are together.
 CELL, CELL_SHINGLES = 8192, 4_000_000
 #: Bits of the filter that finds the rows of some ids before a join: 8 MB, at most 16 MB of rows to the driver.
@@ -98,11 +101,12 @@ def _texts(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, np.ndarray]]:
             yield at + i, s
 
 
-def crowded_buckets(docs: DataFrame) -> np.ndarray:
-    """Which hash buckets hold far more shingles than the mean, counted over all texts.
+def crowded_buckets(docs: DataFrame) -> tuple[bytes, dict[int, int]]:
+    """Which hash buckets hold far more shingles than the mean, counted over all texts, as bits,
+    and the tasks that the postings of the hot ones among these are dealt to.
 
-    Every task counts repeated sets once and emits its counts in BLOCKS rows; what reaches
-    the driver has a fixed size.
+    Every task counts repeated sets once and emits its counts in BLOCKS rows; they are added
+    up as they arrive, and what reaches the driver has a fixed size.
     """
     per = (1 << BUCKET_BITS) // BLOCKS
 
@@ -118,84 +122,122 @@ def crowded_buckets(docs: DataFrame) -> np.ndarray:
         seen.clear()
         trim()
 
-    def add(group: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), "<u4").astype(np.int64) for x in group["counts"])
-        return pa.table({"block": group["block"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, counts in zip(batch["block"].to_pylist(), batch["counts"], strict=True):
+                sums[block] = sums.get(block, 0) + np.frombuffer(counts.as_py(), "<u4").astype("<i8")
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], ["block", "counts"])
 
-    rows = docs.select("text").mapInArrow(count, "block int, counts binary").groupBy("block").applyInArrow(add, "block int, counts binary").collect()
+    schema = "block int, counts binary"
+    rows = docs.select("text").mapInArrow(count, schema).repartition("block").mapInArrow(add, schema).collect()
     total = np.zeros((BLOCKS, per), dtype=np.int64)
     for r in rows:
         total[r.block] = np.frombuffer(r.counts, "<i8")
     total = total.ravel()
     mean = total.mean()
-    return np.packbits(total > mean + CROWDED * (1 + np.sqrt(mean)))
+    late = total > mean + CROWDED * (1 + np.sqrt(mean))
+    share = max(HOT, mean)
+    hot = np.flatnonzero(late & (total - mean > share))
+    return np.packbits(late).tobytes(), dict(zip(hot.tolist(), np.ceil((total[hot] - mean) / share).astype(int).tolist(), strict=True))
+
 
+def prefix_sets(docs: DataFrame, crowded: bytes, hot: dict[int, int]) -> DataFrame:
+    """doc_id, n, two fingerprints, and the prefix of the set; null where its task had the set before.
 
-def prefix_sets(docs: DataFrame, crowded: np.ndarray) -> DataFrame:
-    """doc_id, n, two fingerprints, and the prefix of the set; null where its task had the set before."""
+    ``parts`` is null for a prefix without hot shingles, else 0 for each shingle that isn't
+    hot and the number of a part, from 1, for each one that is.
+    """
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late, seen = np.unpackbits(crowded).astype(bool), set()
+        late, seen = np.unpackbits(np.frombuffer(crowded, np.uint8)).astype(bool), set()
+        dealt = np.zeros(1 << BUCKET_BITS, dtype=np.int64)
+        dealt[list(hot)] = list(hot.values())
         for batch in batches:
-            n, a, b, tokens = [], [], [], []
-            for _, s in _texts(batch, 1):
+            names, n, a, b, tokens, parts = batch.column(0).to_pylist(), [], [], [], [], []
+            for k, s in _texts(batch, 1):
                 f = _fingerprint(s)
                 n.append(len(s))
                 a.append(f[0])
                 b.append(f[1])
                 if not len(s) or f in seen:
                     tokens.append(None)
+                    parts.append(None)
                     continue
                 seen.add(f)
                 last = late[_bucket(s)]
-                tokens.append(np.concatenate([s[~last], s[last]])[: prefix_length(len(s))].view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))], ["doc_id", "n", "fa", "fb", "tokens"])
+                prefix = np.concatenate([s[~last], s[last]])[: prefix_length(len(s))]
+                tokens.append(prefix.view(np.int64))
+                of = dealt[_bucket(prefix)]
+                mine = ((names[k] or 0) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 33
+                parts.append(np.where(of > 0, mine % np.maximum(of, 1) + 1, 0).astype(np.int32) if of.any() else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(tokens, pa.list_(pa.int64())), pa.array(parts, pa.list_(pa.int32()))], ["doc_id", "n", "fa", "fb", "tokens", "parts"])
         seen.clear()
         trim()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, "doc_id long, n long, fa long, fb long, tokens array<long>")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(sets, "doc_id long, n long, fa long, fb long, tokens array<long>, parts array<int>")
+
+
+def _partners(token: np.ndarray, doc: np.ndarray, label: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
+    """The rows that ``shared`` keeps, and the size of their group."""
+    order = np.lexsort((doc, n, token))
+    token, doc, label, n = token[order], doc[order], label[order], n[order]
+    near = (token[1:] == token[:-1]) & (DEN * n[:-1] >= NUM * n[1:])
+    other = np.zeros(len(token), dtype=bool)
+    other[1:] |= near
+    other[:-1] |= near
+    token, doc, label, n = token[other], doc[other], label[other], n[other]
+    if not len(token):
+        return [token, doc, label, n, np.zeros(0, np.int64)]
+    group = np.cumsum(np.concatenate(([True], token[1:] != token[:-1]))) - 1
+    several = np.zeros(group[-1] + 1, dtype=bool)
+    several[group[1:][(token[1:] == token[:-1]) & (label[1:] != label[:-1])]] = True
+    ok = several[group]
+    return [token[ok], doc[ok], label[ok], n[ok], np.bincount(group)[group[ok]]]
 
 
 def shared(postings: DataFrame) -> DataFrame:
-    """Of (token, doc_id, label, n) the rows of tokens with two labels whose n is near that of another row,
-    and the size of their group.
+    """Of (token, part, doc_id, label, n) the rows of tokens with two labels whose n is near that of another
+    row, and the size of their group.
 
     Near: the ratio lets the two sets link.  A row whose neighbours in the order of n are too
-    far has no partner in its token.
+    far has no partner in its token.  Hot tokens are in parts and keep all rows, which the
+    exact check allows; so a task holds the rows of one token at a time, and a bounded number of them.
     """
+    names = ["token", "part", "doc_id", "label", "n"]
+
+    def out(rows: list[np.ndarray], part: int | np.ndarray = 0) -> Iterator[pa.RecordBatch]:
+        token, doc, label, n, size = rows
+        if len(token):
+            part = np.broadcast_to(np.asarray(part, dtype=np.int32), len(token))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (token, part, doc, label, n, size)], [*names, "size"])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = list(batches)
-        if not parts:
-            return
-        t = pa.Table.from_batches(parts)
-        rows = [t[c].to_numpy() for c in ("token", "doc_id", "label", "n")]
-
-        def select(token: np.ndarray, doc: np.ndarray, label: np.ndarray, n: np.ndarray) -> list[np.ndarray]:
-            size = np.zeros(0, np.int64)
-            order = np.lexsort((doc, n, token))
-            token, doc, label, n = token[order], doc[order], label[order], n[order]
-            near = (token[1:] == token[:-1]) & (DEN * n[:-1] >= NUM * n[1:])
-            other = np.zeros(len(token), dtype=bool)
-            other[1:] |= near
-            other[:-1] |= near
-            token, doc, label, n = token[other], doc[other], label[other], n[other]
+        held: list[list[np.ndarray]] = []
+        for batch in batches:
+            token, part, doc, label, n = (batch[c].to_numpy() for c in names)
+            hot = part > 0
+            if hot.any():
+                yield from out([token[hot], doc[hot], label[hot], n[hot], np.full(hot.sum(), HOT)], part[hot])
+                token, doc, label, n = token[~hot], doc[~hot], label[~hot], n[~hot]
             if not len(token):
-                return [token, doc, label, n, size]
-            group = np.cumsum(np.concatenate(([True], token[1:] != token[:-1]))) - 1
-            several = np.zeros(group[-1] + 1, dtype=bool)
-            several[group[1:][(token[1:] == token[:-1]) & (label[1:] != label[:-1])]] = True
-            ok = several[group]
-            return [token[ok], doc[ok], label[ok], n[ok], np.bincount(group)[group[ok]]]
-
-        token, doc, label, n, size = select(*rows)
-        for a in range(0, len(token), 1 << 16):
-            b = a + (1 << 16)
-            yield pa.RecordBatch.from_pydict({"token": token[a:b], "doc_id": doc[a:b], "label": label[a:b], "n": n[a:b], "size": size[a:b]})
-        del t, parts, rows, token, doc, label, n, size
+                continue
+            # Sorted by token: the last token's rows wait for the next batch.
+            cut = int(np.searchsorted(token, token[-1]))
+            if held and (cut or held[-1][0][-1] != token[-1]):
+                held.append([x[:cut] for x in (token, doc, label, n)])
+                yield from out(_partners(*(np.concatenate(x) for x in zip(*held, strict=True))))
+                held = []
+            elif cut:
+                yield from out(_partners(*(x[:cut] for x in (token, doc, label, n))))
+            held.append([x[cut:] for x in (token, doc, label, n)])
+        if held:
+            yield from out(_partners(*(np.concatenate(x) for x in zip(*held, strict=True))))
+        held = []
         trim()
 
-    return postings.select("token", "doc_id", "label", "n").repartition("token").mapInArrow(keep, "token long, doc_id long, label long, n long, size long")
+    rows = postings.select(*names).repartition("token", "part").sortWithinPartitions("token")
+    return rows.mapInArrow(keep, "token long, part int, doc_id long, label long, n long, size long")
 
 
 def _popcount_gap(x: np.ndarray, rows: np.ndarray) -> np.ndarray:
@@ -388,7 +430,9 @@ def _by_token(postings: DataFrame, docs: DataFrame) -> DataFrame:
     places = chosen.join(cells, "token").select("doc_id", "token", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int").alias("part"))
     first = written(forest(places, docs), "forest")
     names = components(first).select(F.col("id").alias("doc_id"), F.col("component").alias("__c"))
-    rest = written(shared(postings.join(names, "doc_id", "left").select("token", "doc_id", F.coalesce("__c", "doc_id").alias("label"), "n")), "rest")
+    labelled = postings.join(names, "doc_id", "left").select("token", "part", "doc_id", F.coalesce("__c", "doc_id").alias("label"), "n")
+    several = labelled.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least != most").select("token")
+    rest = written(shared(labelled.join(several, "token", "left_semi")), "rest")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -408,9 +452,9 @@ def similar_groups(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     whatever their names, aren't read.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    prefixes = written(prefix_sets(docs, crowded_buckets(docs)), "prefixes")
-    postings = prefixes.where("tokens is not null and doc_id is not null").select(F.explode("tokens").alias("token"), "doc_id", F.col("fa").alias("label"), "n")
-    postings = written(shared(postings), "postings")
+    prefixes = written(prefix_sets(docs, *crowded_buckets(docs)), "prefixes")
+    postings = prefixes.where("tokens is not null and doc_id is not null").select(F.posexplode("tokens").alias("at", "token"), F.col("parts"), "doc_id", F.col("fa").alias("label"), "n")
+    postings = written(shared(postings.withColumn("part", F.when(F.col("parts").isNull(), 0).otherwise(F.get("parts", "at")))), "postings")
     for _ in range(PEELS):
         before, postings = postings, written(peeled(postings), "postings")
         discard(before)

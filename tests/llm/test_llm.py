@@ -301,6 +301,28 @@ def test_jaccard(spark, monkeypatch, limits):
     assert kept == sorted({c for _, c in brute(texts).values()})
 
 
+@pytest.mark.parametrize("limits", [{}, {"CELL": 8, "CELL_SHINGLES": 900, "MAX_PARTS": 1}])
+def test_jaccard_of_a_hot_group(spark, monkeypatch, limits):
+    """A third of all documents are near copies: their postings are dealt to several tasks."""
+    for k, v in ({"HOT": 4} | limits).items():
+        monkeypatch.setattr(jaccard, k, v)
+    r = random.Random(9)
+    word = lambda: f"w{r.randrange(5000)}"
+    base, texts = [word() for _ in range(120)], []
+    for i in range(120):
+        w = list(base) if i % 3 == 0 else [word() for _ in range(r.choice((3, 30, 110)))]
+        for _ in range(r.randint(1, 6)):
+            w[r.randrange(len(w))] = word()
+        texts.append((i, " ".join(w)))
+    df = spark.createDataFrame([*texts, *((1000 + i, t) for i, t in texts[:9])], "doc_id long, text string").repartition(7)
+    _, hot = jaccard.crowded_buckets(df)
+    assert len(hot) > 50 and max(hot.values()) > 5
+    parts = jaccard.shared(jaccard.prefix_sets(df, bytes(1 << jaccard.BUCKET_BITS - 3), hot).selectExpr("posexplode(tokens) as (at, token)", "parts", "doc_id", "fa as label", "n").selectExpr("token", "coalesce(get(parts, at), 0) as part", "doc_id", "label", "n"))
+    assert parts.where("part > 1").count() > 0
+    got = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard.similar_groups(df).collect()}
+    assert got == brute([*texts, *((1000 + i, t) for i, t in texts[:9])])
+
+
 def test_jaccard_of_nothing(spark):
     assert jaccard.similar_groups(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
