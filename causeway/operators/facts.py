@@ -5,12 +5,13 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from causeway.functions import scores as S
 from causeway.operators import graph as G
 from causeway.sources import dims
+from causeway.sources.scratch import written
 
 
 def critique(facts: DataFrame, unsure: str = "") -> DataFrame:
@@ -54,14 +55,75 @@ def error_type_counts(facts: DataFrame, unsure: str = "") -> DataFrame:
     return critique(facts, unsure).select(F.explode(F.split("error_types", ",")).alias("error_type")).where("error_type != ''").groupBy("error_type").agg(F.count("*").alias("n"))
 
 
-def dedupe_facts(facts: DataFrame) -> DataFrame:
-    """The first fact of each entity, metric, value, period and statement, of which all but the last have a second name.
+def signature(facts: DataFrame) -> dict[str, Column]:
+    """A fact's entity, metric, value, period and statement, of which all but the last have a second name.
 
     Absent columns and nulls count as empty.
     """
     names = {"entity": "head_node", "metric": "relation", "value": "tail_node", "period": "date", "statement": ""}
     has = lambda n: F.nullif(F.col(n).cast("string"), F.lit("")) if n in facts.columns else F.lit(None)
-    return G.first_by(facts, {n: F.coalesce(has(n), has(other), F.lit("")) for n, other in names.items()}, trim=False)
+    return {n: F.coalesce(has(n), has(other), F.lit("")) for n, other in names.items()}
+
+
+def dedupe_facts(facts: DataFrame) -> DataFrame:
+    """The first fact of each signature."""
+    return G.first_by(facts, signature(facts), trim=False)
+
+
+def _mended(f: DataFrame) -> Column:
+    """The value of a critiqued fact, as text, with the sign that its relation's words ask for."""
+    size = F.abs("number")
+    signed = F.when(S.has_any(F.lower("metric"), dims.DOWN_TERMS), -size).otherwise(size)
+    whole = ~F.contains(F.col("value"), F.lit("."))
+    return F.when(F.col("inverted"), F.when(whole, signed.cast("decimal(38,0)").cast("string")).otherwise(signed.cast("string"))).otherwise(F.col("value"))
+
+
+def reflect_once(facts: DataFrame) -> DataFrame:
+    """All facts critiqued and repaired: sign and confidence mended, issues and error types noted, not yet distinct.
+
+    A note of an earlier round stays where a later one finds nothing.
+    """
+    f = critique(facts)
+    old = lambda n: F.col(n) if n in facts.columns else F.lit(None).cast("string")
+    note = lambda n: F.coalesce(F.nullif(F.col(n), F.lit("")), old("reflection_" + n))
+    down = S.has_any(F.lower("metric"), dims.DOWN_TERMS)
+    return f.withColumns(
+        {
+            "value": _mended(f),
+            "direction": F.when(F.col("inverted"), F.when(down, "down").otherwise("up")).otherwise(old("direction")),
+            "confidence": F.coalesce(F.nullif(F.col("confidence"), F.lit("")), F.lit("medium")),
+            "validation_status": F.coalesce(F.nullif(old("validation_status"), F.lit("")), F.lit("reflected")),
+            "reflection_issues": note("issues"),
+            "reflection_error_types": note("error_types"),
+        }
+    )
+
+
+def _state(facts: DataFrame) -> tuple:
+    """Number of facts and sum of their signatures' hashes: equal for equal multisets of signatures."""
+    hashed = F.xxhash64(*signature(facts).values()).cast("decimal(38,0)")
+    return tuple(facts.agg(F.count("*"), F.sum(hashed)).first())
+
+
+def reflect(facts: DataFrame, max_rounds: int = 2) -> tuple[DataFrame, DataFrame]:
+    """Facts critiqued, repaired and made distinct until a round leaves their signatures as they are, or ``max_rounds``.
+
+    Gives the facts and a row per round: its input, its facts with issues, their error types and what it leaves.
+    Each round is a written table, so the next one neither repeats it nor depends on its executors.
+    """
+    spark, rounds = facts.sparkSession, []
+    work, before = facts, _state(facts)
+    for k in range(1, max_rounds + 1):
+        seen = written(reflect_once(work), "reflected")
+        names = ("numeric_typo", "omission", "relation_inversion")
+        row = seen.agg(F.count("*"), F.count_if(F.col("issues") != ""), *[F.count_if(F.array_contains(F.split("error_types", ","), n)) for n in names]).first()
+        work = written(dedupe_facts(seen.drop("number", "inverted", "issues", "error_types")), "facts")
+        now = _state(work)
+        rounds.append((k, *row, now[0]))
+        if now == before:
+            break
+        before = now
+    return work, spark.createDataFrame(rounds, "round int, input_count long, issues_found long, numeric_typo long, omission long, relation_inversion long, output_count long")
 
 
 def heal_ownership(facts: DataFrame) -> DataFrame:

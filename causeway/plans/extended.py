@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from causeway.functions import scores as S
 from causeway.operators import audit as A
 from causeway.operators import edges as D
+from causeway.operators import facts as X
 from causeway.operators import feeds as M
 from causeway.operators import graph as G
 from causeway.plans import catalogue
@@ -281,6 +282,33 @@ def symbolic_report(s, d):
     return catalogue.symbolic_validation(s, d).groupBy("rule").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("n_docs"))
 
 
+def _round(k: int, source: str) -> str:
+    """One round of reflection in DuckDB's SQL: m{k} critiqued, w{k} what it leaves."""
+    size = f"case when {_any('lower(metric)', dims.DOWN_TERMS)} then -abs(number) else abs(number) end"
+    return f"""m{k} as (select *, coalesce(({_any("lower(metric)", dims.DOWN_TERMS)} and number > 0) or ({_any("lower(metric)", dims.UP_TERMS)} and number < 0), false) as inverted,
+  coalesce(number is null and regexp_matches(value, '[0-9]'), false) as bad, (coalesce(entity, '') = '' or coalesce(metric, '') = '' or coalesce(value, '') = '') as missing,
+  coalesce(confidence, '') = '' as unsure from (select *, {catalogue._NUMBER} as number from {source})),
+w{k} as (select min(seq) as seq, entity, metric, value, period, arg_min(confidence, seq) as confidence from (select seq, entity, metric, period, coalesce(nullif(confidence, ''), 'medium') as confidence,
+  case when not inverted then value when contains(value, '.') then cast({size} as varchar) else cast(cast({size} as bigint) as varchar) end as value from m{k}) group by entity, metric, value, period)"""
+
+
+_ROUND = """select {0} as round, (select count(*) from m{0}) as input_count, (select count(*) from m{0} where bad or unsure or missing) as issues_found, (select count(*) from m{0} where bad) as numeric_typo,
+  (select count(*) from m{0} where missing) as omission, (select count(*) from m{0} where inverted) as relation_inversion, (select count(*) from w{0}) as output_count"""
+_SAME = "(select count(*) from facts) = (select count(*) from w1) and not exists (select entity, metric, value, period from facts except select entity, metric, value, period from w1)"
+
+
+@query(f", {_round(1, 'facts')}, {_round(2, 'w1')} {_ROUND.format(1)} union all select * from ({_ROUND.format(2)}) where not ({_SAME})")
+def reflection_rounds(s, d):
+    """What each round of the reflection over all facts takes, finds and leaves."""
+    return X.reflect(views.facts(s, d))[1]
+
+
+@query(f", {_round(1, 'facts')}, {_round(2, 'w1')} select * from w2")
+def reflected_facts(s, d):
+    """The facts that the reflection leaves."""
+    return X.reflect(views.facts(s, d))[0].select("seq", "entity", "metric", "value", "period", "confidence")
+
+
 @query("select c_custkey, count(o_orderkey) as n_documents, max(o_orderkey) as last_document, case when count(o_orderkey) = 0 then 'created' when count(*) filter (where o_orderstatus = 'F') > 0 then 'decided' else 'distilled' end as status from customer left join orders on o_custkey = c_custkey group by 1")
 def case_documents(s, d):
     """Every case with its documents' count and latest, and the status that they give it."""

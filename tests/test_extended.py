@@ -11,6 +11,7 @@ from causeway.functions import scores as S
 from causeway.operators import audit as A
 from causeway.operators import edges as D
 from causeway.operators import events as E
+from causeway.operators import facts as X
 from causeway.operators import graph as G
 from causeway.sources import dims
 from causeway.streaming import state
@@ -142,3 +143,30 @@ def test_streams_end_where_batches_do(spark, tmp_path):
     assert {u: (n, h) for u, n, h in last(lambda s: state.chain(s, "u", "i", "p", "c"), "chains")} == heads
     assert dict(last(lambda s: state.latest(s, "u", "i", "v"), "latests")) == {u: v for u, i, v, *_ in rows if i == 39}
     assert {r[-1] for r in last(lambda s: state.sticky_regime(s, "u", "i", "v"), "regimes")} == {2}
+
+
+def test_reflection_until_stable(spark):
+    rows = [
+        (1, "ACME", "revenue", "1,000", "2024", None, None),
+        (2, "ACME", "revenue decrease", "12", "2024-Q2", None, None),
+        (3, "ACME", "revenue", "1,000", "2024", None, None),
+        (4, None, None, None, None, "Operating margin improved", None),
+    ]
+    df = spark.createDataFrame(rows, "seq long, entity string, metric string, value string, period string, statement string, confidence string")
+    facts, rounds = X.reflect(df)
+    found = {r.seq: r for r in facts.collect()}
+    assert set(found) == {1, 2, 4}
+    assert (found[2].value, found[2].direction, found[2].reflection_error_types) == ("-12", "down", "relation_inversion")
+    assert (found[1].value, found[1].confidence, found[1].validation_status) == ("1,000", "medium", "reflected")
+    assert found[4].reflection_issues == "missing_required_component" and found[4].reflection_error_types == "omission"
+    got = [tuple(r) for r in rounds.orderBy("round").collect()]
+    assert got == [(1, 4, 4, 0, 1, 1, 3), (2, 3, 1, 0, 1, 0, 3)]
+
+
+def test_reflection_merges_what_repair_makes_equal_and_stops(spark):
+    schema = "seq long, entity string, metric string, value string, period string, confidence string"
+    df = spark.createDataFrame([(1, "A", "sales drop", "7.50", "2024", "high"), (2, "A", "sales drop", "-7.5", "2024", "low"), (3, "A", "sales drop", "-7", "2024", "low"), (4, "A", "sales drop", "7", "2024", "")], schema)
+    facts, rounds = X.reflect(df, max_rounds=5)
+    assert sorted((r.seq, r.value, r.confidence) for r in facts.collect()) == [(1, "-7.5", "high"), (3, "-7", "low")]
+    assert [(r.round, r.input_count, r.output_count) for r in rounds.collect()] == [(1, 4, 2), (2, 2, 2)]
+    assert X.reflect(df.where("seq > 9"))[1].count() == 1
