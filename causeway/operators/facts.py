@@ -153,3 +153,22 @@ def identity_mismatches(facts: DataFrame) -> DataFrame:
         rows = wide.where((t != 0) & (F.abs(want - t) / F.abs(t) > 0.01)).select("doc_id", F.lit(k).alias("rule"), t.alias("stated"), want.alias("computed"))
         out = rows if out is None else out.unionByName(rows)
     return out
+
+
+def document_bytes(file_bytes: Column, content_base64: Column, content: Column) -> Column:
+    """The first of the given bytes, the decoded base64 text and the content; empty texts count as absent."""
+    return F.coalesce(file_bytes, F.unbase64(F.nullif(content_base64, F.lit(""))), F.encode(F.nullif(content, F.lit("")), "UTF-8"))
+
+
+def offline_text(content: Column) -> Column:
+    """What stands for a document's reasoning where no service is asked; a null content is empty."""
+    return F.concat(F.lit("[Offline Distill]\n"), F.coalesce(content, F.lit("")))
+
+
+def coerced(raw: Column, kind: Column) -> dict[str, Column]:
+    """A fact from a text or from anything else, as its text; ``kind`` is text, fact or other."""
+    return {
+        "statement": F.when(kind == "text", F.trim(raw)),
+        "raw_fact": raw,
+        "validation_status": F.when(kind == "text", "coerced_from_str").when(kind == "fact", "").otherwise("coerced_from_unknown"),
+    }

@@ -263,7 +263,7 @@ def recommendations(impacts: DataFrame, seed: str) -> DataFrame:
 
 
 def effect_label(depth: Column) -> Column:
-    return F.when(depth == 0, "Seed Shock").when(depth == 1, "First-Order").otherwise("Second-Order")
+    return F.when(depth == 0, "Seed Shock").when(depth == 1, "First-Order Effect").otherwise("Second-Order Effect")
 
 
 def market_links(spark: SparkSession) -> DataFrame:

@@ -11,6 +11,7 @@ from causeway.operators import edges as D
 from causeway.operators import facts as X
 from causeway.operators import feeds as M
 from causeway.operators import graph as G
+from causeway.operators import scenario as C
 from causeway.plans import catalogue
 from causeway.plans.catalogue import QUERIES, _any, _at, _events, _r, query
 from causeway.sources import dims, views
@@ -334,5 +335,62 @@ def jsonl_join(s, d):
     return t.select("conv_id", F.array_join("t.text", "\n").alias("lines"), F.array_min(F.transform("t.text", F.length)).alias("shortest"))
 
 
-for _f in (acyclic_dag, graph_stability, root_cause_path, action_triggers, investment_recommendations, global_shock):
+_ARRIVED = """, r as (select event_id, user_id, case event_id % 5 when 0 then 'geopolitical_risk' when 1 then 'oil_price' when 2 then 'inflation' else 'liquidity' end as node, cast(event_id * 7 % 41 - 20 as double) / 256 as impact from events)"""
+
+
+@query(f"""{_ARRIVED}, a as (select *, sum(impact) over (partition by user_id, node order by event_id) as running from r),
+b as (select *, abs(running) as v, coalesce(abs(lag(running) over (partition by user_id, node order by event_id)), 0) as u from a),
+c as (select *, max(v) over k as m, sum(v - u) over k as s, sum((v >= 0.1)::int - (u >= 0.1)::int) over k as h, last_value(case when node = 'geopolitical_risk' then v end ignore nulls) over k as g from b window k as (partition by user_id order by event_id rows unbounded preceding)),
+e as (select *, case when m >= 0.6 or s >= 1.5 or h >= 6 then 2 when m >= 0.3 or h >= 4 or g >= 0.25 then 1 else 0 end as now from c),
+f as (select *, max(now) over (partition by user_id order by event_id) as severity from e)
+select event_id, user_id, running, cast(h as bigint) as hits, s as total, case severity when 2 then 'Crisis' when 1 then 'High Volatility' else 'none' end as regime from f""")
+def running_regime(s, d):
+    """Each key's regime after each of its events, which never falls."""
+    rows = _events(s, d).select("event_id", "user_id", F.expr("case event_id % 5 when 0 then 'geopolitical_risk' when 1 then 'oil_price' when 2 then 'inflation' else 'liquidity' end").alias("node"), F.expr("cast(event_id * 7 % 41 - 20 as double) / 256").alias("impact"))
+    state = C.running_regime(rows, "user_id", "event_id", "node", "impact")
+    return state.select("event_id", "user_id", "running", F.col("hits").cast("long").alias("hits"), "total", C.regime_name(F.col("severity")).alias("regime"))
+
+
+def _scenarios(s, d) -> DataFrame:
+    """Shocks of three sizes on every node that has links, over the consensus links in order of strength."""
+    links = _links(s, d).withColumn("seq", F.struct((-F.col("strength")).alias("s"), "head", "relation", "tail"))
+    shocks = links.select(F.col("head").alias("node")).distinct().withColumn("delta", F.explode(F.array(F.lit(0.05), F.lit(-0.4), F.lit(1.0))))
+    return C.arrivals(shocks.withColumn("scenario", F.concat_ws(":", "node", "delta")), links)
+
+
+def whatif_scenarios(s, d):
+    """Impacts of many shocks at once, each at the regime that it brings about."""
+    found = C.impacts(_scenarios(s, d))
+    return found.select("scenario", "node", _r(F.col("impact")).alias("impact"), "depth", "effect", "via", "rank")
+
+
+def whatif_actions(s, d):
+    """The actions that these shocks trigger."""
+    return C.actions(C.impacts(_scenarios(s, d))).select("scenario", "node", "action", "mitigation", _r(F.col("impact")).alias("impact"))
+
+
+def whatif_regimes(s, d):
+    """The regimes that these shocks end in."""
+    return C.regimes(_scenarios(s, d))
+
+
+_DOCUMENT = ", t as (select doc_id, case when doc_id % 7 = 0 then null else text end as content, case doc_id % 3 when 0 then encode('bytes ' || cast(doc_id as varchar)) end as file_bytes, case doc_id % 4 when 0 then base64(encode('coded ' || cast(doc_id as varchar))) when 1 then '' end as content_base64 from documents)"
+
+
+@query(f"{_DOCUMENT}, b as (select doc_id, case when file_bytes is not null then md5(file_bytes) when content_base64 != '' then md5(from_base64(content_base64)) when content != '' then md5(content) end as digest, content from t) select doc_id, digest, case when digest is null then 'no content' else '' end as error, md5('[Offline Distill]' || chr(10) || coalesce(content, '')) as offline from b")
+def document_bytes(s, d):
+    """A document's bytes: those given, or its base64 text's, or its content's; and what is kept of it without any service."""
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.col("text")).alias("content"), F.expr("case when doc_id % 3 = 0 then encode(concat('bytes ', doc_id), 'UTF-8') end").alias("file_bytes"), F.expr("case doc_id % 4 when 0 then base64(encode(concat('coded ', doc_id), 'UTF-8')) when 1 then '' end").alias("content_base64"))
+    raw = X.document_bytes(F.col("file_bytes"), F.col("content_base64"), F.col("content"))
+    return docs.select("doc_id", F.md5(raw).alias("digest"), F.when(raw.isNull(), "no content").otherwise("").alias("error"), F.md5(X.offline_text(F.col("content"))).alias("offline"))
+
+
+@query("select event_id, case when event_type is null then null when event_id % 3 = 0 then trim(event_type) end as statement, case when event_id % 3 = 1 then cast(event_id as varchar) else event_type end as raw_fact, case event_id % 3 when 0 then 'coerced_from_str' when 1 then 'coerced_from_unknown' else '' end as validation_status from events")
+def coerced_facts(s, d):
+    """Facts given as text or as anything else become facts with a note of that; facts proper stay."""
+    rows = _events(s, d).select("event_id", F.when(F.col("event_id") % 3 == 1, F.col("event_id").cast("string")).otherwise(F.col("event_type")).alias("raw_fact"), F.expr("case event_id % 3 when 0 then 'text' when 1 then 'other' else 'fact' end").alias("kind"))
+    return rows.select("event_id", *[c.alias(n) for n, c in X.coerced(F.col("raw_fact"), F.col("kind")).items()])
+
+
+for _f in (acyclic_dag, graph_stability, root_cause_path, action_triggers, investment_recommendations, global_shock, whatif_scenarios, whatif_actions, whatif_regimes):
     QUERIES[_f.__name__] = _f
