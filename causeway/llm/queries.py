@@ -10,6 +10,7 @@ from causeway.llm.html import op1_html_extraction
 from causeway.llm.idfiles import op2_token_files
 from causeway.llm.jaccard import op10_jaccard_join
 from causeway.llm.language import op4_language_id
+from causeway.llm.merkle import OP13_SQL, op13_merkle_manifest
 from causeway.llm.packing import op7_best_fit_packing
 from causeway.llm.quality import op3_quality
 
@@ -26,6 +27,7 @@ QUERIES = {
         op8_gif_media,
         op9_token_counts,
         op10_jaccard_join,
+        op13_merkle_manifest,
     )
 }
-SQL = {"op6_chat_format": OP6_SQL}
+SQL = {"op6_chat_format": OP6_SQL, "op13_merkle_manifest": OP13_SQL}
