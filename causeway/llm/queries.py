@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from causeway.llm.bitslices import OP12_SQL, op12_exact_search
 from causeway.llm.chat import OP6_SQL, op6_chat_format
 from causeway.llm.counts import op9_token_counts
 from causeway.llm.decontam import op5_decontamination
@@ -27,7 +28,8 @@ QUERIES = {
         op8_gif_media,
         op9_token_counts,
         op10_jaccard_join,
+        op12_exact_search,
         op13_merkle_manifest,
     )
 }
-SQL = {"op6_chat_format": OP6_SQL, "op13_merkle_manifest": OP13_SQL}
+SQL = {"op6_chat_format": OP6_SQL, "op12_exact_search": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
