@@ -6,6 +6,7 @@ from causeway.llm.bitslices import OP12_SQL, op12_exact_search
 from causeway.llm.chat import OP6_SQL, op6_chat_format
 from causeway.llm.counts import op9_token_counts
 from causeway.llm.decontam import op5_decontamination
+from causeway.llm.distances import OP11_SQL, op11_hard_negatives
 from causeway.llm.gif import op8_gif_media
 from causeway.llm.html import op1_html_extraction
 from causeway.llm.idfiles import op2_token_files
@@ -28,8 +29,9 @@ QUERIES = {
         op8_gif_media,
         op9_token_counts,
         op10_jaccard_join,
+        op11_hard_negatives,
         op12_exact_search,
         op13_merkle_manifest,
     )
 }
-SQL = {"op6_chat_format": OP6_SQL, "op12_exact_search": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
+SQL = {"op6_chat_format": OP6_SQL, "op11_hard_negatives": OP11_SQL, "op12_exact_search": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
