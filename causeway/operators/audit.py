@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from causeway.operators import scan
 from causeway.operators.events import GENESIS
 from causeway.sources import dims
 
 
 def verify_chain(chained: DataFrame, key: str, order: str, payload: str, created: str) -> DataFrame:
     """Whether each key's stored hashes are a chain: every row is checked by itself and against the row before."""
-    before = F.lag("event_hash", 1, GENESIS).over(Window.partitionBy(key).orderBy(order))
+    chained = scan.running(scan.segments(chained, [key], [F.col(order)]), [key], __before=("lag", F.col("event_hash")), __at=("count", F.lit(1)))
+    before = F.when(F.col("__at") == 1, GENESIS).otherwise(F.col("__before"))
     own = F.sha2(F.concat_ws("|", payload, created, "prev_hash").cast("binary"), 256)
     rows = chained.withColumn("__ok", F.coalesce((F.col("prev_hash") == before) & (F.col("event_hash") == own), F.lit(False)))
     return rows.groupBy(key).agg(F.bool_and("__ok").alias("intact"), F.count("*").alias("n_events"))

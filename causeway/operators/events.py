@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from causeway.operators import scan
+
 GENESIS = "0" * 64
 
 
@@ -51,10 +53,8 @@ def tail(events: DataFrame, key: str, order: str, n: int) -> DataFrame:
 
 
 def ewma(events: DataFrame, key: str, order: str, value: str, alpha: float = 0.2) -> DataFrame:
-    """Exponential average of each key from 0, in order: a sum weighted by the number of values that follow."""
-    back = Window.partitionBy(key).orderBy(F.desc(order))
-    rows = events.where(F.col(value).isNotNull() & ~F.isnan(value)).withColumn("__k", F.row_number().over(back) - 1)
-    return rows.groupBy(key).agg(F.sum(F.col(value) * alpha * F.pow(F.lit(1 - alpha), F.col("__k").cast("double"))).alias("ewma"))
+    """Exponential average of each key from 0, in order; a key of any number of events is spread over tasks."""
+    return scan.exponential(events.select(key, order, value), [key], [F.col(order)], F.col(value), alpha)
 
 
 def regime(rows: DataFrame, key: str, impact: Column, node: Column | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from causeway.functions import scores as S
-from causeway.operators import feeds, graph
+from causeway.operators import feeds, graph, scan
 from causeway.sources import dims
 from causeway.sources.scratch import written
 
@@ -19,19 +19,21 @@ def running_regime(rows: DataFrame, key: str, order: str, node: str, impact: str
     ``total`` impact, ``hits``, and ``severity`` (0, 1 for High Volatility, 2 for Crisis), which never falls.
 
     Columns of these names are replaced.  ``order`` is unique within ``key``; a null impact counts as 0.
-    The frames run from the first row on, so a task streams over a sorted scenario and may spill it.
+    A scenario of any number of rows is spread over tasks by segmented scans.
     """
-    of_node, of_key = (Window.partitionBy(*by).orderBy(order) for by in ((key, node), (key,)))
-    now, before = F.abs("running"), F.abs(F.coalesce(F.lag("running").over(of_node), F.lit(0.0)))
+    taken = ("running", "largest", "total", "hits", "severity")
+    rows = rows.drop(*[c for c in taken if c in rows.columns])
+    value = F.coalesce(F.col(impact), F.lit(0.0))
     hit = lambda c: (c >= 0.1).cast("int")
-    out = rows.withColumn("running", F.sum(F.coalesce(impact, F.lit(0.0))).over(of_node))
-    out = out.withColumn("hits", hit(now) - hit(before)).withColumn("total", now - before)
-    risk = F.last(F.when(F.col(node) == "geopolitical_risk", now), ignorenulls=True).over(of_key)
-    out = out.withColumns({"largest": F.max(now).over(of_key), "total": F.sum("total").over(of_key), "hits": F.sum("hits").over(of_key), "severity": F.coalesce(risk, F.lit(0.0))})
+    out = scan.running(scan.segments(rows, [key, node], [F.col(order)]), [key, node], running=("sum", value), __before=("before", value)).drop(scan.PART, scan.AT)
+    now, before = F.abs("running"), F.abs(F.coalesce("__before", F.lit(0.0)))
+    risk = F.when(F.col(node) == "geopolitical_risk", now)
+    values = {"largest": ("max", now), "total": ("sum", now - before), "hits": ("sum", hit(now) - hit(before)), "__risk": ("last", risk)}
+    out = scan.running(scan.segments(out, [key], [F.col(order)]), [key], **values)
     crisis = (F.col("largest") >= 0.6) | (F.col("total") >= 1.5) | (F.col("hits") >= 6)
-    tense = (F.col("largest") >= 0.3) | (F.col("hits") >= 4) | (F.col("severity") >= 0.25)
-    out = out.withColumn("severity", F.when(crisis, 2).when(tense, 1).otherwise(0))
-    return out.withColumn("severity", F.max("severity").over(of_key))
+    tense = (F.col("largest") >= 0.3) | (F.col("hits") >= 4) | (F.coalesce("__risk", F.lit(0.0)) >= 0.25)
+    out = scan.running(out, [key], severity=("max", F.when(crisis, 2).when(tense, 1).otherwise(0)))
+    return out.drop(scan.PART, scan.AT, "__before", "__risk")
 
 
 def regime_name(severity: Column) -> Column:
