@@ -94,7 +94,7 @@ def sources(edges: DataFrame, parts: list[str]) -> DataFrame:
     text = {c: F.btrim(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit(" \t\n\r\x0b\x0c")) for c in parts}
     rows = _whole(edges).select(*[c.alias(n) for n, c in keys.items()], *[c.alias(n) for n, c in text.items()], "seq")
     first = rows.groupBy(*LINK, *parts).agg(F.min("seq").alias("seq"))
-    placed = scan.running(scan.segments(first, LINK, [F.col("seq")]), LINK, place=("count", F.lit(1)))
+    placed = scan.running(scan.segments(first, LINK, [F.col("seq"), *map(F.col, parts)]), LINK, place=("count", F.lit(1)))
     return placed.drop(scan.PART, scan.AT)
 
 

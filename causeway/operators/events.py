@@ -47,6 +47,28 @@ def chain(events: DataFrame, key: str, order: str, payload: str, created: str) -
     return rows.select(key, "__p", "__c").mapInArrow(fold, out)
 
 
+def chained(events: DataFrame, key: str, order: str, payload: str, created: str) -> DataFrame:
+    """Every event with the hash before it and its own, as ``chain`` folds them; orders and times as they are given."""
+    text = lambda c: F.col(c).cast("string")
+    rows = events.select(F.col(key), F.col(order), text(payload).alias(payload), text(created).alias(created))
+    rows = rows.repartition(F.col(key)).sortWithinPartitions(F.col(key), *[F.col(c).asc_nulls_last() for c in (order, payload, created)])
+    out = StructType([*rows.schema, StructField("prev_hash", StringType()), StructField("event_hash", StringType())])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, head, started = None, GENESIS, False
+        for batch in batches:
+            before, own = [], []
+            for k, p, c in zip(*(batch.column(i).to_pylist() for i in (0, 2, 3)), strict=True):
+                if not started or (k != now and (k == k or now == now)):
+                    now, head, started = k, GENESIS, True
+                before.append(head)
+                head = None if p is None or c is None or head is None else hashlib.sha256(f"{p}|{c}|{head}".encode()).hexdigest()
+                own.append(head)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before, pa.string()), pa.array(own, pa.string())], names=out.names)
+
+    return rows.mapInArrow(fold, out)
+
+
 def tail(events: DataFrame, key: str, order: str, n: int) -> DataFrame:
     """The last ``n`` events of each key."""
     return events.withColumn("__r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where(F.col("__r") <= n).drop("__r")

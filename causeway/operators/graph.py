@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import scores as S
 from causeway.sources import dims
+from causeway.sources.scratch import written
 
 
 def as_of(edges: DataFrame, at: Column) -> DataFrame:
@@ -43,14 +44,20 @@ def dedupe_edges(edges: DataFrame) -> DataFrame:
 
 def concepts(node: Column) -> Column:
     """The sorted concepts of which a name is inside the node's normal text."""
-    text = S.normal_text(node)
+    return concepts_of(S.normal_text(node))
+
+
+def concepts_of(text: Column) -> Column:
+    """The same of a text that is normal already."""
     return F.array_compact(F.array(*[F.when(S.has_any(text, (*dims.ALIASES[c], c)), c) for c in sorted(dims.ALIASES)]))
 
 
 def node_concepts(edges: DataFrame) -> DataFrame:
     """(node, concepts) of the distinct nodes."""
     nodes = edges.select(F.explode(F.array("head_node", "tail_node")).alias("node")).distinct()
-    return nodes.withColumn("concepts", concepts(F.col("node")))
+    # The text is a column of its own: the terms would each normalise the name again.
+    texts = nodes.select("node", F.explode(F.array(S.normal_text(F.col("node")))).alias("text"))
+    return texts.select("node", concepts_of(F.col("text")).alias("concepts"))
 
 
 def _best(rows: list[tuple], names: tuple[str, ...]) -> Column:
@@ -66,18 +73,21 @@ def _best(rows: list[tuple], names: tuple[str, ...]) -> Column:
 def pair_modifiers(edges: DataFrame) -> DataFrame:
     """A row per distinct (head, tail): matrix and structural boosts, polarity, label, equation, bias correction.
 
-    Everything that depends on the two names alone is computed once for each pair of names,
-    however many edges have it, as one projection over the distinct pairs.
+    Concepts are found once for each node and modifiers once for each pair of sets of concepts, however many edges have them.
     """
     both = lambda rows: [F.array_contains("hc", h) & F.array_contains("tc", t) for h, t in rows]
-    pairs = edges.select("head_node", "tail_node").distinct()
-    pairs = pairs.withColumns({"hc": concepts(F.col("head_node")), "tc": concepts(F.col("tail_node"))})
+    pairs = written(edges.select("head_node", "tail_node").distinct(), "pairs")
+    found = written(node_concepts(pairs), "concepts")
+    side = lambda of, name: found.select(F.col("node").alias(of), F.col("concepts").alias(name))
+    pairs = pairs.join(side("head_node", "hc"), "head_node").join(side("tail_node", "tc"), "tail_node")
+    # What follows depends on the concepts alone, of which there are few combinations.
+    kinds = pairs.select("hc", "tc").distinct()
     broad = F.when(F.arrays_overlap("hc", F.array(*map(F.lit, dims.BROAD_CONCEPTS))), 0.85).otherwise(1.0)
     driver = F.when(reduce(or_, both(dims.common_drivers())), 0.7).otherwise(1.0)
-    pairs = pairs.withColumns({"m": _best(dims.MATRIX, ("sign", "label")), "s": _best(dims.SCM, ("sigma", "domain", "equation")), "bias": broad * driver})
-    return pairs.select(
-        "head_node",
-        "tail_node",
+    kinds = kinds.withColumns({"m": _best(dims.MATRIX, ("sign", "label")), "s": _best(dims.SCM, ("sigma", "domain", "equation")), "bias": broad * driver})
+    kinds = kinds.select(
+        "hc",
+        "tc",
         F.coalesce("m.size", F.lit(1.0)).alias("matrix_boost"),
         F.coalesce("m.sign", F.lit(1.0)).alias("matrix_sign"),
         F.coalesce("m.label", F.lit("")).alias("label"),
@@ -86,6 +96,7 @@ def pair_modifiers(edges: DataFrame) -> DataFrame:
         F.coalesce("s.equation", F.lit("")).alias("equation"),
         "bias",
     )
+    return pairs.join(kinds, ["hc", "tc"]).drop("hc", "tc")
 
 
 def score_edges(edges: DataFrame) -> DataFrame:
@@ -115,33 +126,6 @@ def dynamic_weights(edges: DataFrame, now: Column) -> DataFrame:
     return pairs.agg((F.when(recent == 1, 1.15).otherwise(1.0) + F.least(0.05 * F.count("*"), F.lit(0.2))).alias("weight"), F.count("*").alias("n_edges"))
 
 
-#: From so many edges on, the running rule has reached its cap: 0.05 * 1.05 ** 61 > 0.98.
-CAPPED = 62
-
-
-def consensus(edges: DataFrame, now: Column) -> DataFrame:
-    """One link for each (head, relation, tail): strengths reinforce one another in order of arrival.
-
-    Granularity, equation and direct effect are those of the first edge.
-
-    The running rule is ``s = min(0.98, 1.05 max(s, next))``; strengths are at least 0.05, so a
-    key of CAPPED edges or more has reached the cap, and only those of fewer are gathered.
-    """
-    keys = ["head", "relation", "tail"]
-    weights = dynamic_weights(edges, now).select(F.col("head").alias("wh"), F.col("tail").alias("wt"), "weight")
-    scored = score_edges(edges).withColumns({"head": S.node_id(F.col("head_node")), "tail": S.node_id(F.col("tail_node"))})
-    scored = scored.join(weights, (F.col("head") == F.col("wh")) & (F.col("tail") == F.col("wt")))
-    grain = F.coalesce(F.nullif(F.col("granularity"), F.lit("")), F.lit("day")) if "granularity" in edges.columns else F.lit("day")
-    own = F.struct(grain.alias("granularity"), "equation", "noise_sigma", F.col("scm_boost").alias("direct_effect")).alias("own")
-    rows = scored.select(*keys, "seq", "polarity", own, S.clamp(F.col("strength") * F.col("weight"), 0.05, 0.98).alias("s"))
-    links = rows.groupBy(*keys).agg(F.avg("polarity").alias("polarity"), F.count("*").alias("support_count"), F.min_by("own", "seq").alias("own"))
-    few = rows.join(links.where(F.col("support_count") < CAPPED).select(*keys), keys, "left_semi")
-    few = few.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("seq", "s"))).alias("in_order"))
-    running = F.aggregate(F.slice("in_order", 2, CAPPED), F.get("in_order", F.lit(0))["s"], lambda s, x: F.least(F.lit(0.98), 1.05 * F.greatest(s, x["s"])))
-    links = links.join(few.select(*keys, running.alias("strength")), keys, "left")
-    return links.select(*keys, F.coalesce("strength", F.lit(0.98)).alias("strength"), "polarity", "support_count", "own.*")
-
-
 def what_if(links: DataFrame, seed: str, delta: float, horizon: int, severity: int = 0, connectivity: float = 0.0) -> DataFrame:
     """Impacts (node, impact, depth) of a shock that travels the links level by level, at a fixed regime.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from causeway.functions import scores as S
+from causeway.operators import consensus as K
 from causeway.operators import events as E
 from causeway.operators import facts as X
 from causeway.operators import graph as G
@@ -163,7 +164,7 @@ def dynamic_weights(s, d):
 
 @query(f", {_SCORED}, {_WEIGHTS}, {_CONSENSUS} select head, relation, tail, round(strength, 6) as strength, round(polarity, 6) as polarity, support_count from links")
 def consensus(s, d):
-    return G.consensus(views.edges(s, d), _at()).select("head", "relation", "tail", _r(F.col("strength")).alias("strength"), _r(F.col("polarity")).alias("polarity"), "support_count")
+    return K.skeleton(views.edges(s, d), _at()).select("head", "relation", "tail", _r(F.col("strength")).alias("strength"), _r(F.col("polarity")).alias("polarity"), "support_count")
 
 
 @query(f", {_SCORED}, {_WEIGHTS}, {_CONSENSUS} select head, relation, tail, round(strength, 6) as strength from links order by round(strength, 6) desc, head, relation, tail limit 10")
@@ -216,7 +217,7 @@ def regime_shift(s, d):
 
 def whatif_impacts(s, d):
     """Impacts of a shock of 1 on inflation over the consensus of all edges, three levels deep."""
-    links = written(G.consensus(views.edges(s, d), _at()), "links")  # one row per (head, relation, tail), read at each level
+    links = written(K.skeleton(views.edges(s, d), _at()), "links")  # one row per (head, relation, tail), read at each level
     return G.what_if(links, "inflation", 1.0, 3).select("node", _r(F.col("impact")).alias("impact"), "depth")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import scores as S
 from causeway.operators import audit as A
+from causeway.operators import consensus as K
 from causeway.operators import edges as D
 from causeway.operators import facts as X
 from causeway.operators import feeds as M
@@ -109,7 +110,7 @@ def graph_stability(s, d):
 
 
 def _links(s, d) -> DataFrame:
-    return written(G.consensus(views.edges(s, d), _at()), "links")
+    return written(K.skeleton(views.edges(s, d), _at()), "links")
 
 
 def root_cause_path(s, d):

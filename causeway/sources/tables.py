@@ -110,9 +110,10 @@ class StoredTable:
     # Writing
 
     def _write(self, rows: DataFrame, m: dict) -> tuple[str, list[int]]:
-        """The rows by bucket; a bucket's rows come from as many tasks as hold some."""
+        """The rows by bucket, columns not given as null; a bucket's rows come from as many tasks as hold some."""
         name = uuid.uuid4().hex
-        rows.select(*self.schema(m).names, self._bucket(m).alias(BUCKET)).write.partitionBy(BUCKET).parquet(f"{self.path}/data/{name}")
+        given = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in self.schema(m)]
+        rows.select(*given, self._bucket(m).alias(BUCKET)).write.partitionBy(BUCKET).parquet(f"{self.path}/data/{name}")
         at = self._at(f"{self.path}/data/{name}")
         return name, sorted(int(f.getPath().getName().split("=")[1]) for f in self._fs.listStatus(at) if "=" in f.getPath().getName())
 
@@ -143,12 +144,13 @@ class StoredTable:
 
         return self._change(batch, work)
 
-    def merge(self, rows: DataFrame, order: str | None = None, batch: tuple[str, int] | None = None) -> bool:
+    def merge(self, rows: DataFrame, order: str | None = None, batch: tuple[str, int] | None = None, combine: Callable[[DataFrame], DataFrame] | None = None) -> bool:
         """Merges rows by key: a column that isn't null takes the place of the stored one, columns not given or null keep it, new keys
         are added.
 
         Of several rows of a key a later one by ``order`` (null first) goes over an earlier one.  Only the buckets that
-        ``rows`` touch are read and rewritten.
+        ``rows`` touch are read and rewritten.  Instead of that rule, ``combine`` may make the new rows of a key from the stored
+        and the given ones together.
         """
         columns = rows.columns
 
@@ -164,8 +166,12 @@ class StoredTable:
                 return None
             stored = self._read(m, touched).withColumn("__rank", F.struct(F.lit(0).alias("o"), F.lit(None).cast(new.schema["__rank"].dataType["n"].dataType).alias("n")))
             both = stored.unionByName(new.drop(BUCKET))
+            if combine:
+                made = combine(both.select(*schema.names))
             last = [F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col("__rank"))).alias(c) for c in schema.names if c not in key]
-            name, held = self._write(both.groupBy(*key).agg(*(last or [F.count("*").alias("__n")])), m)
+            if not combine:
+                made = both.groupBy(*key).agg(*(last or [F.count("*").alias("__n")]))
+            name, held = self._write(made, m)
             rest = {w: [b for b in bs if b not in touched] for w, bs in m["writes"].items()}
             return rest | {name: held}
 

@@ -83,3 +83,30 @@ def feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = spark.sql(FEED.replace("from events", f"from parquet.`{sf_dir}/events.parquet`"))
     return rows.withColumn("payload", F.map_from_arrays(F.array("k1", "k2"), F.array("v1", "v2")))
+
+
+def _name(key: str, of: str, factor: int, base: int) -> str:
+    """One of eight nodes, most of them split by a number: a few have many edges, most few; a fifth are spelled in capitals."""
+    split = f"({of} % (case {key} % 6 " + " ".join(f"when {k} then {base**k}" for k in range(5)) + f" else {base**5} end))"
+    name = f"case {key} * {factor} % 8 when 0 then 'Inflation' when 1 then 'Policy Rate' when 2 then 'Oil Price' when 3 then 'Tech Valuation' when 4 then 'GPU Demand' when 5 then 'Liquidity' when 6 then 'Credit Spread' else 'Turmoil' end"
+    full = f"concat({name}, case when {split} = 0 then '' else concat(' ', cast({split} as string)) end)"
+    return f"case when {of} % 5 = 0 then upper({full}) else {full} end"
+
+
+#: Edges of links with 1 to hundreds of edges, of nodes that are both heads and tails.
+TAILED = f"""
+select l.l_orderkey * 10 + l.l_linenumber as seq, concat('case_', cast(l.l_orderkey % 997 as string)) as case_id, concat('doc_', cast(l.l_suppkey % 40 as string)) as doc_id,
+  {_name("l.l_partkey", "l.l_orderkey", 1, 3)} as head_node,
+  case l.l_linenumber % 6 when 0 then 'drives' when 1 then 'raises' when 2 then 'reduces' when 3 then 'correlates with' when 4 then 'affects' else 'offsets' end as relation,
+  {_name("l.l_suppkey", "l.l_partkey", 3, 2)} as tail_node,
+  case l.l_returnflag when 'A' then 'high' when 'R' then 'medium' else 'low' end as confidence,
+  case l.l_linenumber % 4 when 0 then 'year' when 1 then 'quarter' when 2 then 'month' else 'day' end as granularity,
+  o.o_orderdate as event_time, l.l_shipdate as valid_from,
+  case when l.l_linestatus = 'O' then null else l.l_shipdate + interval '90' day end as valid_to,
+  l.l_discount * 10 as reflection_quality, l.l_tax * 10 as temporal_quality
+from lineitem l join orders o on l.l_orderkey = o.o_orderkey
+"""
+
+
+def tailed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view(spark, sf_dir, TAILED)

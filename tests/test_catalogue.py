@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from causeway.functions import scores as S
+from causeway.operators import consensus as K
 from causeway.operators import events as E
 from causeway.operators import facts as X
 from causeway.operators import graph as G
@@ -66,7 +67,7 @@ def test_scores_of_known_edges(spark):
 
 def test_consensus_of_two(spark):
     df = edge(spark, ("A", "drives", "B", "medium"), ("A", "drives", "B", "medium"))
-    (link,) = G.consensus(df, F.lit("2024-01-01").cast("timestamp_ntz")).collect()
+    (link,) = K.skeleton(df, F.lit("2024-01-01").cast("timestamp_ntz")).collect()
     assert link.strength == pytest.approx(0.6468) and link.support_count == 2
 
 
@@ -98,7 +99,7 @@ def test_what_if_like_a_queue(spark):
 
 def test_consensus_keeps_the_first_edge(spark):
     df = edge(spark, ("Inflation", "drives", "Interest Rate", None), ("Inflation", "drives", "Interest Rate", None)).withColumn("granularity", F.when(F.col("seq") == 0, "year").otherwise("day"))
-    (link,) = G.consensus(df, F.lit("2024-01-01").cast("timestamp_ntz")).collect()
+    (link,) = K.skeleton(df, F.lit("2024-01-01").cast("timestamp_ntz")).collect()
     assert (link.granularity, link.direct_effect, link.equation[:13]) == ("year", 1.18, "policy_rate_t")
 
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from causeway.functions import scores as S
 from causeway.operators import audit as A
+from causeway.operators import consensus as K
 from causeway.operators import edges as D
 from causeway.operators import events as E
 from causeway.operators import facts as X
@@ -95,7 +96,7 @@ def test_consensus_like_the_running_rule(spark):
         s = min(0.98, max(0.05, scored[seq] * 1.2))
         old = expected.get(head.lower())
         expected[head.lower()] = s if old is None else min(0.98, max(old, s) * 1.05)
-    assert {x["head"]: x.strength for x in G.consensus(df, now).collect()} == {k: pytest.approx(v) for k, v in expected.items()}
+    assert {x["head"]: x.strength for x in K.skeleton(df, now).collect()} == {k: pytest.approx(v) for k, v in expected.items()}
 
 
 def test_chain_verification(spark):
