@@ -2,7 +2,7 @@
 
 Texts become sequences of canonical tokens: words in lower case without punctuation at
 their ends, numbers, units after numbers and names (capitalised words inside a sentence) as
-typed placeholders.  Names are uncertain, so every window is hashed with them and without,
+typed placeholders (acronyms and names like O'Brien too).  Names are uncertain, so every window is hashed with them and without,
 and once more with the capitalised words that begin a sentence as names too.
 Windows of WINDOW tokens (an item of fewer is one window) of the benchmark form a hash
 table; the windows of all documents look themselves up in it as they are read, so nothing
@@ -52,6 +52,8 @@ CACHE_WORDS = 150_000
 _WORD, _NUMBER, _GLUED, _UNIT, _NOTHING = range(5)
 _NAME = 5
 _EDGE = re.compile(r"^[\W_]+|[\W_]+$")
+#: What stands between the letters of a name.
+_JOINED = re.compile(r"['\u2019-]")
 #: Digits with separators, a power of ten, an ordinal's ending; or one character that is a number.
 _NUM = re.compile(r"[+-]?\d[\d.,:/]*(?:e[+-]?\d+|st|nd|rd|th)?|[\u00bc-\u00be\u2150-\u215e]")
 #: Signs of formulas, which count as words.
@@ -61,6 +63,8 @@ _SPELLED = frozenset("zero one two three four five six seven eight nine ten elev
 #: Words that begin sentences without being names.
 _COMMON = frozenset("a about after again all also although an and any are as at because before both but by can could did do does during each either even every few find first for from given had has have he hence her here his how however i if in into is it its last later let many may might more most much must my next no nor not now of on once one only or other our over perhaps she should since so some soon such that the their them then there therefore these they this those though through thus to under until up was we were what when where whether which while who whom whose why will with would yes yet you your das dem den der die ein eine er es ich ihr im ist mit nach sie und von was wenn wer wie wir zu au ce ces cette dans de des du elle en et il ils je la le les mais nous on ou pour quand que qui sur un une vous al como con cuando del el ella ellos en es esta este la las los muchos no para pero por que si su un una y".split())
 _GLUE = re.compile(rf"\d[\d.,]*({'|'.join(sorted(_UNITS, key=len, reverse=True))})")
+#: Stands for no window in the benchmark's hashes by place; 0 does in a document's.
+_NONE = np.uint64(1)
 _PLACE = {k: np.uint64(0xA5A5A5A500000000 + k) for k in (_NUMBER, _GLUED, _UNIT, _NAME)}
 
 
@@ -74,7 +78,7 @@ def _canonical(word: str) -> tuple[bytes, int, bool, bool, bool]:
         if not core:
             return b"", _NOTHING, False, ends, False
     low = core.lower()
-    title = len(core) > 1 and core[0].isupper() and core[1:].islower()
+    title = len(core) > 1 and core[0].isupper() and (core[1:].islower() or _JOINED.sub("", core).isalpha())
     if low in _SPELLED or "-" in low and all(x in _SPELLED for x in low.split("-")):
         kind = _NUMBER
     elif low[0].isdigit() or low[0].isnumeric():
@@ -215,6 +219,7 @@ class Table:
     window: int
     windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
     filters: dict[int, np.ndarray]
+    by_place: dict[int, dict[int, np.ndarray]]  # for each window size and item, the views' hashes by place, _NONE where there is none
 
 
 def build_table(rows: list[tuple[int, str]], window: int = WINDOW) -> Table:
@@ -222,7 +227,7 @@ def build_table(rows: list[tuple[int, str]], window: int = WINDOW) -> Table:
     texts: dict[str, int] = {}
     for item, text in sorted((r for r in rows if r[0] is not None and r[1]), key=lambda r: r[0]):
         texts.setdefault(text, item)
-    out = Table([], [], [], [], window, {}, {})
+    out = Table([], [], [], [], window, {}, {}, {})
     found: dict[int, list] = {}
     for text, item in texts.items():
         raw = np.frombuffer(text.encode(), np.uint8)
@@ -235,10 +240,13 @@ def build_table(rows: list[tuple[int, str]], window: int = WINDOW) -> Table:
         out.values.append(t.value)
         out.slots.append(t.slot)
         out.openers.append(t.opener)
-        for at, h, _ in _window_codes(t, size):
-            found.setdefault(size, []).append((h, np.full(len(h), k), at))
-        for at, h, _ in _grown_codes(t, window):
-            found.setdefault(0, []).append((h, np.full(len(h), k), at))
+        for of, codes in ((size, _window_codes(t, size)), (0, _grown_codes(t, window))):
+            for at, h, _ in codes:
+                found.setdefault(of, []).append((h, np.full(len(h), k), at))
+                row = np.full((1, n), _NONE, dtype=np.uint64)
+                row[0, at] = h
+                rows = out.by_place.setdefault(of, {})
+                rows[k] = np.concatenate([rows[k], row]) if k in rows else row
     for size, parts in found.items():
         h, item, place = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.lexsort((place, item, h))
@@ -276,57 +284,104 @@ def _consistent(item: list[int], doc: list[int], name: list[bool]) -> list[tuple
     return [*out, (a, n)]
 
 
-def leaks(t: Tokens, bench: Table) -> dict[int, list[tuple[int, int, int, bool]]]:
-    """Of each text of a buffer with leaks: (item_id, tokens matched, slots changed, word for word)."""
-    hits = []
+def _runs(t: Tokens, bench: Table) -> Iterator[tuple[int, int, int, int, int, np.ndarray]]:
+    """Runs of windows that follow one another in a text and in an item: text, item, shift, first and last window, lengths of the windows.
+
+    A run is found where it begins: of the places of a window in the benchmark, those behind which the window before
+    doesn't stand.  That is looked up once for each pair of neighbouring windows, so a text that repeats itself, as an item may too,
+    gives a run for each alignment and not a hit for each pair of equal windows.
+    """
     for size, (hashes, item, place) in bench.windows.items():
+        key = item.astype(np.int64) << 32 | place
         for at, h, length in _window_codes(t, size) if size else _grown_codes(t, bench.window):
             may = np.flatnonzero(bench.filters[size][(h >> np.uint64(44)).astype(np.int64)])
             at, h, length = at[may], h[may], length[may]
             low, high = np.searchsorted(hashes, h, "left"), np.searchsorted(hashes, h, "right")
             text = np.searchsorted(t.begin, at, "right") - 1
-            ok = (high > low) & (at + length <= t.begin[text + 1])
-            for p, d, a, b, n in zip(at[ok].tolist(), text[ok].tolist(), low[ok].tolist(), high[ok].tolist(), length[ok].tolist(), strict=True):
-                hits += [(d, int(item[j]), p - int(place[j]), p, n) for j in range(a, b)]
+            ok = np.flatnonzero((high > low) & (at + length <= t.begin[text + 1]))
+            if not len(ok):
+                continue
+            at, h, low, high, text = at[ok], h[ok], low[ok], high[ok], text[ok]
+            here, lengths = np.zeros(len(t.value), dtype=np.uint64), np.zeros(len(t.value), dtype=np.int64)
+            here[at], lengths[at] = h, length[ok]
+            before = np.where(at > t.begin[text], here[at - 1], 0).tolist()
+            begins: dict[tuple[int, int], list[tuple[int, int]]] = {}
+            ends = t.begin[text + 1].tolist()
+            for p, g, x, a, b, d, end in zip(at.tolist(), before, h.tolist(), low.tolist(), high.tolist(), text.tolist(), ends, strict=True):
+                if (new := begins.get((g, x))) is None:
+                    mine = slice(a, b)
+                    fresh = np.ones(b - a, dtype=bool)
+                    if g:
+                        of = slice(np.searchsorted(hashes, np.uint64(g), "left"), np.searchsorted(hashes, np.uint64(g), "right"))
+                        fresh = ~np.isin(key[mine] - 1, key[of])
+                    new = begins[g, x] = list(zip(item[mine][fresh].tolist(), place[mine][fresh].tolist(), strict=True))
+                for i, q in new:
+                    rows = bench.by_place[size][i][:, q : q + end - p]
+                    same = (rows == here[p : p + rows.shape[1]]).any(axis=0)
+                    n = int(same.argmin())
+                    yield d, i, p - q, p, p + (n if n or not same[0] else len(same)) - 1, lengths
+
+
+def leaks(t: Tokens, bench: Table) -> dict[int, list[tuple[int, int, int, bool]]]:
+    """Of each text of a buffer with leaks: (item_id, tokens matched, slots changed, word for word)."""
+    runs = sorted(_runs(t, bench), key=lambda r: r[:5])
     found: dict[int, dict[int, tuple[int, int, int, bool]]] = {}
-    hits = sorted(set(hits))
+    if not runs:
+        return found
+    # Sums that know a piece of a text by its tokens: equal pieces on one place of an item are judged once.
+    code = mix(t.value ^ (t.slot.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15) ^ t.opener.astype(np.uint64) << np.uint64(40))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code * _powers(pow(_STEP, -1, 1 << 64), len(code)), dtype=np.uint64)))
+    back = _powers(_STEP, len(code))
+    judged: dict[tuple, tuple[int, int, int, bool] | None] = {}
     k = 0
-    while k < len(hits):
-        d, item, shift, begin, size = hits[k]
-        end, j = begin + size, k + 1
-        parts = [(begin, end)]
-        while j < len(hits) and hits[j][:3] == (d, item, shift) and hits[j][3] <= end:
-            parts.append((hits[j][3], hits[j][3] + hits[j][4]))
-            end = max(end, parts[-1][1])
-            j += 1
-        k = j
-        place = slice(begin - shift, end - shift)
-        mine, theirs = t.value[begin:end], bench.values[item][place]
-        same = mine == theirs
-        wrong = np.concatenate(([0], np.cumsum(~same)))
-        exact = any(wrong[b - begin] == wrong[a - begin] for a, b in parts)
-        opened = (t.opener[begin:end] | bench.openers[item][place]) & ~same
-        name = (t.slot[begin:end] == _NAME) | (bench.slots[item][place] == _NAME) | opened
-        slot = (t.slot[begin:end] != _WORD) | (bench.slots[item][place] != _WORD) | opened
-        low, high = 0, end - begin
-        if not exact:
-            at = np.flatnonzero(slot)
-            runs = _consistent(theirs[at].tolist(), mine[at].tolist(), name[at].tolist())
-            if len(runs) > 1:
-                # From after the slot before the part to the slot after it.
-                edges = [-1, *at.tolist(), end - begin]
-                spans = [(edges[a] + 1, edges[b + 1]) for a, b in runs]
-                spans = [(a, b) for a, b in spans if b - a >= LONG and any(a <= x - begin and y - begin <= b for x, y in parts)]
-                if not spans:
-                    continue
-                low, high = max(spans, key=lambda x: x[1] - x[0])
-        row = (bench.items[item], high - low, int((~same & slot)[low:high].sum()), bool(exact))
-        old = found.setdefault(d, {}).get(item)
-        if old is None or row[1] > old[1]:
-            found[d][item] = row
+    with np.errstate(over="ignore"):
+        while k < len(runs):
+            d, item, shift, begin, last, lengths = runs[k]
+            end, j = last + int(lengths[last]), k + 1
+            parts = [(begin, last, lengths)]
+            while j < len(runs) and runs[j][:3] == (d, item, shift) and runs[j][3] <= end:
+                parts.append(runs[j][3:])
+                end = max(end, runs[j][4] + int(runs[j][5][runs[j][4]]))
+                j += 1
+            k = j
+            about = (item, begin - shift, end - begin, int((sums[end] - sums[begin]) * back[begin]), tuple((a - begin, b - begin) for a, b, _ in parts))
+            if about not in judged:
+                judged[about] = _judged(t, bench, item, shift, begin, end, parts)
+            row = judged[about]
+            if row is not None:
+                old = found.setdefault(d, {}).get(item)
+                if old is None or row[1] > old[1]:
+                    found[d][item] = row
     return {d: sorted(x.values()) for d, x in found.items()}
 
 
+def _judged(t: Tokens, bench: Table, item: int, shift: int, begin: int, end: int, parts: list[tuple[int, int, np.ndarray]]) -> tuple[int, int, int, bool] | None:
+    """What a run of an item in a text comes to, if it is a leak."""
+    place = slice(begin - shift, end - shift)
+    mine, theirs = t.value[begin:end], bench.values[item][place]
+    same = mine == theirs
+    wrong = np.concatenate(([0], np.cumsum(~same)))
+    exact = any((wrong[np.arange(a, b + 1) + n[a : b + 1] - begin] == wrong[a - begin : b + 1 - begin]).any() for a, b, n in parts)
+    opened = (t.opener[begin:end] | bench.openers[item][place]) & ~same
+    name = (t.slot[begin:end] == _NAME) | (bench.slots[item][place] == _NAME) | opened
+    slot = (t.slot[begin:end] != _WORD) | (bench.slots[item][place] != _WORD) | opened
+    low, high = 0, end - begin
+    if not exact:
+        at = np.flatnonzero(slot)
+        runs = _consistent(theirs[at].tolist(), mine[at].tolist(), name[at].tolist())
+        if len(runs) > 1:
+            # From after the slot before the part to the slot after it.
+            edges = [-1, *at.tolist(), end - begin]
+            spans = [(edges[a] + 1, edges[b + 1]) for a, b in runs]
+            # Windows' ends grow with their places, so the first one in the span is the first to end.
+            first = lambda s, a, b, n: max(s[0] + begin, a) <= b and max(s[0] + begin, a) + n[max(s[0] + begin, a)] <= s[1] + begin
+            spans = [s for s in spans if s[1] - s[0] >= LONG and any(first(s, *x) for x in parts)]
+            if not spans:
+                return None
+            low, high = max(spans, key=lambda x: x[1] - x[0])
+    return bench.items[item], high - low, int((~same & slot)[low:high].sum()), bool(exact)
+
+
 def _blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[Table]:
     """Tables of BLOCK_BYTES of text at most each, one at a time; equal texts are in one block."""
     rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item).cast("long").alias("i"), F.col(text).alias("t"))

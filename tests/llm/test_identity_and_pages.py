@@ -80,3 +80,29 @@ def test_gif_strings_of_two_samples():
         for high in (1, 2, 30, 256):
             data = r.integers(0, high, n).astype(np.uint8).tobytes()
             assert gif.lzw_decode(gif.lzw_encode(data), 8, n).tobytes() == data
+
+
+def test_repeated_windows_cost_little():
+    """An item and a document of two words in turn: alignments, not pairs of windows."""
+    import time
+    import tracemalloc
+
+    raw = np.frombuffer(b"ab cd " * 30_000, np.uint8)
+    bench = decontam.build_table([(1, "ab cd " * 200)])
+    t = decontam.tokens(raw, np.array([0, len(raw)]))
+    began = time.process_time()
+    assert decontam.leaks(t, bench) == {0: [(1, 400, 0, True)]}
+    assert time.process_time() - began < 8
+    tracemalloc.start()
+    decontam.leaks(t, bench)
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("old, new", [("MIT", "NYU"), ("McDonald", "O'Brien"), ("Ann", "ETH"), ("O'Neil", "Tom")])
+def test_names_of_any_shape(old, new):
+    item = "In the town {0} has 12 students who each own 3 bikes, and {0} shares one large garage near the river with 4 others"
+    texts = [item.format(new).replace("12", "23").encode(), item.format(old).encode(), item.format(new).replace("garage", "palace").replace("river", "forest").replace("bikes", "cars").encode()]
+    t = decontam.tokens(np.frombuffer(b"".join(texts), np.uint8), np.cumsum([0, *map(len, texts)]))
+    found = decontam.leaks(t, decontam.build_table([(7, item.format(old))]))
+    assert sorted(found) == [0, 1] and not found[0][0][3] and found[1][0][3]
