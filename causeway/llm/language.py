@@ -20,7 +20,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from causeway.llm.caches import use
@@ -163,10 +163,18 @@ def fit(x: Sample, y: list[str], steps: int = 150, decay: float = 1e-5) -> Model
 
 
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", per_language: int = 400) -> Model | None:
-    """A model of the labelled rows of ``docs`` (null labels and texts don't count); None without any."""
-    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(lang).alias("l"), F.col(text).alias("t"))
-    shares = F.broadcast(rows.groupBy("l").agg((F.lit(float(per_language)) / F.count("*")).alias("share")))
-    draw = F.pmod(F.xxhash64(F.col("k"), F.lit(4)), F.lit(1 << 30)) / float(1 << 30)
+    """A model of the labelled rows of ``docs`` (null labels and texts don't count); None without any.
+
+    The sample has at most ``per_language`` rows of each language, and nearly as many where there are so many: those of the least
+    hash of id and text, of rows equal in both one.
+    """
+    rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("l"), F.col(text).alias("t"), F.xxhash64(F.col(key), F.col(text), F.lit(4)).alias("h"))
+    # One row for each language.
+    shares = F.broadcast(rows.groupBy("l").agg((F.lit(1.5 * per_language) / F.approx_count_distinct("h")).alias("share")))
+    # What a language gives too much of is left out where it is read, the rest in the order of the hash.
+    few = rows.join(shares, "l").where(F.pmod("h", F.lit(1 << 30)) / float(1 << 30) < F.col("share")).dropDuplicates(["l", "h"])
+    place = F.row_number().over(Window.partitionBy("l").orderBy(F.pmod("h", F.lit(1 << 30)), "h"))
+    drawn = few.withColumn("place", place).where(F.col("place") <= per_language).select("l", "t")
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,7 +183,6 @@ def train(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "d
                 out += [sparse(frequencies(data[a:b])) for a, b in zip(offsets, offsets[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array([r[i] for r in out], pa.binary()) for i in (0, 1))], ["l", "at", "x"])
 
-    drawn = rows.join(shares, "l").where(draw < F.col("share")).select("l", "t")
     sample = [(r.l, bytes(r.at), bytes(r.x)) for r in drawn.mapInArrow(features, "l string, at binary, x binary").collect()]
     sample.sort()
     if not sample:

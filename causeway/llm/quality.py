@@ -7,16 +7,18 @@ labelled rows that went into neither dictionary, turns that into a probability.
 the text compresses at all is the curve's third input: a text of endless repetition hardly
 differs between the dictionaries.
 
-Fitting uses a bounded sample of labelled rows: ``per_class`` of each label, in the order of
-a hash of the id (the smallest label counts where an id has several, and each of the rows
-that share an id), whole texts each.  Scoring reads whole texts.
+Fitting uses a bounded sample of labelled rows: at most ``per_class`` of each label, in the order of
+a hash of the id and then of id and text (the smallest label counts where an id has several; rows
+equal in id and text count once), and of each text at most MOST_CHUNKS chunks, spaced evenly, for
+the dictionaries.  Scoring reads whole texts.
 
-A sampled text is cut and compressed where it lies; the driver gets the chunks of the texts
-that the dictionaries are made of, and three numbers of each of the others.
+Texts are cut and compressed where they lie; the driver gets the chunks that the dictionaries are
+made of, and three numbers of each of the other texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,21 +27,28 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from causeway.llm.common import free_names, table
+from causeway.llm.common import free_names, table, written
 from causeway.llm.tokens import byte_chunks
 
 CHUNK, LEVEL = 2048, 3
 DICTIONARY_BYTES = 112 << 10
 THRESHOLD = 0.3
+#: Chunks of one text that go into a dictionary's sample.
+MOST_CHUNKS = 32
 
 
 def chunks(data: bytes) -> list[bytes]:
     return [data[a : a + CHUNK] for a in range(0, len(data), CHUNK)]
 
 
-def build_dictionary(texts: list[str]) -> bytes:
+def sampled_chunks(data: bytes) -> list[bytes]:
+    """All chunks of a text that are long enough, or MOST_CHUNKS of them from its begin to its end."""
+    out = [c for c in chunks(data) if len(c) >= 8]
+    return out if len(out) <= MOST_CHUNKS else [out[k * (len(out) - 1) // (MOST_CHUNKS - 1)] for k in range(MOST_CHUNKS)]
+
+
+def build_dictionary(samples: list[bytes]) -> bytes:
     """A trained zstandard dictionary; of too little text, the text itself."""
-    samples = [c for t in texts for c in chunks(t.encode()) if len(c) >= 8]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -104,12 +113,22 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str
     order = (F.xxhash64("k", F.lit(3)), F.col("k"))
     sample = marks.where("y = 0").orderBy(*order).limit(per_class).unionByName(marks.where("y = 1").orderBy(*order).limit(per_class))
     texts = docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("t"))
-    # At most 2 * per_class rows of two numbers.
-    rows = texts.join(F.broadcast(sample), "k")
+    # At most 2 * per_class rows of a few numbers, here and below: an id may have any number of rows.
+    hashed = texts.join(F.broadcast(sample), "k").withColumn("h", F.xxhash64("k", "t", F.lit(33)))
+    chosen = [hashed.where(F.col("y") == y).select("k", "y", "h").distinct().orderBy("h", "k").limit(per_class) for y in (0, 1)]
+    rows = written(hashed.join(F.broadcast(chosen[0].unionByName(chosen[1])), ["k", "y", "h"]).dropDuplicates(["k", "h"]), "labelled")
     head = F.pmod(F.xxhash64("k", F.lit(33)), F.lit(5)) < 3
-    given = rows.where(head).select("k", "y", "t").collect()
-    given.sort(key=lambda r: (r.k, r.t))
-    model = Model(*(build_dictionary([r.t for r in given if r.y == y]) for y in (1, 0)))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, y, h, t in zip(*(batch.column(i) for i in range(4)), strict=True):
+                parts = sampled_chunks(t.as_buffer().to_pybytes())
+                yield pa.RecordBatch.from_arrays([pa.array([x.as_py()] * len(parts), x.type) for x in (k, y, h)] + [pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], ["k", "y", "h", "n", "c"])
+
+    kinds = {c: rows.schema[c].dataType.simpleString() for c in ("k", "y")}
+    given = rows.where(head).select("k", "y", "h", "t").mapInArrow(cut, f"k {kinds['k']}, y {kinds['y']}, h long, n int, c binary").collect()
+    given.sort(key=lambda r: (r.k, r.h, r.n))
+    model = Model(*(build_dictionary([bytes(r.c) for r in given if r.y == y]) for y in (1, 0)))
     if not model.good or not model.bad:
         return None
     held = rows.where(~head).select("y", _measures(F.col("t"), model).alias("x")).collect()
