@@ -4,8 +4,7 @@
 interlacing, transparency and the disposal rules.  Code widths follow from the number of
 codes since the last clear code, so the codes of a segment are cut out at once, and the
 strings they stand for are copies of earlier output that numpy resolves by pointer jumping.
-``encode`` writes 8-bit samples losslessly as the palette indices of an animation; it matches
-strings of two samples only, which costs about a tenth of the size and lets it work on arrays.
+``encode`` writes 8-bit samples losslessly as the palette indices of an animation, by longest matches.
 
 ``with_frames`` stores timed frames with their colour histograms, one row each; the query
 stores texts as samples, and takes its digests, timed frames and histograms from the stored
@@ -34,8 +33,6 @@ from causeway.llm.tokens import byte_chunks
 WIDTH, ROWS = 192, 192
 DELAY_MS = 100
 _FULL = 4096
-#: Samples of the encoder's first span.
-SPAN = 192
 #: The encoder's palette: three bits of red, three of green and two of blue.
 _COLOURS = bytes(v for i in range(256) for v in ((i >> 5) * 255 // 7, (i >> 2 & 7) * 255 // 7, (i & 3) * 85))
 
@@ -52,39 +49,33 @@ _BYTE_WIDTHS = np.diff(_STEPS[8])
 
 
 def lzw_encode(data: bytes) -> bytes:
-    """The code stream of 8-bit samples, after one clear code.
-
-    Of the strings that the decoder's table has, those of two samples are used.  The samples
-    are cut into spans of growing length; a span is matched, as arrays, against the pairs
-    that the codes of the spans before it have put into the table.  A sample behind one that
-    begins no known pair always begins a code, and from there every second one does.
-    """
-    samples = np.frombuffer(data, np.uint8).astype(np.int32)
-    n, known, codes, have = len(samples), np.zeros(1 << 16, np.int16), [], 0
-    pairs = np.append(samples[:-1] << 8 | samples[1:], -1)
-    at, span = 0, SPAN
-    while at < n:
-        to = n if have >= _FULL - 258 else min(n, at + span)
-        code = known[pairs[at:to]]
-        if to == n:
-            code[-1] = 0  # nothing follows the last sample
-        place = np.arange(to - at)
-        alone = np.maximum.accumulate(np.where(code > 0, -1, place))
-        begin = np.flatnonzero((place - np.append(-1, alone[:-1])) & 1)
-        code = code[begin]
-        single = np.flatnonzero(code == 0)
-        code[single] = samples[at + begin[single]]
-        codes.append(code)
-        # A code for one sample makes the entry of a pair; the first of equal ones is kept, and the
-        # entry of the span's last code, which the next code completes, isn't used.
-        new = single[(single < len(begin) - 1) & (have + single < _FULL - 258)]
-        new = new[known[pairs[at + begin[new]]] == 0][::-1]
-        known[pairs[at + begin[new]]] = 258 + have + new
-        have += len(code)
-        at, span = at + int(begin[-1]) + (1 if code[-1] < 256 else 2), 2 * span
-    stream = np.concatenate([[256], *codes, [257]]).astype("<u2")
-    width = np.append(9, _BYTE_WIDTHS[np.minimum(np.arange(len(stream) - 1), _FULL)])
-    bits = np.unpackbits(stream.view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
+    """The code stream of 8-bit samples, after one clear code: always the longest string of the table, which starts anew when it is full."""
+    # A key is the code of a string and the sample behind it, the value the longer string's code.
+    longer: dict[int, int] = {}
+    find, codes, starts, following = longer.get, [256], [1], 258
+    add = codes.append
+    samples = iter(data)
+    now = next(samples)
+    for sample in samples:
+        key = now << 8 | sample
+        code = find(key)
+        if code is None:
+            add(now)
+            now = sample
+            if following < _FULL:
+                longer[key] = following
+                following += 1
+            else:
+                add(256)
+                starts.append(len(codes))
+                longer.clear()
+                following = 258
+        else:
+            now = code
+    codes += [now, 257]
+    ends = [*starts[1:], len(codes)]
+    width = np.concatenate([_BYTE_WIDTHS[:1], *(_BYTE_WIDTHS[: b - a] for a, b in zip(starts, ends, strict=True))])
+    bits = np.unpackbits(np.array(codes, "<u2").view(np.uint8).reshape(-1, 2), axis=1, bitorder="little")
     return np.packbits(bits[np.arange(16) < width[:, None]], bitorder="little").tobytes()
 
 
