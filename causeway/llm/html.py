@@ -41,8 +41,8 @@ _FOREIGN = frozenset("svg annotation annotation-xml".split())
 _BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
 #: These close themselves by a slash at their end.
 _CLOSABLE = frozenset("math mi mn mo mrow ms mspace mtext msub msup mfrac msqrt mroot mtable mtr mtd none mprescripts".split())
-#: How many of the nearest ancestors give features.
-ANCESTORS = 32
+#: Share of a page's words (but for links) that its core holds.
+CORE = 0.6
 _POINTS = frozenset("foreignobject desc title".split())
 _IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
 #: An opening tag closes the nearest of these, unless one of the second set lies between.
@@ -61,13 +61,46 @@ _P_CLOSERS = _BLOCK - {"body", "html", "li", "td", "th", "tr", "option", "optgro
 _HIDDEN = frozenset(("head", *_RAW, *_NESTED))
 
 
+class Path:
+    """The open elements at some place: those around the innermost one, and the features that it adds to theirs.
+
+    Blocks of a page share paths, and a path's weight is found once, so pages of any depth take time in proportion.
+    """
+
+    __slots__ = ("new", "number", "of", "outer", "tag", "weight")
+
+    def __init__(self, outer: Path | None = None, new: tuple[str, ...] = (), tag: str = "", number: int = 0):
+        self.outer, self.new, self.tag, self.number, self.of, self.weight = outer, new, tag, number, None, (0.0, 0.0)
+
+    def features(self) -> list[str]:
+        out, p = [], self
+        while p is not None:
+            out += p.new
+            p = p.outer
+        return out
+
+    def weighted(self, field: Field) -> tuple[float, float]:
+        """What the features of all open elements add to each label."""
+        below, p = [], self
+        while p is not None and p.of is not field:
+            below.append(p)
+            p = p.outer
+        a, b = p.weight if p is not None else (0.0, 0.0)
+        for p in reversed(below):
+            for f in p.new:
+                x, y = field.weights.get(f, (0.0, 0.0))
+                a, b = a + x, b + y
+            p.of, p.weight = field, (a, b)
+        return a, b
+
+
 class Block:
-    """A leaf block: its text, its ancestors' features, and how much of it is links."""
+    """A leaf block: its text, the elements around it, and how much of it is links."""
 
-    __slots__ = ("features", "linked", "text")
+    __slots__ = ("linked", "path", "text")
 
-    def __init__(self, text: str, features: tuple[str, ...], linked: int):
-        self.text, self.features, self.linked = text, features, linked
+    def __init__(self, text: str, path: Path, linked: int):
+        self.text, self.path, self.linked = text, path, linked
 
 
 def _after_raw(html: str, pos: int, name: str) -> int:
@@ -109,12 +142,17 @@ class _Stack:
     """The open elements; finding the nearest of some names doesn't walk through the others."""
 
     def __init__(self):
-        self.open: list[tuple[str, tuple[str, ...]]] = []
+        self.open: list[tuple[str, Path]] = []
         self.at: dict[str, list[int]] = {}
+        self.root, self.made = Path(), 0
+        self.active: set[str] = set()
 
     def push(self, name: str, features: tuple[str, ...]) -> None:
+        new = tuple(f for f in dict.fromkeys(features) if f not in self.active)
+        self.active.update(new)
+        self.made += 1
         self.at.setdefault(name, []).append(len(self.open))
-        self.open.append((name, features))
+        self.open.append((name, Path(self.path(), new, name, self.made)))
 
     def nearest(self, names: set[str] | frozenset[str]) -> int:
         return max((at[-1] for n in names if (at := self.at.get(n))), default=-1)
@@ -124,12 +162,13 @@ class _Stack:
         k = self.nearest(names)
         if k < 0 or k < self.nearest(until):
             return
-        for name, _ in reversed(self.open[k:]):
+        for name, path in reversed(self.open[k:]):
             self.at[name].pop()
+            self.active.difference_update(path.new)
         del self.open[k:]
 
-    def features(self) -> tuple[str, ...]:
-        return tuple({f for _, fs in self.open[-ANCESTORS:] for f in fs})
+    def path(self) -> Path:
+        return self.open[-1][1] if self.open else self.root
 
 
 def leaf_blocks(html: str) -> list[Block]:
@@ -147,7 +186,7 @@ def leaf_blocks(html: str) -> list[Block]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Block(text, stack.features(), linked))
+                out.append(Block(text, stack.path(), linked))
             parts.clear()
         linked = 0
 
@@ -214,7 +253,38 @@ _SIGNS = re.compile(r"©|\(c\)|all rights reserved|copyright|cookie|newsletter|s
 _LENGTHS = (1, 2, 4, 7, 12, 20, 40, 80)
 
 
-def features(blocks: list[Block]) -> list[list[str]]:
+def _around(blocks: list[Block]) -> set[Path]:
+    """All elements around the blocks."""
+    out: set[Path] = set()
+    for b in blocks:
+        p = b.path
+        while p is not None and p not in out:
+            out.add(p)
+            p = p.outer
+    return out
+
+
+def _below_core(paths: list[Path], words: list[int]) -> list[str]:
+    """How far below the core each block lies, up to 3, or '-' outside: the core is the innermost element with CORE of the page's words."""
+    if not paths:
+        return []
+    inside: dict[Path, int] = {}
+    for p, w in zip(paths, words, strict=True):
+        inside[p] = inside.get(p, 0) + w
+        while (p := p.outer) is not None and p not in inside:
+            inside[p] = 0
+    order = sorted(inside, key=lambda p: p.number)
+    for p in reversed(order):
+        if p.outer is not None:
+            inside[p.outer] += inside[p]
+    core = max((p for p in order if inside[p] >= CORE * sum(words)), key=lambda p: p.number)
+    far: dict[Path, int] = {}
+    for p in order:
+        far[p] = 0 if p is core else min(3, far[p.outer] + 1) if p.outer is not None and far[p.outer] >= 0 else -1
+    return ["-" if far[p] < 0 else str(far[p]) for p in paths]
+
+
+def features(blocks: list[Block]) -> list[tuple[Path, list[str]]]:
     """Of each block: ancestors, place among the page's blocks, shape of the text and of its neighbours."""
     out = []
     shapes = []
@@ -222,11 +292,15 @@ def features(blocks: list[Block]) -> list[list[str]]:
         words = b.text.count(" ") + 1
         shapes.append((words, sum(words > n for n in _LENGTHS), min(4, 4 * b.linked // max(1, len(b.text)))))
     total = max(1, sum(w for w, _, link in shapes if link < 2))
+    # Where no element says which the main text is, its place does.
+    unsaid = not any(p.tag in ("article", "main") for p in _around(blocks))
+    core = unsaid and _below_core([b.path for b in blocks], [w if link < 2 else 0 for w, _, link in shapes])
     for k, b in enumerate(blocks):
         words, size, link = shapes[k]
-        fs = list(b.features)
-        fs += [f"{side}:{x[1] // 2}:{x[2] // 2}" if x else f"{side}:-" for side, x in (("before", shapes[k - 1] if k else None), ("after", shapes[k + 1] if k + 1 < len(shapes) else None))]
+        fs = [f"{side}:{x[1] // 2}:{x[2] // 2}" if x else f"{side}:-" for side, x in (("before", shapes[k - 1] if k else None), ("after", shapes[k + 1] if k + 1 < len(shapes) else None))]
         fs += [f"n:{size}", f"a:{link}", f"n:{size}a:{link}", f"share:{min(4, 8 * words // total)}", "." if b.text[-1] in ".!?…\"'”:" else "-.", "A" if b.text[:1].isupper() else "-A"]
+        if core:
+            fs += ["unsaid", f"core:{core[k]}", f"leaf:{b.path.tag}:core:{core[k]}"]
         if k < 2:
             fs.append("first")
         if k >= len(blocks) - 2:
@@ -236,7 +310,7 @@ def features(blocks: list[Block]) -> list[list[str]]:
         if "|" in b.text or "·" in b.text:
             fs.append("bar")
         fs.append("bias")
-        out.append(fs)
+        out.append((b.path, fs))
     return out
 
 
@@ -247,7 +321,7 @@ class Field:
         self.weights = weights
         self.trans = trans.tolist()
 
-    def decode(self, rows: list[list[str]]) -> list[int]:
+    def decode(self, rows: list[tuple[Path, list[str]]]) -> list[int]:
         """The best labelling (Viterbi); of equal ones that with more zeros from the end."""
         if not rows:
             return []
@@ -255,8 +329,8 @@ class Field:
         (t00, t01), (t10, t11) = self.trans
         s0 = s1 = 0.0
         back = []
-        for k, fs in enumerate(rows):
-            e0 = e1 = 0.0
+        for k, (path, fs) in enumerate(rows):
+            e0, e1 = path.weighted(self)
             for f in fs:
                 a, b = get(f, none)
                 e0 += a
@@ -273,7 +347,7 @@ class Field:
         return y[::-1]
 
 
-def train(pages: list[tuple[list[list[str]], list[int]]], steps: int = 120, rate: float = 0.15, decay: float = 2e-3) -> Field:
+def train(pages: list[tuple[list[list[str]], list[int]]], steps: int = 150, rate: float = 0.15, decay: float = 1e-3) -> Field:
     """Maximum likelihood by Adam over all pages at once; forward-backward in logs, padded to the longest page."""
     pages = [p for p in pages if p[1]]
     names = sorted({f for rows, _ in pages for r in rows for f in r})
@@ -390,7 +464,7 @@ class _Maker:
         footer = lambda: self.box("footer footer footer div", "footer site-footer bottom copyright -", r.choice((self.leaf(f"© {year} {self.words(1, 3)} · {self.sentences(1, 2)}", 0), f"<p>{self.leaf(self.sentences(1, 2), 0)}</p><ul>{self.items('li', r.randint(2, 5), 0)}</ul>", f"<p>© {self.leaf(f'{self.words(1, 3)} {year}', 0)}</p>")))
         share = lambda: self.box("div ul", "share social tags pagination", self.items("li", r.randint(2, 4), 0))
         head = lambda: (f"<header><h1>{t}</h1></header>" if r.random() < 0.25 else f"<h1>{t}</h1>") if (t := self.leaf(self.words(1, 12), 1)) else ""
-        inner = maybe(0.85, head) + self.prose(1, 1, 12) + maybe(0.15, ad) + maybe(0.3, lambda: self.prose(1, 1, 4)) + maybe(0.15, share)
+        inner = maybe(0.85, head) + self.prose(1, 1, 12) + maybe(0.15, ad) + maybe(0.3, lambda: self.prose(1, 1, 4)) + maybe(0.15, share) + maybe(0.05, comments)
         kind = r.random()
         if kind < 0.35:
             main = f"<article>{inner}</article>"
@@ -411,6 +485,10 @@ class _Maker:
             body = r.choice((main, f"<div>{self.prose(1, 1, 3)}</div>"))  # nothing around it
         if r.random() < 0.3:
             body = f'<div class="{r.choice(("wrapper", "page", "container", "site", "x"))}">{body}</div>'
+        if r.random() < 0.3:  # without marks, and some without elements that say what they hold
+            body = _ATTRIBUTE.sub("", body)
+            if r.random() < 0.6:
+                body = re.sub(r"<(/?)(?:article|main)\b", r"<\1div", body)
         return f"<html><head><title>{self.words(1, 5)}</title></head><body>{body}</body></html>"
 
     def leaf_p(self, label: int) -> str:
@@ -428,8 +506,8 @@ def labelled_pages(n: int, seed: int = 0) -> list[tuple[list[Block], list[int]]]
 
 
 @lru_cache(maxsize=2)
-def trained_field(n: int = 600, seed: int = 0) -> Field:
-    return train([(features(b), y) for b, y in labelled_pages(n, seed)])
+def trained_field(n: int = 1000, seed: int = 0) -> Field:
+    return train([([path.features() + fs for path, fs in features(b)], y) for b, y in labelled_pages(n, seed)])
 
 
 def extract(html: str, field: Field) -> str:

@@ -62,7 +62,7 @@ def test_articles_without_marked_containers():
 
 
 def test_slash_at_the_end_of_an_open_tag():
-    assert [(b.text, "in:article" in b.features) for b in html.leaf_blocks("<div id=/main/>One<article/>Two</article>Three</div>")] == [("One", False), ("Two", True), ("Three", False)]
+    assert [(b.text, "in:article" in b.path.features()) for b in html.leaf_blocks("<div id=/main/>One<article/>Two</article>Three</div>")] == [("One", False), ("Two", True), ("Three", False)]
 
 
 def test_formulas_names_and_short_items():
@@ -133,3 +133,30 @@ def test_gif_matches_are_the_longest(spark):
         assert gif.lzw_decode(gif.lzw_encode(t), 8, len(t)).tobytes() == t
     ours, ordinary = (sum(f(t) for t in texts) for f in (lambda t: len(gif.lzw_encode(t)), _ordinary_lzw_bytes))
     assert abs(ours - ordinary) <= 0.02 * ordinary
+
+
+@pytest.mark.parametrize("deep", [0, 5, 40, 400])
+def test_comments_and_footers_at_any_depth(deep):
+    inside = lambda t: "<div>" * deep + t + "</div>" * deep
+    page = f"""<html><body><nav><ul><li><a href=/>Home</a></li></ul></nav><article><h1>Fish and chips for all</h1><p>One two three four five six, seven eight nine. The end of it.</p>
+<p>The next words follow here, and there are many of them.</p><section class="comments">{inside("<p>I do not agree with any of this at all.</p>")}</section></article><footer>{inside("All of this is ours to keep.")}</footer></body></html>"""
+    assert html.extract(page, html.trained_field()).split("\n") == ["Fish and chips for all", "One two three four five six, seven eight nine. The end of it.", "The next words follow here, and there are many of them."]
+
+
+def test_pages_with_and_without_marks(spark):
+    """All pages of the middle tables as they are; most without the element, classes, ids and roles that say what is what."""
+    import re
+
+    field = html.trained_field()
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect() if r.html]
+    main = ["\n".join(b.text for b in html.leaf_blocks(p) if "in:article" in b.path.features()) for p in pages]
+    bare = [re.sub(r"""\s(?:class|id|role)=("[^"]*"|'[^']*'|[^\s>]+)""", "", re.sub(r"<(/?)article", r"<\1div", p)) for p in pages]
+    assert [html.extract(p, field) for p in pages] == main
+    assert sum(html.extract(p, field) == m for p, m in zip(bare, main, strict=True)) >= 0.94 * len(pages)
+
+
+def test_depth_costs_in_proportion():
+    page = "".join(f"<div class=a{'abcdefghij'[k % 10]}{'x' * (k // 10 % 900)}>t{k}" for k in range(20_000))
+    began = time.process_time()
+    html.extract(page, html.trained_field())
+    assert time.process_time() - began < 30

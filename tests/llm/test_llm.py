@@ -171,8 +171,8 @@ def test_crf_decodes_the_best_path():
     r = random.Random(3)
     field = html.Field({f: (r.uniform(-1, 1), r.uniform(-1, 1)) for f in "abcde"}, np.array([[r.uniform(-1, 1) for _ in "01"] for _ in "01"]))
     for _ in range(50):
-        rows = [r.sample("abcde", 2) for _ in range(6)]
-        score = lambda y: sum(field.weights[f][c] for fs, c in zip(rows, y, strict=True) for f in fs) + sum(field.trans[a][b] for a, b in zip(y, y[1:], strict=False))  # noqa: E731, B023
+        rows = [(html.Path(html.Path(None, (x[0],)), ()), x[1:]) for x in (r.sample("abcde", 2) for _ in range(6))]
+        score = lambda y: sum(field.weights[f][c] for (p, fs), c in zip(rows, y, strict=True) for f in p.features() + fs) + sum(field.trans[a][b] for a, b in zip(y, y[1:], strict=False))  # noqa: E731, B023
         assert score(field.decode(rows)) == pytest.approx(max(score([i >> k & 1 for k in range(6)]) for i in range(64)))
 
 
