@@ -24,16 +24,16 @@ from pyspark.sql import functions as F
 from causeway.llm.common import filesystem, scratch, table
 from causeway.llm.tokens import IdCoder, byte_chunks, coder, encode_ended
 
-#: Stands for a null document id in ``*.docs``; null ids come first, as Spark sorts them.
-NULL_ID = -(1 << 63)
-_SHARD = "shard int, name string, n_docs long, n_tokens long"
+_SHARD = "shard int, name string, n_docs long, n_nulls long, n_tokens long"
 
 
 def write_token_files(docs: DataFrame, path: str, end_id: int, to: str, text: str = "text", key: str = "doc_id") -> dict:
     """Encodes every whole text and writes the shards and ``manifest.json`` to folder ``to``.
 
-    Order: ascending key, then text.  A null or empty text has the end id alone; repeated
-    rows are documents of their own; an empty table gives a manifest without shards.
+    Order: ascending key (null first: a shard's manifest says how many of its documents have none), then a hash of the
+    text, so the rows of one key may fill several shards.  A null or empty text has the end id alone; a text of any
+    length is encoded whole, in pieces; repeated rows are documents of their own; other columns aren't read; an empty table gives a
+    manifest without shards.
     """
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,12 +43,13 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, to: str, text: st
         kind = "<u2" if c.size_of_vocabulary <= 1 << 16 else "<u4"
         files, folder = filesystem(to)
         shard, name = TaskContext.get().partitionId(), f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}"
-        n_docs = n_tokens = 0
+        n_docs = n_nulls = n_tokens = 0
         files.create_dir(folder, recursive=True)
         with files.open_output_stream(f"{folder}/{name}.ids") as ids_to, files.open_output_stream(f"{folder}/{name}.offsets") as offsets_to, files.open_output_stream(f"{folder}/{name}.docs") as docs_to:
             offsets_to.write(np.zeros(1, "<i8").tobytes())
             for batch in batches:
-                keys = batch.column(0).fill_null(NULL_ID).to_numpy(zero_copy_only=False).astype("<i8")
+                n_nulls += batch.column(0).null_count
+                keys = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False).astype("<i8")
                 for at, n, data, offsets in byte_chunks(batch.column(1)):
                     ids, bounds = encode_ended(c, data, offsets, end_id)
                     ids_to.write(ids.astype(kind).tobytes())
@@ -56,17 +57,18 @@ def write_token_files(docs: DataFrame, path: str, end_id: int, to: str, text: st
                     docs_to.write(keys[at : at + n].tobytes())
                     n_docs, n_tokens = n_docs + n, n_tokens + len(ids)
         if n_docs:
-            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "name": [name], "n_docs": [n_docs], "n_tokens": [n_tokens]})
+            yield pa.RecordBatch.from_pydict({"shard": pa.array([shard], pa.int32()), "name": [name], "n_docs": [n_docs], "n_nulls": [n_nulls], "n_tokens": [n_tokens]})
 
-    rows = docs.select(F.col(key).cast("long"), F.col(text))
-    shards = rows.repartitionByRange(key).sortWithinPartitions(key, text).mapInArrow(write, _SHARD).collect()
+    rows = docs.select(F.col(key).cast("long").alias("k"), F.col(text).alias("t"))
+    order = ["k", F.xxhash64("t")]
+    shards = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(write, _SHARD).collect()
     shards.sort(key=lambda x: x.shard)
     sizes = np.array([[0, 0]] + [[x.n_docs, x.n_tokens] for x in shards], dtype=np.int64).cumsum(axis=0)
     manifest = {
         "dtype": "<u2" if coder(IdCoder, path).size_of_vocabulary <= 1 << 16 else "<u4",
         "n_docs": int(sizes[-1, 0]),
         "n_tokens": int(sizes[-1, 1]),
-        "shards": [{"name": x.name, "n_docs": x.n_docs, "n_tokens": x.n_tokens, "first_doc": int(d), "first_token": int(t)} for x, (d, t) in zip(shards, sizes[:-1].tolist(), strict=True)],
+        "shards": [{"name": x.name, "n_docs": x.n_docs, "n_nulls": x.n_nulls, "n_tokens": x.n_tokens, "first_doc": int(d), "first_token": int(t)} for x, (d, t) in zip(shards, sizes[:-1].tolist(), strict=True)],
     }
     files, folder = filesystem(to)
     files.create_dir(folder, recursive=True)
@@ -133,7 +135,7 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
                     wide = ids[at[0] : at[-1]].astype("<u4")
                     cut = (at - at[0]).tolist()
                     out = {
-                        "doc_id": pa.array(docs[a:b], mask=docs[a:b] == NULL_ID),
+                        "doc_id": pa.array(docs[a:b], mask=np.arange(a, b) < shard["n_nulls"]),
                         "start": pa.array(at[:-1] + shard["first_token"]),
                         "n_tokens": pa.array(np.diff(at)),
                         "ids_crc32": pa.array([zlib.crc32(wide[x:y]) for x, y in zip(cut, cut[1:], strict=False)], pa.int64()),

@@ -337,3 +337,15 @@ def test_pipeline(spark, docs):
     assert {r.doc_id for r in kept.collect()} == {c for _, c in brute([(r.doc_id, r.text) for r in docs.collect()]).values()}
     rows = corpus_pipeline.run(spark, SMALL).collect()
     assert rows and len({r.doc_id for r in rows}) > 0.5 * docs.count()
+
+
+def test_token_files_of_the_least_id_and_of_one_id(spark):
+    rows = [(None, "a"), (-(2**63), "b c"), (7, None)] + [(7, f"word {k}") for k in range(60)] + [(2**63 - 1, "d")]
+    to = common.scratch(spark, "t")
+    m = idfiles.write_token_files(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), WORD, 2, to)
+    got = idfiles.read_token_files(spark, to, with_ids=True).orderBy("start").collect()
+    assert [r.doc_id for r in got] == [None, -(2**63), *[7] * 61, 2**63 - 1] and sum(s["n_nulls"] for s in m["shards"]) == 1
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(WORD)
+    assert sorted(r.ids for r in got) == sorted(t.encode(x or "", add_special_tokens=False).ids + [2] for _, x in rows)
