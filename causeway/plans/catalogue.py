@@ -10,7 +10,6 @@ from causeway.operators import events as E
 from causeway.operators import facts as X
 from causeway.operators import graph as G
 from causeway.sources import dims, views
-from causeway.sources.scratch import written
 
 AS_OF = "2000-06-15 00:00:00"
 _at = lambda: F.lit(AS_OF).cast("timestamp_ntz")
@@ -213,12 +212,3 @@ def ewma(s, d):
 @query("select case_id, case when m >= 0.6::double or sm >= 1.5::double or hits >= 6 then 'Crisis' when m >= 0.3::double or hits >= 4 then 'High Volatility' else 'none' end as regime, hits from (select case_id, max(abs(temporal_quality / 4)) m, sum(abs(temporal_quality / 4)) sm, count(*) filter (where abs(temporal_quality / 4) >= 0.1::double) hits from edges group by 1)")
 def regime_shift(s, d):
     return E.regime(views.edges(s, d), "case_id", F.col("temporal_quality") / 4, S.node_id(F.col("tail_node")))
-
-
-def whatif_impacts(s, d):
-    """Impacts of a shock of 1 on inflation over the consensus of all edges, three levels deep."""
-    links = written(K.skeleton(views.edges(s, d), _at()), "links")  # one row per (head, relation, tail), read at each level
-    return G.what_if(links, "inflation", 1.0, 3).select("node", _r(F.col("impact")).alias("impact"), "depth")
-
-
-QUERIES["whatif_impacts"] = whatif_impacts

@@ -119,21 +119,39 @@ def root_cause_path(s, d):
     return found.select(F.array_join("path", ">").alias("path"), *[_r(F.col(c)).alias(c) for c in ("influence", "direction", "lower", "upper")]).orderBy(F.desc("influence"), "path").limit(3)
 
 
+def _shock(s, d, node: str, delta: float) -> DataFrame:
+    """Impacts of one shock over the consensus links, at the regime it brings about."""
+    links = _links(s, d).withColumn("seq", F.struct((-F.col("strength")).alias("s"), "head", "relation", "tail"))
+    shock = s.createDataFrame([("one", node, delta)], "scenario string, node string, delta double")
+    return C.impacts(C.arrivals(shock, links))
+
+
+def whatif_impacts(s, d):
+    """Impacts of a shock of 1 on inflation over the consensus of all edges, three levels deep."""
+    return _shock(s, d, "inflation", 1.0).select("node", _r(F.col("impact")).alias("impact"), "depth")
+
+
 def action_triggers(s, d):
-    """Actions that an inflation shock triggers."""
-    return G.triggered_actions(G.what_if(_links(s, d), "inflation", 1.0, 3)).select("node", "action", "effect", _r(F.col("impact")).alias("impact"))
+    """Actions that an inflation shock triggers, by the largest impact that a node had at any time."""
+    return C.actions(_shock(s, d, "inflation", 1.0)).select("node", "action", F.col("mitigation").alias("effect"), _r(F.col("impact")).alias("impact"))
 
 
 def investment_recommendations(s, d):
     """What a liquidity shock recommends."""
-    found = G.recommendations(G.what_if(_links(s, d), "liquidity", 1.0, 3), "liquidity")
+    found = G.recommendations(_shock(s, d, "liquidity", 1.0), "liquidity")
     return found.select("asset", "action", _r(F.col("confidence")).alias("confidence"))
 
 
 def global_shock(s, d):
-    """A shock of 0.5 on the market of the US over the structural links, at the regime that it means."""
-    out = G.what_if(G.market_links(s), "market_us", 0.5, 3, severity=1, connectivity=0.829914)
-    return out.select("node", _r(F.col("impact")).alias("impact"), "depth", G.effect_label(F.col("depth")).alias("effect"))
+    """For each nation, of which the stress in its market's weight is the size of its shock: how that travels the structural links between markets."""
+    nations = s.read.parquet(f"{d}/nation.parquet")
+    market = F.element_at(F.array(*map(F.lit, dims.MARKETS)), (F.col("n_regionkey") % len(dims.MARKETS) + 1).cast("int"))
+    weight = S.market_weight(F.col("n_regionkey") / 5, F.col("n_nationkey") / 25)
+    shocks = nations.select(F.col("n_name").alias("scenario"), F.concat(F.lit("market_"), market).alias("node"), ((weight - 0.5) * F.when(F.col("n_nationkey") % 2 == 0, 1).otherwise(-1)).alias("delta"))
+    links = G.market_links(s).withColumn("seq", F.struct("head", "tail"))
+    state = C.arrivals(shocks, links)
+    found = C.impacts(state).join(C.regimes(state).select("scenario", "regime"), "scenario")
+    return found.select(F.col("scenario").alias("nation"), "node", _r(F.col("impact")).alias("impact"), "depth", "effect", "regime")
 
 
 _KEYS = {k: names for k, names in dims.FEED_KEYS.items()}
@@ -393,5 +411,5 @@ def coerced_facts(s, d):
     return rows.select("event_id", *[c.alias(n) for n, c in X.coerced(F.col("raw_fact"), F.col("kind")).items()])
 
 
-for _f in (acyclic_dag, graph_stability, root_cause_path, action_triggers, investment_recommendations, global_shock, whatif_scenarios, whatif_actions, whatif_regimes):
+for _f in (whatif_impacts, acyclic_dag, graph_stability, root_cause_path, action_triggers, investment_recommendations, global_shock, whatif_scenarios, whatif_actions, whatif_regimes):
     QUERIES[_f.__name__] = _f

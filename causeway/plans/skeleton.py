@@ -5,14 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from causeway.functions import scores as S
 from causeway.operators import acyclic as Y
 from causeway.operators import audit as A
 from causeway.operators import consensus as K
 from causeway.operators import events as E
 from causeway.operators import graph as G
-from causeway.operators import intervals, paths, scan
+from causeway.operators import intervals, paths, rollup, scan
 from causeway.plans.catalogue import _SCORED, _WEIGHTS, QUERIES, SQL, _at, _events, _r
-from causeway.sources import views
+from causeway.sources import jsonl, views
 from causeway.sources.scratch import folder, written
 from causeway.sources.tables import StoredTable
 from causeway.streaming import refresh
@@ -205,5 +206,66 @@ def case_edges_or_facts(s, d):
     return edges.read().withColumn("source", F.lit("edge")).unionByName(rest.withColumn("source", F.lit("fact")))
 
 
+_FIT = "abs({0} - {1}) <= 0.01::double * greatest(abs({0}), abs({1}))"
+_HEALED = "case " + " ".join(f"when {_FIT.format('s', f'v * {f!r}::double')} then {f!r}::double" for f in rollup.FACTORS) + " end"
+
+
+def _level(name: str, source: str) -> str:
+    """The totals of nodes (node, parent, v, s: the children's sum) by the rule of ``rollup.reconciled`` without healed children."""
+    return f"""{name} as (select *, case when v is null then 'filled' when {_FIT.format('v', 's')} then 'ok' when h is not null then 'scaled' else 'broken' end as status,
+  case when v is null then s when {_FIT.format('v', 's')} then v when h is not null then v * h else s end as total, case when v is not null and not {_FIT.format('v', 's')} then coalesce(h, 1::double) else 1::double end as factor from (select *, {_HEALED} as h from {source}))"""
+
+
+@query(f""", c as (select 'customer ' || cast(c_custkey as varchar) as node, c_nationkey as nk, c_acctbal as v from customer),
+n0 as (select n_nationkey as nk, n_regionkey as rk, 'nation ' || cast(n_nationkey as varchar) as node, s, case n_nationkey % 5 when 0 then s / 1000 when 1 then null when 2 then s * 1.5::double else s end as v from nation join (select nk, sum(v) as s from c group by 1) using (nk)),
+{_level('n', 'n0')}, r0 as (select rk, 'region ' || cast(rk as varchar) as node, sum(total) as s, sum(s) * case when rk % 2 = 0 then 0.000001::double else 1::double end as v from n group by 1), {_level('r', 'r0')},
+w0 as (select 'world' as node, sum(total) as s, sum(s) * 1000 as v from r), {_level('w', 'w0')}
+select node, round(v, 2) as total, 1::double as factor, 'leaf' as status from c where nk in (select nk from n0) union all select node, round(total, 2), factor, status from n union all select node, round(total, 2), factor, status from r union all select node, round(total, 2), factor, status from w""".replace("n_nationkey % 5", "nk % 5").replace("select n_nationkey as nk, n_regionkey as rk, 'nation ' || cast(n_nationkey as varchar) as node, s,", "select nk, rk, 'nation ' || cast(nk as varchar) as node, s,").replace("from nation join (", "from (select n_nationkey as nk, n_regionkey as rk from nation) join ("))
+def parent_child_sums(s, d):
+    """Balances rolled up from customers to nations, regions and the world, of which some are reported in other units, not at all, or wrong."""
+    customers = s.read.parquet(f"{d}/customer.parquet").select(F.col("c_nationkey").alias("nk"), F.concat(F.lit("customer "), F.col("c_custkey").cast("string")).alias("node"), F.col("c_acctbal").alias("value"))
+    nations = s.read.parquet(f"{d}/nation.parquet").select(F.col("n_nationkey").alias("nk"), F.col("n_regionkey").alias("rk"))
+    customers = customers.join(nations, "nk")
+    name = lambda kind, c: F.concat(F.lit(f"{kind} "), F.col(c).cast("string"))
+    by_nation = customers.groupBy("nk", "rk").agg(F.sum("value").alias("s"))
+    said = F.when(F.col("nk") % 5 == 0, F.col("s") / 1000).when(F.col("nk") % 5 == 2, F.col("s") * 1.5).when(F.col("nk") % 5 != 1, F.col("s"))
+    by_region = by_nation.groupBy("rk").agg(F.sum("s").alias("s"))
+    world = by_region.agg((F.sum("s") * 1000).alias("value")).select(F.lit("world").alias("node"), F.lit(None).cast("string").alias("parent"), "value")
+    nodes = customers.select("node", name("nation", "nk").alias("parent"), "value").unionByName(by_nation.select(name("nation", "nk").alias("node"), name("region", "rk").alias("parent"), said.alias("value")))
+    nodes = nodes.unionByName(by_region.select(name("region", "rk").alias("node"), F.lit("world").alias("parent"), (F.col("s") * F.when(F.col("rk") % 2 == 0, 1e-6).otherwise(1.0)).alias("value"))).unionByName(world)
+    return rollup.reconciled(nodes).select("node", F.round("total", 2).alias("total"), "factor", "status")
+
+
+@query("select doc_id, md5(text) as digest, n_chars from documents")
+def jsonl_sink(s, d):
+    """Documents written as JSON lines by one commit, and read back."""
+    at = folder(s, "jsonl")
+    docs = s.read.parquet(f"{d}/documents.parquet").select("doc_id", "text", "n_chars")
+    jsonl.write(docs, at)
+    return jsonl.read(s, at, docs.schema).select("doc_id", F.md5("text").alias("digest"), "n_chars")
+
+
+@query(", g as (select distinct case_id, replace(lower(trim(head_node)), ' ', '_') as h, replace(lower(trim(tail_node)), ' ', '_') as t from edges), n as (select case_id, h as x from g union select case_id, t from g) select case_id, (select count(*) from n where n.case_id = g.case_id) as n_nodes, count(*) as n_edges from g group by case_id")
+def case_graph_sizes(s, d):
+    """Distinct nodes and links of each case."""
+    return G.graph_counts(views.tailed(s, d), "case_id")
+
+
+@query("select case_id, case when m >= 0.6::double or sm >= 1.5::double or hits >= 6 then 'Crisis' when m >= 0.3::double or hits >= 4 then 'High Volatility' else 'none' end as regime, hits from (select case_id, max(x) m, sum(x) sm, count(*) filter (where x >= 0.1::double) hits from (select *, abs(reflection_quality / 3) * (seq % 7) / 6 as x from edges where seq % 13 = 0) group by 1)")
+def case_regimes(s, d):
+    """The regime of each case's impacts, of which cases have few to many."""
+    e = views.tailed(s, d).where("seq % 13 = 0")
+    return E.regime(e, "case_id", F.abs(F.col("reflection_quality") / 3) * (F.col("seq") % 7) / 6)
+
+
+_PERIODS = "case event_id % 9 when 0 then cast(2000 + event_id % 30 as string) when 1 then concat(cast(2000 + event_id % 30 as string), '-Q', cast(event_id % 4 + 1 as string)) when 2 then concat('q', cast(event_id % 4 + 1 as string), ' ', cast(2000 + event_id % 30 as string)) when 3 then concat(cast(2000 + event_id % 30 as string), '-0', cast(event_id % 9 + 1 as string)) when 4 then concat(cast(2000 + event_id % 30 as string), '/12/31') when 5 then '' when 6 then event_type when 7 then concat('FY', cast(event_id as string)) end"
+
+
+@query(f", p as (select event_id, {_PERIODS} as p from events) select event_id, case when coalesce(p, '') = '' then 'day' when contains(lower(p), 'q') and regexp_matches(p, '[0-9]') then 'quarter' when regexp_matches(p, '^[0-9]{{4}}$') then 'year' when length(p) >= 7 and substr(p, 5, 1) in ('-', '/') then 'month' else 'day' end as grain from p")
+def granularity_rule(s, d):
+    """The granularity of periods of many forms."""
+    return s.read.parquet(f"{d}/events.parquet").select("event_id", S.granularity(F.expr(_PERIODS)).alias("grain"))
+
+
 for _f in (acyclic_links, forecast_links, best_root_causes):
     QUERIES[_f.__name__] = _f

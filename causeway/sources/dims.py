@@ -103,6 +103,8 @@ IDENTITIES = [
     ("total assets", ("current assets", "non-current assets"), "sum"),
     ("total assets", ("total liabilities", "total equity"), "sum"),
 ]
+#: The markets' regions.
+MARKETS = ("us", "eu", "jp", "kr", "cn")
 #: source, target, strength, channel
 MARKET_LINKS = [
     ("us", "eu", 0.65, "rates"),

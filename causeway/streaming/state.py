@@ -71,3 +71,36 @@ def chain(rows: DataFrame, key: str, order: str, payload: str, created: str) ->
 
     fields = "n_events long, head_hash string"
     return _folded(rows, key, order, (0, GENESIS), step, fields, fields)
+
+
+def expiring(rows: DataFrame, key: str, time: str, value: str, lifetime: str, late: str = "0 seconds") -> DataFrame:
+    """Of each key, its newest value by event time, and its end: (key, value, at, expired).
+
+    A row comes with every micro-batch that brings a newer value, and one with ``expired`` once the watermark is ``lifetime`` past
+    the newest value's time, when the key's state is dropped.  Rows behind the watermark, which trails the newest
+    time seen by ``late``, don't count.  State is one value for each key that is alive.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    held_kind = f"{value} {rows.schema[value].dataType.simpleString()}, at timestamp"
+    life = int(pd.Timedelta(lifetime).total_seconds() * 1000)
+
+    def fold(k: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        if held.hasTimedOut:
+            v, at = held.get
+            held.remove()
+            yield pd.DataFrame([[k[0], v, at, True]], columns=[key, value, "at", "expired"])
+            return
+        now = held.get if held.exists else None
+        # A row may be older than the watermark of the state it meets, but for what the engine has left out already.
+        new = [(r[0], r[1]) for b in batches for r in b[[value, time]].itertuples(index=False) if not pd.isna(r[1])]
+        new = [x for x in new if x[1].timestamp() * 1000 + life > held.getCurrentWatermarkMs()]
+        if not new:
+            return
+        v, at = max(new, key=lambda x: x[1])
+        if now is None or at > pd.Timestamp(now[1]):
+            held.update((v, at.to_pydatetime()))
+            held.setTimeoutTimestamp(int(at.timestamp() * 1000) + life)
+            yield pd.DataFrame([[k[0], v, at, False]], columns=[key, value, "at", "expired"])
+
+    timed = rows.withWatermark(time, late)
+    return timed.groupBy(key).applyInPandasWithState(fold, f"{key} {kind}, {held_kind}, expired boolean", held_kind, "update", GroupStateTimeout.EventTimeTimeout)

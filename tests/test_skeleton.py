@@ -119,12 +119,12 @@ def test_order_is_the_greedy_choice():
         assert kept == _greedy(rows), seed
 
 
-@pytest.mark.parametrize("seed, n, m", [(1, 12, 40), (2, 60, 90), (3, 5, 0)])
+@pytest.mark.parametrize("seed, n, m", [(1, 12, 40), (2, 30, 45)])
 def test_acyclic_over_components(spark, seed, n, m):
     rng = random.Random(seed)
     # A long path, a ring and chance links: several components, and nodes on none.
     rows = [(f"n{rng.randrange(n)}", rng.choice("xy"), f"n{rng.randrange(n)}", rng.choice([0.3, rng.random()])) for _ in range(m)]
-    rows += [(f"r{k}", "x", f"r{(k + 1) % 7}", 0.5) for k in range(7)] + [(f"p{k}", "x", f"p{k + 1}", 0.4) for k in range(5)] + [("r0", "x", "n0", 0.9), ("", "x", "n1", 0.9)]
+    rows += [(f"r{k}", "x", f"r{(k + 1) % 4}", 0.5) for k in range(4)] + [(f"p{k}", "x", f"p{k + 1}", 0.4) for k in range(5)] + [("r0", "x", "n0", 0.9), ("", "x", "n1", 0.9)]
     rows = [(*r, k) for k, r in enumerate(rows)]
     df = spark.createDataFrame(rows, "head string, relation string, tail string, strength double, first_seq long")
     got = sorted(tuple(r) for r in Y.acyclic(df).select("head", "relation", "tail", "strength", "first_seq").collect())
