@@ -26,31 +26,46 @@ def _bounded(stage: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
 
 @_bounded
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 4: documents without a recognised language go."""
+    """Operator 4: documents without a recognised language go, so null and empty texts, and those without a letter.
+
+    Rows of any number, repeated or not, are judged each; all columns stay, whatever their names; an empty table gives none.
+    """
     return drop_unknown_languages(spark, docs)
 
 
 @_bounded
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 3: documents that score below the threshold go."""
+    """Operator 3: documents that score below the threshold go.
+
+    Texts of any length are scored whole; equal texts share a fate; without labels of both kinds all stay; all columns stay.
+    """
     return drop_low_quality(docs, table(spark, sf_dir, "labels"))
 
 
 @_bounded
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 10: one document of each group of similar ones stays."""
+    """Operator 10: one document of each group of similar ones stays, that of the smallest id.
+
+    Texts without words and rows of null id stay; of rows that share an id one stays; all columns stay.
+    """
     return keep_one(docs)
 
 
 @_bounded
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 5: documents with a leaked benchmark item go."""
+    """Operator 5: documents with a leaked benchmark item go.
+
+    Null items aren't looked for; an empty benchmark drops nothing; null texts and all columns stay.
+    """
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 @_bounded
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Operator 7: the pieces of the kept documents in sequences of 2048 tokens."""
+    """Operator 7: the pieces of the kept documents in sequences of 2048 tokens.
+
+    A row per piece with the columns of ``pack_documents`` only; a null text is its end id alone; an empty table gives no rows.
+    """
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), 0)
