@@ -57,6 +57,8 @@ def format_chats(df: DataFrame, key: str = "conv_id", turn: str = "turn", role:
 
     ``segments``: array of (text, loss) whose texts make up ``formatted``; loss marks what a
     trainer's loss counts, which is each text of ``loss_roles`` without any control string.
+    Null texts and roles are empty, null turns come first, null keys are one conversation; rows of equal turn stand by role and
+    text, repeated ones each; a text of any length stays whole; other columns aren't read; an empty table gives no rows.
     """
     rows = df.select(
         F.col(key).alias(key),

@@ -39,7 +39,10 @@ def token_count(text: Column, path: str) -> Column:
 
 
 def count_tokens(df: DataFrame, path: str, text: str = "text", out: str = "n_tokens") -> DataFrame:
-    """``df`` with a count column; one of the same name is replaced, all others stay."""
+    """``df`` with a count column; one of the same name is replaced, all others stay.
+
+    Null and empty texts have 0 tokens; texts of any length are counted whole; an empty table gives no rows.
+    """
     return df.withColumn(out, token_count(F.col(text), path))
 
 

@@ -73,8 +73,8 @@ def piece_bounds(n: int, capacity: int) -> list[int]:
 def pack_documents(df: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """A row per piece: key, piece, start, length, ids_crc32, sequence_id, offset and, if asked for, ids.
 
-    A null or empty text is its end id alone; repeated rows are packed each; an empty table
-    gives no rows; other columns aren't read.
+    A null or empty text is its end id alone; a very long one is cut into full pieces behind a shorter first one; rows of
+    null or repeated keys are packed each; an empty table gives no rows; other columns aren't read.
     """
     fields = f"{key} long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long" + ", ids binary" * with_ids
     names = [x.split()[0] for x in fields.split(", ")]
