@@ -214,17 +214,33 @@ class IdCoder(_Coder):
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
         self.lower = lower
+        self.packed = [i.to_bytes(4, "little") for i in range(self.size_of_vocabulary)]
+        self.pieces: dict[str, bytes] = {}
         self.word = re.compile("\\s*([A-Za-z\u00df-\u00f6\u00f8-\u00ff\u00c0-\u00d6\u00d8-\u00de]+)([!-&(-/:-@\\[-`{-~]*)" if lower else "( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
 
     def _tokens(self, piece: str) -> bytes:
-        mapped = "".join(map(self.alphabet.__getitem__, piece.encode()))
-        return b"".join(t.id.to_bytes(4, "little") for t in self.model.tokenize(mapped))
+        """The ids of a pre-token, which many segments share."""
+        out = self.pieces.get(piece)
+        if out is None:
+            if piece.isascii():  # printable but for a space before it
+                mapped = "\u0120" + piece[1:] if piece[0] == " " else piece
+            else:
+                mapped = "".join(map(self.alphabet.__getitem__, piece.encode()))
+            packed = self.packed
+            out = self.pieces[piece] = b"".join([packed[t.id] for t in self.model.tokenize(mapped)])
+            self.size += 110 + len(piece) + len(out)
+        return out
+
+    def codes(self, segments: list[bytes]) -> list[bytes]:
+        if self.size > CACHE_BYTES:
+            self.pieces.clear()
+        return super().codes(segments)
 
     def code(self, segment: bytes) -> bytes:
         text = segment.decode()
         if (m := self.word.fullmatch(text)) and "<|" not in text:  # one or two pre-tokens, known in advance
-            head = m[1].lower() if self.lower else m[1]
-            return self._tokens(head) + (self._tokens(m[2]) if m[2] else b"")
+            head, tail = m.groups()
+            return self._tokens(head.lower() if self.lower else head) + (self._tokens(tail) if tail else b"")
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
