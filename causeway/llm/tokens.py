@@ -20,7 +20,7 @@ import pyarrow as pa
 from causeway.llm.caches import register, use
 
 #: Estimated bytes of cached segments in one Python worker; beyond it the cache starts anew.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 96 << 20
 #: Bytes of text handled at a time.
 BATCH_BYTES = 2 << 20
 #: Bytes that are hashed at a time.
@@ -29,8 +29,17 @@ HASH_BYTES = 256 << 10
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: White space that Python or the libraries know besides space, \t, \n, \v, \f and \r.
-_ODD = re.compile(rb"[\x1c-\x1f]|\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2\x80[\x80-\x8a\xa8\xa9\xaf]|\xe2\x81\x9f|\xe3\x80\x80")
-_LOW_BAR = re.compile("\u2581".encode())
+_ODD = [*"\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000", *map(chr, range(0x2000, 0x200B))]
+
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LETTER = (_LOWER >= 97) & (_LOWER <= 122)
+#: Second bytes of Latin letters behind 0xC3: all but the signs of multiplication and division.
+_LETTER_C3 = (_LOWER >= 0x80) & (_LOWER < 0xC0)
+_LETTER_C3[[0x97, 0xB7]] = False
+#: ASCII punctuation but for the bar.
+_MARK = np.zeros(256, dtype=bool)
+_MARK[[ord(c) for c in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{}~"]] = True
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -85,6 +94,20 @@ def first_eight(data: np.ndarray, starts: np.ndarray, length: np.ndarray) -> np.
     return _eights(data)[starts] & _MASKS[np.minimum(8, length)]
 
 
+def holding(data: np.ndarray, offsets: np.ndarray, signs: list[str]) -> list[int]:
+    """The texts of a buffer that hold one of the characters."""
+    codes = [c.encode() for c in signs]
+    lead = np.zeros(256, dtype=bool)
+    lead[[c[0] for c in codes]] = True
+    at = np.flatnonzero(lead[data])
+    if not len(at):
+        return []
+    eight, hit = _eights(data)[at], np.zeros(len(at), dtype=bool)
+    for n in {len(c) for c in codes}:
+        hit |= np.isin(eight & _MASKS[n], np.array([int.from_bytes(c, "little") for c in codes if len(c) == n], dtype=np.uint64))
+    return np.unique(np.searchsorted(offsets, at[hit], "right") - 1).tolist()
+
+
 def _differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray) -> np.ndarray:
     """Which of the slices of ``length`` bytes at ``a`` and ``b`` differ."""
     out = np.zeros(len(a), dtype=bool)
@@ -103,7 +126,12 @@ def _differ(data: np.ndarray, a: np.ndarray, b: np.ndarray, length: np.ndarray)
 
 def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The place of one slice of each distinct content, and for each slice the index of its content in them."""
-    _, at, inverse = np.unique(slice_hashes(data, starts, ends), return_index=True, return_inverse=True)
+    hashes = slice_hashes(data, starts, ends)
+    order = np.argsort(hashes)
+    hashes, new = hashes[order], np.ones(len(order), dtype=bool)
+    new[1:] = hashes[1:] != hashes[:-1]
+    at, inverse = order[new], np.empty(len(order), dtype=np.int64)
+    inverse[order] = np.cumsum(new) - 1
     length, first = ends - starts, at[inverse]
     wrong = length != length[first]
     same = np.flatnonzero(~wrong)
@@ -147,6 +175,7 @@ class _Coder:
 
     def __init__(self):
         self.cache: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}  # the cache before it began anew
         self.size = 0
 
     def cut(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -163,29 +192,29 @@ class _Coder:
         raise NotImplementedError
 
     def codes(self, segments: list[bytes]) -> list[bytes]:
-        if self.size > CACHE_BYTES:
-            self.cache.clear()
+        """The codes of distinct segments."""
+        if self.size > CACHE_BYTES // 2:
+            self.cache, self.older = {}, self.cache
             self.size = 0
-        out, get = [], self.cache.get
-        for s in segments:
-            c = get(s)
-            if c is None:
-                c = self.cache[s] = self.code(s)
-                self.size += 110 + len(s) + len(c)
-            out.append(c)
+        out = list(map(self.cache.get, segments))
+        away = [k for k, c in enumerate(out) if c is None]
+        asked = [segments[k] for k in away]
+        found = list(map(self.older.get, asked))
+        new = [k for k, c in enumerate(found) if c is None]
+        for k in new:
+            found[k] = self.code(asked[k])
+        for k, c in zip(away, found, strict=True):
+            out[k] = c
+        self.cache.update(zip(asked, found, strict=True))
+        self.size += 110 * len(asked) + sum(map(len, asked)) + sum(map(len, found))
         return out
 
     def batch(self, data: np.ndarray, offsets: np.ndarray):
         """(segment codes of the distinct segments, index of each segment in them, its text)."""
-        odd = {}
         whole = data.tobytes()
-        if self.unsafe.search(whole):
-            for k in range(len(offsets) - 1):
-                text = whole[offsets[k] : offsets[k + 1]]
-                if self.unsafe.search(text):
-                    odd[k] = self.code(text)
+        odd = {k: self.code(whole[offsets[k] : offsets[k + 1]]) for k in holding(data, offsets, self.unsafe)}
         starts, ends = self.cut(data, offsets)
-        owner = np.searchsorted(offsets, starts, "right") - 1
+        owner = np.repeat(np.arange(len(offsets) - 1), np.diff(np.searchsorted(starts, offsets)))
         if odd:
             keep = ~np.isin(owner, np.fromiter(odd, dtype=np.int64))
             starts, ends, owner = starts[keep], ends[keep], owner[keep]
@@ -200,7 +229,12 @@ class _Coder:
 
 
 class IdCoder(_Coder):
-    """Ids of a ``tokenizers`` vocabulary whose pre-tokeniser splits at white space."""
+    """Ids of a ``tokenizers`` vocabulary whose pre-tokeniser splits at white space.
+
+    Both public patterns begin a new match at a punctuation mark behind a letter, and behind a single white-space
+    character other than a space, whatever follows: there segments end too, so that words are known with
+    any mark or line end beside them.  A bar is no such mark, for special tokens hold a letter before one.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -209,39 +243,35 @@ class IdCoder(_Coder):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.size_of_vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        lower = self.tokenizer.normalizer is not None
         # The byte-level alphabet: printable bytes stand for themselves, the rest follow from 256.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
-        self.lower = lower
+        self.lower = self.tokenizer.normalizer is not None
+        self.word = re.compile((rb"[\t-\r ]*" if self.lower else b" ?") + rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
         self.packed = [i.to_bytes(4, "little") for i in range(self.size_of_vocabulary)]
-        self.pieces: dict[str, bytes] = {}
-        self.word = re.compile("\\s*([A-Za-z\u00df-\u00f6\u00f8-\u00ff\u00c0-\u00d6\u00d8-\u00de]+)([!-&(-/:-@\\[-`{-~]*)" if lower else "( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]*)")
-
-    def _tokens(self, piece: str) -> bytes:
-        """The ids of a pre-token, which many segments share."""
-        out = self.pieces.get(piece)
-        if out is None:
-            if piece.isascii():  # printable but for a space before it
-                mapped = "\u0120" + piece[1:] if piece[0] == " " else piece
-            else:
-                mapped = "".join(map(self.alphabet.__getitem__, piece.encode()))
-            packed = self.packed
-            out = self.pieces[piece] = b"".join([packed[t.id] for t in self.model.tokenize(mapped)])
-            self.size += 110 + len(piece) + len(out)
-        return out
 
-    def codes(self, segments: list[bytes]) -> list[bytes]:
-        if self.size > CACHE_BYTES:
-            self.pieces.clear()
-        return super().codes(segments)
+    def cut(self, data, offsets):
+        if not len(data):
+            return super().cut(data, offsets)
+        space = _SPACE[data]
+        first = np.zeros(len(data) + 1, dtype=bool)
+        marks = np.flatnonzero(_MARK[data[1:]])
+        before = data[marks]
+        first[marks + 1] = _LETTER[before] | (data[marks - 1] == 0xC3) & _LETTER_C3[before]
+        first[offsets] = True
+        first[1:-1] |= space[1:] & ~space[:-1]
+        breaks = np.flatnonzero(space[:-1] & (data[:-1] != 32))
+        first[breaks + 1] |= first[breaks] & ~space[breaks + 1]
+        starts = np.flatnonzero(first[:-1])
+        return starts, np.append(starts[1:], len(data))
 
     def code(self, segment: bytes) -> bytes:
-        text = segment.decode()
-        if (m := self.word.fullmatch(text)) and "<|" not in text:  # one or two pre-tokens, known in advance
-            head, tail = m.groups()
-            return self._tokens(head.lower() if self.lower else head) + (self._tokens(tail) if tail else b"")
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if not self.word.fullmatch(segment):
+            return np.array(self.tokenizer.encode(segment.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        if self.lower:  # one pre-token, known in advance
+            segment = segment.decode().strip().lower().encode()
+        packed = self.packed
+        return b"".join([packed[t.id] for t in self.model.tokenize(segment.decode("latin-1").translate(self.alphabet))])
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts of a buffer in order, and where each text's begin (n + 1 values)."""
@@ -279,7 +309,7 @@ class PieceCounter(_Coder):
     that place, and the mark that the library puts before each text stands for the space.
     """
 
-    unsafe = _LOW_BAR
+    unsafe = ["\u2581"]
 
     def __init__(self, path: str):
         super().__init__()
