@@ -246,10 +246,16 @@ class IdCoder(_Coder):
         # The byte-level alphabet: printable bytes stand for themselves, the rest follow from 256.
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         self.alphabet = {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(x for x in range(256) if x not in plain)}
-        self.lower = self.tokenizer.normalizer is not None
-        self.word = re.compile((rb"[\t-\r ]*" if self.lower else b" ?") + rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+        self.lower = self.tokenizer.normalizer is not None  # then white space has no tokens
+        self.word = re.compile((b"" if self.lower else b" ?") + rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
         self.packed = [i.to_bytes(4, "little") for i in range(self.size_of_vocabulary)]
 
+    def batch(self, data, offsets):
+        if self.lower and b"<|" not in data.tobytes():  # a special token is known by its case
+            plain = np.append(data[1:], 0) < 128  # composition with a mark behind a letter comes first, and may depend on case
+            data = np.where(plain, _LOWER[data], data)
+        return super().batch(data, offsets)
+
     def cut(self, data, offsets):
         if not len(data):
             return super().cut(data, offsets)
@@ -259,6 +265,12 @@ class IdCoder(_Coder):
         before = data[marks]
         first[marks + 1] = _LETTER[before] | (data[marks - 1] == 0xC3) & _LETTER_C3[before]
         first[offsets] = True
+        if self.lower:
+            begins = ~space
+            begins[1:] &= space[:-1] | first[1:-1]
+            ends = ~space
+            ends[:-1] &= space[1:] | first[1:-1]
+            return np.flatnonzero(begins), np.flatnonzero(ends) + 1
         first[1:-1] |= space[1:] & ~space[:-1]
         breaks = np.flatnonzero(space[:-1] & (data[:-1] != 32))
         first[breaks + 1] |= first[breaks] & ~space[breaks + 1]
@@ -269,7 +281,7 @@ class IdCoder(_Coder):
         if not self.word.fullmatch(segment):
             return np.array(self.tokenizer.encode(segment.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
         if self.lower:  # one pre-token, known in advance
-            segment = segment.decode().strip().lower().encode()
+            segment = segment.decode().lower().encode()
         packed = self.packed
         return b"".join([packed[t.id] for t in self.model.tokenize(segment.decode("latin-1").translate(self.alphabet))])
 

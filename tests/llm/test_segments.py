@@ -62,3 +62,18 @@ def test_words_in_use_stay_known_when_the_cache_begins_anew(monkeypatch, path):
         assert encoded(c, texts) == library(c, texts)
         assert len(c.cache) + len(c.older) < 400
     assert sum(s.strip() == WORDS[0].encode() for s in seen) == 1
+
+
+def test_words_are_encoded_once_whatever_their_case_and_the_white_space_before_them(monkeypatch):
+    c, seen = watched(WORD, monkeypatch)
+    words = [w for w in WORDS if w[1] != "é"]  # a capital before a letter beyond ASCII is lowered segment by segment
+    texts = [space + space.join(f(w) for w in words) for space in (" ", "\n", "\t ", "\n\n") for f in (str, lambda w: w[0].upper() + w[1:])]
+    assert encoded(c, texts) == library(c, texts)
+    assert len(seen) == len(words)
+
+
+def test_case_that_matters_under_the_word_vocabulary():
+    c, texts = tokens.IdCoder(WORD), ["H̱ ẖ É é", "A<|endoftext|>B", "A<|ENDOFTEXT|>B"]
+    for t in texts:  # in a buffer of its own, and beside others
+        assert encoded(c, [t]) == library(c, [t])
+    assert encoded(c, texts) == library(c, texts)
